@@ -20,21 +20,24 @@ Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
 EMBEDDING_SCHEMA = "key string, embedding array<float>"
 
 
-def hashed_words(dim: int) -> Encoder:
-    """Mean of one-hot word vectors, words placed by MD5; empty text gives zeros."""
+@lru_cache(maxsize=100_000)
+def word_slot(word: str, dim: int) -> int:
+    return int(md5(word.encode()).hexdigest()[:8], 16) % dim
+
 
-    @lru_cache(maxsize=100_000)
-    def slot(word: str) -> int:
-        return int(md5(word.encode()).hexdigest()[:8], 16) % dim
+def mean_of_words(text: str, dim: int) -> np.ndarray:
+    slots = [word_slot(w, dim) for w in text.split(" ") if w]
+    if not slots:
+        return np.zeros(dim, dtype=np.float32)
+    return (np.bincount(slots, minlength=dim) / len(slots)).astype(np.float32)
 
-    def encode_text(text: str) -> np.ndarray:
-        words = [w for w in text.split(" ") if w]
-        counts = np.bincount([slot(w) for w in words], minlength=dim) if words else np.zeros(dim)
-        return (counts / max(1, len(words))).astype(np.float32)
+
+def hashed_words(dim: int) -> Encoder:
+    """Mean of one-hot word vectors, words placed by MD5; empty text gives zeros."""
 
     def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            vectors = [encode_text(t) for t in batch["text"]]
+            vectors = [mean_of_words(text, dim) for text in batch["text"]]
             yield pd.DataFrame({"key": batch["key"], "embedding": vectors})
 
     return encode

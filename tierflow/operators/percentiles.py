@@ -16,17 +16,23 @@ from pyspark.sql import functions as F
 from tierflow.runtime import checked_broadcast
 
 
+# A group with at most this many rows may be held by one task.
+DIRECT_ROWS = 1_000_000
+
+
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probabilities: Sequence[float],
     accuracy: int = 10_000,
+    direct_rows: int = DIRECT_ROWS,
 ) -> DataFrame:
     """One row per key and probability: ``p``, ``percentile``, ``n``.
 
     Linear interpolation between the two order statistics around
-    ``(n - 1) * p``.  Nulls and NaN are left out.
+    ``(n - 1) * p``.  Nulls and NaN are left out.  When every group is counted
+    to have at most ``direct_rows`` rows, the built-in percentile is used.
     """
     keys = list(keys)
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value))).select(
@@ -37,8 +43,13 @@ def exact_percentiles(
         {min(1.0, max(0.0, p + side * margin)) for p in probabilities for side in (-1, 1)}
     )
     sketch = checked_broadcast(
-        clean.groupBy(*keys).agg(F.percentile_approx("_v", cuts, accuracy).alias("_cuts"))
+        clean.groupBy(*keys).agg(
+            F.percentile_approx("_v", cuts, accuracy).alias("_cuts"), F.count("*").alias("_n")
+        )
     )
+    largest = sketch.agg(F.max("_n")).first()[0]
+    if largest is None or largest <= direct_rows:
+        return _direct_percentiles(clean, keys, probabilities)
     above = [(F.col("_v") > F.col("_cuts")[i]).cast("int") for i in range(len(cuts))]
     placed = clean.join(sketch, keys).select(*keys, "_v", reduce(Column.__add__, above).alias("_s"))
 
@@ -89,6 +100,20 @@ def exact_percentiles(
     )
 
 
+def _direct_percentiles(
+    clean: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
+) -> DataFrame:
+    wanted = [float(p) for p in probabilities]
+    found = clean.groupBy(*keys).agg(
+        F.count("*").alias("n"),
+        F.percentile("_v", F.array(*[F.lit(p) for p in wanted])).alias("_found"),
+    )
+    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in wanted]).alias("p"), "_found")
+    return found.withColumn("_pair", F.explode(pairs)).select(
+        *keys, "_pair.p", "n", F.col("_pair._found").alias("percentile")
+    )
+
+
 def percentile_columns(
     df: DataFrame,
     keys: Sequence[str],

@@ -99,7 +99,7 @@ def system_metrics(spark: SparkSession, directory: str) -> DataFrame:
             hour.alias("hour"),
         )
         .agg(
-            F.round(F.avg("value"), 4).alias("cpu_pct"),
+            F.round(F.avg("value") + 1e-6, 4).alias("cpu_pct"),
             F.max("value").alias("mem_pct"),
             F.count("*").cast("double").alias("active_jobs"),
             F.sum(F.when(kind == "view", 1.0).otherwise(0.0)).alias("load_relational"),
