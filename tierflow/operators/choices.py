@@ -11,27 +11,26 @@ from tierflow.operators.routing import static_destination
 from tierflow.schemas import TIERS
 
 
-def rewards(logs: DataFrame, observations: DataFrame) -> DataFrame:
-    """Reward of every measured write; the static rules are the teacher."""
-    judged = logs.select(
-        "log_id",
+def judged() -> list[Column]:
+    """What the reward needs to know of a log; the static rules are the teacher."""
+    return [
         static_destination().alias("desired"),
         is_sensitive_for_reward().alias("sensitive"),
+    ]
+
+
+def with_reward(joined: DataFrame) -> DataFrame:
+    """Add the reward to rows with an outcome, a destination and a judged log."""
+    columns = ("success", "backend_write_latency_ms", "energy_cpu_pkg_j", "destination")
+    return joined.withColumn(
+        "reward", reward(*[F.col(c) for c in columns], F.col("desired"), F.col("sensitive"))
     )
-    return observations.join(judged, "log_id").select(
-        "log_id",
-        "destination",
-        "desired",
-        "sensitive",
-        reward(
-            F.col("success"),
-            F.col("backend_write_latency_ms"),
-            F.col("energy_cpu_pkg_j"),
-            F.col("destination"),
-            F.col("desired"),
-            F.col("sensitive"),
-        ).alias("reward"),
-    )
+
+
+def rewards(logs: DataFrame, observations: DataFrame) -> DataFrame:
+    """Reward of every measured write."""
+    joined = observations.join(logs.select("log_id", *judged()), "log_id")
+    return with_reward(joined).select("log_id", "destination", "desired", "sensitive", "reward")
 
 
 def best_action(rewarded: DataFrame) -> DataFrame:

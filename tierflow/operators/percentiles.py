@@ -27,17 +27,22 @@ def exact_percentiles(
     probabilities: Sequence[float],
     accuracy: int = 10_000,
     direct_rows: int = DIRECT_ROWS,
+    at_most: int | None = None,
 ) -> DataFrame:
     """One row per key and probability: ``p``, ``percentile``, ``n``.
 
     Linear interpolation between the two order statistics around
-    ``(n - 1) * p``.  Nulls and NaN are left out.  When every group is counted
-    to have at most ``direct_rows`` rows, the built-in percentile is used.
+    ``(n - 1) * p``.  Nulls and NaN are left out.  When no group has more than
+    ``direct_rows`` rows, the built-in percentile is used.  ``at_most`` is a
+    known upper bound on the rows of a group, such as the number of logs;
+    without it the groups are counted.
     """
     keys = list(keys)
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value))).select(
         *keys, F.col(value).cast("double").alias("_v")
     )
+    if at_most is not None and at_most <= direct_rows:
+        return _direct_percentiles(clean, keys, probabilities)
     margin = 2.0 / accuracy
     cuts = sorted(
         {min(1.0, max(0.0, p + side * margin)) for p in probabilities for side in (-1, 1)}
@@ -119,10 +124,10 @@ def percentile_columns(
     keys: Sequence[str],
     value: str,
     named: Mapping[str, float],
-    accuracy: int = 10_000,
+    at_most: int | None = None,
 ) -> DataFrame:
     """The same as one row per key with a column per named percentile."""
-    rows = exact_percentiles(df, keys, value, list(named.values()), accuracy)
+    rows = exact_percentiles(df, keys, value, list(named.values()), at_most=at_most)
     return rows.groupBy(*keys).agg(
         *[F.max(F.when(F.col("p") == float(p), F.col("percentile"))).alias(n) for n, p in named.items()]
     )

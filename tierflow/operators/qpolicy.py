@@ -118,16 +118,18 @@ def greedy_policy(q: DataFrame) -> DataFrame:
     return q.groupBy("state").agg(F.max_by("action", order).alias("action"))
 
 
-def route_q(logs: DataFrame, policy: DataFrame) -> DataFrame:
+def route_q(logs: DataFrame, policy: DataFrame, fallback: Column | None = None) -> DataFrame:
     """Greedy action of a known state, the static rules for an unknown one.
 
     The policy has one row per state.  It is broadcast when it is counted to be
-    small and joined by shuffle when not.
+    small and joined by shuffle when not.  ``fallback`` is the static choice
+    where the rows carry it already.
     """
+    unknown = static_destination() if fallback is None else fallback
     named = policy.select("state", action_destination(F.col("action")).alias("_learned"))
     return (
         logs.join(checked_broadcast(named), "state", "left")
-        .withColumn("raw_destination", F.coalesce("_learned", static_destination()))
+        .withColumn("raw_destination", F.coalesce("_learned", unknown))
         .drop("_learned")
     )
 

@@ -101,7 +101,9 @@ class QuantileBins:
         )
 
 
-def fit_bins(df: DataFrame, components: Sequence[Column], n_bins: int) -> QuantileBins:
+def fit_bins(
+    df: DataFrame, components: Sequence[Column], n_bins: int, at_most: int | None = None
+) -> QuantileBins:
     """Exact quantile edges of each component.
 
     Equal edges collapse; the lowest and highest remaining edge only close the
@@ -111,7 +113,8 @@ def fit_bins(df: DataFrame, components: Sequence[Column], n_bins: int) -> Quanti
         *[F.struct(F.lit(i).alias("dim"), c.alias("x")) for i, c in enumerate(components)]
     )
     long = df.select(F.explode(pairs).alias("_p")).select("_p.*")
-    rows = exact_percentiles(long, ["dim"], "x", [i / n_bins for i in range(n_bins + 1)]).collect()
+    levels = [i / n_bins for i in range(n_bins + 1)]
+    rows = exact_percentiles(long, ["dim"], "x", levels, at_most=at_most).collect()
     found = [sorted({r["percentile"] for r in rows if r["dim"] == i}) for i in range(len(components))]
     return QuantileBins(tuple(tuple(edges[1:-1]) for edges in found))
 

@@ -12,7 +12,7 @@ from tierflow.functions.cost import (
     watt_hours,
 )
 from tierflow.operators.ordered import rolling
-from tierflow.operators.percentiles import exact_percentiles, percentile_columns
+from tierflow.operators.percentiles import DIRECT_ROWS, exact_percentiles, percentile_columns
 from tierflow.schemas import TIERS
 
 RUN = ("router", "dataset_name")
@@ -92,20 +92,35 @@ COMBINED_COLUMNS = (
 )
 
 
-def combined_summary(trace: DataFrame, keys: Sequence[str] = ("dataset_name",)) -> DataFrame:
+def with_percentiles(
+    trace: DataFrame,
+    keys: Sequence[str],
+    measures: Sequence[Column],
+    value: str,
+    named: dict[str, float],
+    at_most: int | None = None,
+) -> DataFrame:
+    """Aggregates and exact percentiles per key.
+
+    One pass when ``at_most`` says that a task can hold a group; otherwise the
+    percentiles come from the distributed ranking and are joined, both sides
+    having one row per key.
+    """
+    if at_most is not None and at_most <= DIRECT_ROWS:
+        direct = [F.percentile(value, F.lit(p)).alias(n) for n, p in named.items()]
+        return trace.groupBy(*keys).agg(*measures, *direct)
+    ranked = percentile_columns(trace, keys, value, named)
+    return trace.groupBy(*keys).agg(*measures).join(ranked, list(keys), "left")
+
+
+def combined_summary(
+    trace: DataFrame, keys: Sequence[str] = ("dataset_name",), at_most: int | None = None
+) -> DataFrame:
     """All combined metrics per key, pooled over everything else."""
-    latency = percentile_columns(
-        trace,
-        keys,
-        "total_latency_ms",
-        {"median_total_latency_ms": 0.5, "p95_total_latency_ms": 0.95},
-    )
-    return (
-        trace.groupBy(*keys)
-        .agg(*additive_columns())
-        .join(latency, list(keys), "left")
-        .select(*keys, *COMBINED_COLUMNS)
-    )
+    named = {"median_total_latency_ms": 0.5, "p95_total_latency_ms": 0.95}
+    return with_percentiles(
+        trace, keys, additive_columns(), "total_latency_ms", named, at_most
+    ).select(*keys, *COMBINED_COLUMNS)
 
 
 def summary_rollup(trace: DataFrame) -> DataFrame:
@@ -138,33 +153,39 @@ def run_summary(
     )
 
 
-def results_summary(trace: DataFrame, kg_per_kwh: float = REPORT_KG_PER_KWH) -> DataFrame:
+def results_summary(
+    trace: DataFrame, kg_per_kwh: float = REPORT_KG_PER_KWH, at_most: int | None = None
+) -> DataFrame:
     """Report over a result set, sorted by dataset and method."""
     n = F.count("*")
     wh = watt_hours(F.sum(F.coalesce("energy_cpu_pkg_j", F.lit(0.0))))
     seconds = F.sum("total_latency_ms") / 1000.0
-    medians = percentile_columns(trace, RUN, "total_latency_ms", {"P50LatencyMs": 0.5})
+    measures = [
+        n.alias("LogsProcessed"),
+        wh.alias("TotalEnergyWh"),
+        (wh / n).alias("EnergyPerLogWh"),
+        carbon_kg(wh, kg_per_kwh).alias("CarbonEmissionsKg"),
+        F.avg("total_latency_ms").alias("AvgLatencyMs"),
+        or_default(n, seconds, 0.0).alias("ThroughputLogsPerSec"),
+        share(F.col("success")).alias("SuccessRate"),
+    ]
     return (
-        trace.groupBy(*RUN)
-        .agg(
-            n.alias("LogsProcessed"),
-            wh.alias("TotalEnergyWh"),
-            (wh / n).alias("EnergyPerLogWh"),
-            carbon_kg(wh, kg_per_kwh).alias("CarbonEmissionsKg"),
-            F.avg("total_latency_ms").alias("AvgLatencyMs"),
-            or_default(n, seconds, 0.0).alias("ThroughputLogsPerSec"),
-            share(F.col("success")).alias("SuccessRate"),
+        with_percentiles(
+            trace, RUN, measures, "total_latency_ms", {"P50LatencyMs": 0.5}, at_most
         )
-        .join(medians, list(RUN), "left")
         .withColumnsRenamed({"router": "Method", "dataset_name": "Dataset"})
         .orderBy("Dataset", "Method")
     )
 
 
 def tail_latency(
-    trace: DataFrame, percents: Sequence[int] = (50, 75, 90, 95, 99), keys: Sequence[str] = RUN
+    trace: DataFrame,
+    percents: Sequence[int] = (50, 75, 90, 95, 99),
+    keys: Sequence[str] = RUN,
+    at_most: int | None = None,
 ) -> DataFrame:
-    rows = exact_percentiles(trace, keys, "total_latency_ms", [p / 100 for p in percents])
+    levels = [p / 100 for p in percents]
+    rows = exact_percentiles(trace, keys, "total_latency_ms", levels, at_most=at_most)
     return rows.select(
         *keys,
         F.round(F.col("p") * 100).cast("int").alias("percent"),
@@ -201,27 +222,20 @@ def pivot_destination(trace: DataFrame) -> DataFrame:
     )
 
 
-def per_backend_metrics(trace: DataFrame) -> DataFrame:
+def per_backend_metrics(trace: DataFrame, at_most: int | None = None) -> DataFrame:
     """Latency and energy by router and tier, with the tier ``all`` for every row."""
-    both = F.array(F.col("destination"), F.lit("all"))
-    tiers = trace.withColumn("tier", F.explode(both))
+    tiers = trace.withColumn("tier", F.explode(F.array(F.col("destination"), F.lit("all"))))
     keys = ["router", "tier"]
-    tails = percentile_columns(
-        tiers, keys, "total_latency_ms", {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
-    )
-    energy = percentile_columns(
-        tiers, keys, "energy_cpu_pkg_j", {"p95_energy_j": 0.95, "p99_energy_j": 0.99}
-    )
-    return (
-        tiers.groupBy(*keys)
-        .agg(
-            F.count("*").alias("logs"),
-            F.avg("total_latency_ms").alias("mean_latency_ms"),
-            F.avg("energy_cpu_pkg_j").alias("mean_energy_j"),
-            share(F.col("compliance_forced")).alias("override_rate"),
-        )
-        .join(tails, keys, "left")
-        .join(energy, keys, "left")
+    measures = [
+        F.count("*").alias("logs"),
+        F.avg("total_latency_ms").alias("mean_latency_ms"),
+        F.avg("energy_cpu_pkg_j").alias("mean_energy_j"),
+        share(F.col("compliance_forced")).alias("override_rate"),
+    ]
+    latency = {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
+    energy = {"p95_energy_j": 0.95, "p99_energy_j": 0.99}
+    return with_percentiles(tiers, keys, measures, "total_latency_ms", latency, at_most).join(
+        percentile_columns(tiers, keys, "energy_cpu_pkg_j", energy, at_most), keys, "left"
     )
 
 

@@ -76,13 +76,18 @@ def replay(
     dataset: Column | str,
     compliance: Sequence[bool] = (False,),
     patterns: Sequence[str] | None = None,
+    decisions: dict[str, DataFrame] | None = None,
 ) -> DataFrame:
     """Traces of many routers over the same logs, with and without the override.
 
     Every router decides on the log row first.  Logs then meet their outcomes
     in one join by log id; only afterwards is the row multiplied by router, so
-    the shuffle does not grow with the number of routers.
+    the shuffle does not grow with the number of routers.  ``decisions`` are
+    routers that decided elsewhere, as tables ``log_id, raw_destination``; they
+    join by log id too, after the texts are gone.
     """
+    decisions = decisions or {}
+    names = [*routers, *decisions]
     name = dataset if isinstance(dataset, Column) else F.lit(dataset)
     decided = logs.withColumn("dataset_name", name).withColumn("sensitive", is_sensitive(patterns))
     for router, route in routers.items():
@@ -101,11 +106,14 @@ def replay(
                 F.lit(on).alias("compliance"),
                 F.col(f"raw_{r}").alias("raw_destination"),
             )
-            for r in routers
+            for r in names
             for on in compliance
         ]
     )
     wide = narrow.join(outcomes_by_log(observations), "log_id", "left")
+    for router, table in decisions.items():
+        chosen_there = table.select("log_id", F.col("raw_destination").alias(f"raw_{router}"))
+        wide = wide.join(chosen_there, "log_id", "left")
     long = wide.withColumn("_run", F.explode(runs)).withColumn(
         "destination", enforce(F.col("_run.raw_destination"), F.col("sensitive"), F.col("_run.compliance"))
     )

@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from tierflow.plans import learning, rows, traces  # noqa: F401
+from tierflow.plans import learning, rows, streams, traces  # noqa: F401
 from tierflow.plans.registry import CHECKS, QUERIES
 
 __all__ = ["CHECKS", "QUERIES"]

@@ -33,7 +33,7 @@ def log_steps(spark, directory):
         "log_id",
         "Node",
         "ts",
-        routing.static_destination().alias("teacher"),
+        *choices.judged(),
         payload_bytes(F.col("Content")).cast("double").alias("f0"),
     )
     # The features are read once per fitted edge set and again for every use of
@@ -43,26 +43,39 @@ def log_steps(spark, directory):
             "log_id",
             "Node",
             "ts",
-            "teacher",
+            F.col("desired").alias("teacher"),
+            "sensitive",
             "f0",
             F.coalesce("cpu_pct", F.lit(0.0)).alias("f1"),
             F.coalesce("mem_pct", F.lit(0.0)).alias("f2"),
         )
     )
     components = [F.col("f0"), F.col("f1"), F.col("f2")]
-    bins = states.fit_bins(featured, components, STATE_BINS)
+    bins = states.fit_bins(featured, components, STATE_BINS, featured.count())
     return featured.withColumn("state", states.state_key(bins.apply(components))).withColumn(
         "action", qpolicy.behaviour_action(F.col("teacher"), F.col("log_id"))
     )
 
 
 def logged_moves(spark, directory, steps):
-    """Transitions of the behaviour policy with their rewards."""
-    rewarded = choices.rewards(
-        tables.logs(spark, directory), tables.observations(spark, directory)
-    ).select("log_id", routing.action_code(F.col("destination")).alias("action"), "reward")
-    moves = qpolicy.transitions(steps.select("log_id", "Node", "ts", "state", "action"))
-    return moves.join(rewarded, ["log_id", "action"])
+    """Transitions of the behaviour policy with their rewards.
+
+    Each step meets only the outcome of its own action.
+    """
+    acted = steps.select(
+        "log_id",
+        "Node",
+        "ts",
+        "state",
+        "action",
+        "sensitive",
+        F.col("teacher").alias("desired"),
+        routing.action_destination(F.col("action")).alias("destination"),
+    )
+    moves = qpolicy.transitions(acted)
+    return choices.with_reward(
+        moves.join(tables.observations(spark, directory), ["log_id", "destination"])
+    )
 
 
 def fit_tabular(spark, directory, sweeps=3):
@@ -73,8 +86,10 @@ def fit_tabular(spark, directory, sweeps=3):
     return steps, cut_lineage(qpolicy.greedy_policy(q))
 
 
-def with_state(logs, steps):
-    return logs.join(steps.select("log_id", "state"), "log_id", "left")
+def q_decisions(steps, policy):
+    return qpolicy.route_q(steps, policy, F.col("teacher")).select(
+        "log_id", "state", "raw_destination"
+    )
 
 
 # ---- system state and energy ----------------------------------------------
@@ -297,8 +312,7 @@ def q_policy(spark, directory):
 @query("route_q", check("SELECT log_id, state, raw AS raw_destination FROM q_route", "q_route"))
 def route_q(spark, directory):
     steps, policy = fit_tabular(spark, directory)
-    routed = qpolicy.route_q(with_state(tables.logs(spark, directory), steps), policy)
-    return routed.select("log_id", "state", "raw_destination")
+    return q_decisions(steps, policy)
 
 
 @query(

@@ -2,11 +2,11 @@
 
 from pyspark.sql import functions as F
 
-from tierflow.operators import cbr, choices, qpolicy, routing, summaries
+from tierflow.operators import cbr, choices, routing, summaries
 from tierflow.operators.ordered import positions
 from tierflow.operators.percentiles import exact_percentiles
 from tierflow.operators.trace import outcomes_by_log, replay
-from tierflow.plans.learning import fit_tabular, with_state
+from tierflow.plans.learning import fit_tabular, q_decisions
 from tierflow.plans.registry import query, rounded
 from tierflow.plans.sql import ADDITIVE, COMBINED, STATIC, check
 from tierflow.schemas import TIERS
@@ -34,6 +34,11 @@ def replayed(spark, directory, compliance=(False,), learned=True):
     return replay(logs, outcomes, routers, F.col("LogSource"), compliance)
 
 
+def log_count(spark, directory):
+    """Rows of the log table, read from file footers; no run has more."""
+    return tables.table(spark, directory, "events").count()
+
+
 def run_table(spark, directory):
     return summaries.run_summary(replayed(spark, directory))
 
@@ -72,7 +77,9 @@ FROM base GROUP BY router, dataset_name ORDER BY Dataset, Method""",
     ),
 )
 def results_summary(spark, directory):
-    return rounded(summaries.results_summary(replayed(spark, directory)), fine=WATT_HOURS)
+    return rounded(summaries.results_summary(
+            replayed(spark, directory), at_most=log_count(spark, directory)
+        ), fine=WATT_HOURS)
 
 
 @query(
@@ -80,7 +87,9 @@ def results_summary(spark, directory):
     check(f"SELECT dataset_name, {COMBINED} FROM base GROUP BY dataset_name", "base"),
 )
 def combined_summary(spark, directory):
-    return rounded(summaries.combined_summary(replayed(spark, directory)))
+    """Pools the five routers, so a data set may have five rows per log."""
+    pooled = 5 * log_count(spark, directory)
+    return rounded(summaries.combined_summary(replayed(spark, directory), at_most=pooled))
 
 
 @query(
@@ -118,7 +127,8 @@ MARKDOWN_DOUBLES = {
     ),
 )
 def summary_markdown(spark, directory):
-    summary = rounded(summaries.combined_summary(replayed(spark, directory)))
+    pooled = 5 * log_count(spark, directory)
+    summary = rounded(summaries.combined_summary(replayed(spark, directory), at_most=pooled))
     return results.markdown_rows(summary, MARKDOWN)
 
 
@@ -190,7 +200,7 @@ FROM base GROUP BY router, dataset_name"""
     ),
 )
 def tail_latency(spark, directory):
-    return rounded(summaries.tail_latency(replayed(spark, directory)))
+    return rounded(summaries.tail_latency(replayed(spark, directory), at_most=log_count(spark, directory)))
 
 
 @query(
@@ -268,7 +278,9 @@ FROM (SELECT *, destination AS tier FROM enforced UNION ALL SELECT *, 'all' FROM
     ),
 )
 def per_backend_metrics(spark, directory):
-    return rounded(summaries.per_backend_metrics(replayed(spark, directory, (True,))))
+    return rounded(summaries.per_backend_metrics(
+            replayed(spark, directory, (True,)), log_count(spark, directory)
+        ))
 
 
 # ---- run tables ------------------------------------------------------------
@@ -558,7 +570,9 @@ def lambda_sweep(spark, directory):
     static = replay(logs, outcomes, {"static": routing.route_static}, F.col("LogSource"))
 
     def median(column):
-        return exact_percentiles(static, ["router"], column, [0.5]).first()["percentile"]
+        bound = log_count(spark, directory)
+        found = exact_percentiles(static, ["router"], column, [0.5], at_most=bound)
+        return found.first()["percentile"]
 
     balance = median("total_latency_ms") / median("energy_cpu_pkg_j")
     pairs = [(x, False) for x in LAMBDAS] + [(balance, True)]
@@ -709,9 +723,13 @@ def compare_routers(spark, directory):
     logs, outcomes = tables.logs(spark, directory), tables.observations(spark, directory)
     model = cbr.fit_cbr(logs, outcomes)
     steps, policy = fit_tabular(spark, directory)
-    routers = rule_routers() | {
-        "cbr": model.route,
-        "q_learning": lambda df: qpolicy.route_q(df, policy),
-    }
-    rows = replay(with_state(logs, steps), outcomes, routers, F.col("LogSource"))
-    return rounded(summaries.combined_summary(rows, ["router"]))
+    rows = replay(
+        logs,
+        outcomes,
+        rule_routers() | {"cbr": model.route},
+        F.col("LogSource"),
+        decisions={"q_learning": q_decisions(steps, policy)},
+    )
+    return rounded(
+        summaries.combined_summary(rows, ["router"], at_most=log_count(spark, directory))
+    )

@@ -1,6 +1,7 @@
-"""Two session-level helpers: lineage cuts and checked broadcasts."""
+"""Two session-level helpers: stored intermediate tables and checked broadcasts."""
 
 import tempfile
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -9,35 +10,40 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 200_000
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the cluster's shared checkpoint folder; make one only in local mode."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
+def shared_folder(spark: SparkSession) -> str:
+    """The folder all executors share, as the cluster names it.
+
+    Only a local session without the setting gets a folder of its own.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
-        context.setCheckpointDir(configured)
-    elif context.master.startswith("local"):
+        return configured
+    context = spark.sparkContext
+    if context.getCheckpointDir() is None:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="tierflow-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return context.getCheckpointDir()
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the checkpoint folder and read it from there on."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write ``df`` to the shared folder and read it from there on.
+
+    A lost executor then costs a reread, not a recomputation, and the planner
+    knows the size of the table.
+    """
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tierflow-{uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
     """Broadcast ``df`` only after counting that it is small.
 
-    ``df`` should already be an aggregate.  It is checkpointed, so that the
-    count and the later join read the stored rows and do not compute it twice.
-    A larger table comes back without a hint and joins by shuffle, where
-    adaptive execution splits skewed keys.
+    ``df`` should be an aggregate; it is stored, so that the count and the
+    later join do not compute it twice.  A larger table comes back without a
+    hint and joins by shuffle, where adaptive execution splits skewed keys.
     """
     stored = cut_lineage(df)
-    if stored.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(stored)
-    return stored
+    return F.broadcast(stored) if stored.count() <= max_rows else stored

@@ -4,12 +4,35 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+# Columns of the tables in use, so that opening one starts no job.
+SCHEMAS = {
+    "events": "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string",
+    "documents": "doc_id long, text string, lang string, source string, n_chars long",
+    "embeddings": "vec_id long, embedding array<float>, label int",
+    "labels": "doc_id long, quality int, toxic int",
+}
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{directory}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{directory}/{name}.parquet")
+
+
+def table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
+    """The same table as a file stream."""
+    return (
+        spark.readStream.schema(SCHEMAS[name])
+        .option("pathGlobFilter", f"{name}.parquet")
+        .option("maxFilesPerTrigger", 1)
+        .parquet(directory)
+    )
 
 
 def logs(spark: SparkSession, directory: str) -> DataFrame:
     """Every event as a log entry.  ``ts`` stays a timestamp without zone."""
+    return as_logs(table(spark, directory, "events"))
+
+
+def as_logs(events: DataFrame) -> DataFrame:
     user = F.col("user_id")
     event = F.col("event_id")
     kind = F.col("event_type")
@@ -42,7 +65,7 @@ def logs(spark: SparkSession, directory: str) -> DataFrame:
         .when(message == 7, F.concat(F.lit("sessionId="), user_text))
         .otherwise(F.concat(kind, F.lit(" by user "), user_text, F.lit(" "), "props"))
     )
-    return table(spark, directory, "events").select(
+    return events.select(
         event.alias("log_id"),
         "ts",
         event.cast("string").alias("LineId"),
