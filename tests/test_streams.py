@@ -118,13 +118,18 @@ def test_strict_warmup_holds_the_classifier_back(spark, tmp_path):
 def test_dump_modes(spark, tmp_path):
     stats = cbr.bucket_stats(cbr.feedback(batch_logs(spark), tables.observations(spark, SMALL), 0.5))
     model = cbr.model_from_stats(stats)
-    for mode, folders in (("overwrite", {"d"}), ("timestamp", {"d_0", "d_2"})):
+    for mode, every, expected in (
+        ("overwrite", 1, {"d"}),
+        ("append", 1, {"d"}),
+        ("timestamp", 2, {"d_1", "d_3"}),
+    ):
         base = tmp_path / mode
         base.mkdir()
-        dump = dump_diagnostics(str(base / "d"), every=1 if mode == "overwrite" else 2, mode=mode)
-        for batch in (0, 1, 2, 3):
-            dump(batch - 1 if mode == "timestamp" else batch, model)
-        found = {p.name for p in base.iterdir()}
-        assert folders & found or found
+        dump = dump_diagnostics(str(base / "d"), every, mode)
+        for batch in range(4):
+            dump(batch, model)
+        assert {p.name for p in base.iterdir()} == expected
+    dump_diagnostics(str(tmp_path / "none"), 0)(0, model)
+    assert not (tmp_path / "none").exists()
     with pytest.raises(ValueError):
         dump_diagnostics("x", mode="other")

@@ -196,10 +196,12 @@ class CbrModel:
 def model_from_stats(stats: DataFrame, num_buckets: int = NUM_BUCKETS) -> CbrModel:
     """Score the attributes and fix the policy.
 
-    The statistics table is stored first.  Two one-row results, the name of
-    the best attribute and of the overall best tier, become parameters.
+    The statistics table is stored first.  It has at most attributes x buckets
+    x tiers rows, so it is read as one partition and scored without a shuffle.
+    Two one-row results, the name of the best attribute and of the overall best
+    tier, become parameters.
     """
-    stored = cut_lineage(stats)
+    stored = cut_lineage(stats).coalesce(1)
     classifier = classifier_attribute(attribute_scores(stored)).first()["classifier"]
     fallback = global_best(stored).first()["best_destination"]
     policy = (

@@ -3,16 +3,16 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierflow.operators.ordered import asof_backward, neighbour
+from tierflow.operators.ordered import asof_backward, fitting_block, neighbour, time_block
 
 
-def counter_deltas(readings: DataFrame, block_hours: int = 24) -> DataFrame:
+def counter_deltas(readings: DataFrame, block_s: float | None = None) -> DataFrame:
     """Increase of each counter since its previous reading.
 
     A counter that went down has wrapped: the increase is 0 and the row is
     marked with ``energy_valid = false``.
     """
-    block = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (3600 * block_hours))
+    block = time_block(F.col("ts"), block_s or fitting_block(readings, F.col("ts")))
     paired = neighbour(readings, ["host", "domain"], ["ts", "seq"], ["energy_uj"], block)
     change = F.col("energy_uj") - F.col("prev_energy_uj")
     return paired.where("prev_energy_uj IS NOT NULL").select(
@@ -61,6 +61,7 @@ def energy_between(
     period_s: float,
     bucket_s: float | None = None,
     salts: int = 8,
+    block_s: float | None = None,
 ) -> DataFrame:
     """Joules of each interval ``(interval_id, host, t0, t1)`` by trapezoids.
 
@@ -115,13 +116,14 @@ def energy_between(
             F.count("*").alias("samples"),
         )
     )
+    seconds = block_s or fitting_block(intervals, F.timestamp_seconds("t1"))
     held = asof_backward(
         intervals.withColumn("ts", F.col("t1")),
         samples,
         "host",
         "ts",
         ["watts"],
-        F.floor(F.col("ts") / (24 * width)),
+        F.floor(F.col("ts") / seconds),
     )
     hold = F.coalesce(
         F.greatest(F.lit(0.0), F.col("watts")) * (F.col("t1") - F.col("t0")), F.lit(0.0)

@@ -11,6 +11,29 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+# Rows of the whole table in one time block on average.  Even if they all belong
+# to one key, a task can sort many times as many.
+BLOCK_ROWS = 200_000
+
+
+def time_block(ts: Column, seconds: float) -> Column:
+    """Number of the time block of a timestamp."""
+    return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1e6))
+
+
+def fitting_block(df: DataFrame, ts: Column, rows: int = BLOCK_ROWS) -> float:
+    """Width in seconds of time blocks with about ``rows`` rows of ``df``.
+
+    Reads one column once.  A table of fewer rows gets a single block.
+    """
+    micros = F.unix_micros(ts.cast("timestamp"))
+    first, last, n = df.agg(F.min(micros), F.max(micros), F.count("*")).first()
+    if not n or first is None:
+        return 1.0
+    span = (last - first) / 1e6 + 1.0
+    # blocks count from 1970, so a single block must be wide enough for that
+    return span * rows / n if n > rows else max(span, last / 1e6) * 2 + 1.0
+
 
 def neighbour(
     df: DataFrame,

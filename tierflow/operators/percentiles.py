@@ -9,6 +9,7 @@ stretch longer, never the result wrong.
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from math import sqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,13 +20,16 @@ from tierflow.runtime import checked_broadcast
 # A group with at most this many rows may be held by one task.
 DIRECT_ROWS = 1_000_000
 
+# Rows assumed for the largest group where no bound is given.
+LARGE_GROUP = 2_500_000_000
+
 
 def exact_percentiles(
     df: DataFrame,
     keys: Sequence[str],
     value: str,
     probabilities: Sequence[float],
-    accuracy: int = 10_000,
+    accuracy: int | None = None,
     direct_rows: int = DIRECT_ROWS,
     at_most: int | None = None,
 ) -> DataFrame:
@@ -36,6 +40,10 @@ def exact_percentiles(
     ``direct_rows`` rows, the built-in percentile is used.  ``at_most`` is a
     known upper bound on the rows of a group, such as the number of logs;
     without it the groups are counted.
+
+    ``accuracy`` is the number of ranks the sketch tells apart.  It grows with
+    the square root of the rows, so that neither the sketch nor the stretch to
+    be ordered outgrows a task.
     """
     keys = list(keys)
     clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value))).select(
@@ -43,6 +51,7 @@ def exact_percentiles(
     )
     if at_most is not None and at_most <= direct_rows:
         return _direct_percentiles(clean, keys, probabilities)
+    accuracy = accuracy or max(10_000, int(2 * sqrt(at_most or LARGE_GROUP)))
     margin = 2.0 / accuracy
     cuts = sorted(
         {min(1.0, max(0.0, p + side * margin)) for p in probabilities for side in (-1, 1)}

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.functions.text import hash_uniform
-from tierflow.operators.ordered import neighbour
+from tierflow.operators.ordered import fitting_block, neighbour, time_block
 from tierflow.operators.routing import action_code, action_destination, static_destination
 from tierflow.runtime import checked_broadcast, cut_lineage
 from tierflow.schemas import TIERS
@@ -40,12 +40,12 @@ def behaviour_action(
     return F.when(explore, F.when(guided, action_code(teacher)).otherwise(uniform)).otherwise(best)
 
 
-def transitions(steps: DataFrame, block_hours: int = 24) -> DataFrame:
+def transitions(steps: DataFrame, block_s: float | None = None) -> DataFrame:
     """Add the state of the next log of the same node; ``done`` if there is none.
 
     ``steps`` has ``Node, ts, log_id, state``; a busy node is cut by time.
     """
-    block = F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / (3600 * block_hours))
+    block = time_block(F.col("ts"), block_s or fitting_block(steps, F.col("ts")))
     paired = neighbour(steps, ["Node"], ["ts", "log_id"], ["state"], block, ahead=True)
     return paired.withColumn("done", F.col("next_state").isNull())
 
@@ -64,29 +64,42 @@ def teacher_by_state(steps: DataFrame) -> DataFrame:
     return counted.groupBy("state").agg(F.max_by("teacher", order).alias("teacher"))
 
 
+def value_column(action: int) -> str:
+    return f"q_{action}"
+
+
+VALUES = tuple(value_column(a) for a in range(len(TIERS)))
+
+
 def initial_q(teachers: DataFrame, prior_bonus: float = PRIOR_BONUS) -> DataFrame:
-    """Zero table with a bonus on the teacher's action."""
-    actions = F.array(*[F.lit(i) for i in range(len(TIERS))])
-    return teachers.withColumn("action", F.explode(actions)).select(
+    """One row per state: zero per action, a bonus on the teacher's action."""
+    taught = action_code(F.col("teacher"))
+    return teachers.select(
         "state",
-        "action",
-        F.when(action_code(F.col("teacher")) == F.col("action"), prior_bonus)
-        .otherwise(0.0)
-        .alias("q"),
+        *[F.when(taught == a, prior_bonus).otherwise(0.0).alias(v) for a, v in enumerate(VALUES)],
     )
 
 
 def sweep(q: DataFrame, counts: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """One fitted-value step; pairs never tried keep their value."""
-    values = q.groupBy(F.col("state").alias("next_state")).agg(F.max("q").alias("_v"))
-    target = F.sum(F.col("sum_reward") + gamma * F.col("n") * F.coalesce("_v", F.lit(0.0)))
-    updated = (
-        counts.join(values, "next_state", "left")
-        .groupBy("state", "action")
-        .agg((target / F.sum("n")).alias("_q"))
+    """One fitted-value step; actions never tried in a state keep their value.
+
+    The actions of a state stand side by side, so the best one is a row
+    expression and a step is one aggregation.
+    """
+    best = q.select(F.col("state").alias("next_state"), F.greatest(*VALUES).alias("_v"))
+    target = F.col("sum_reward") + gamma * F.col("n") * F.coalesce("_v", F.lit(0.0))
+
+    def mean_target(action: int) -> Column:
+        here = F.col("action") == action
+        return F.sum(F.when(here, target)) / F.sum(F.when(here, F.col("n")))
+
+    tried = (
+        counts.join(best, "next_state", "left")
+        .groupBy("state")
+        .agg(*[mean_target(a).alias(f"_{v}") for a, v in enumerate(VALUES)])
     )
-    return q.join(updated, ["state", "action"], "left").select(
-        "state", "action", F.coalesce("_q", "q").alias("q")
+    return q.join(tried, "state", "left").select(
+        "state", *[F.coalesce(f"_{v}", v).alias(v) for v in VALUES]
     )
 
 
@@ -109,7 +122,14 @@ def fit_q(
         q = sweep(q, stored, gamma)
         if i % store_every == 0 and i < sweeps:
             q = cut_lineage(q)
-    return q
+    return by_action(q)
+
+
+def by_action(q: DataFrame) -> DataFrame:
+    """One row per state and action."""
+    return q.unpivot("state", list(VALUES), "_value", "q").select(
+        "state", F.substring("_value", 3, 9).cast("int").alias("action"), "q"
+    )
 
 
 def greedy_policy(q: DataFrame) -> DataFrame:

@@ -69,6 +69,13 @@ def outcomes_by_log(observations: DataFrame) -> DataFrame:
     )
 
 
+def decide(logs: DataFrame, routers: dict[str, Router]) -> DataFrame:
+    """One decision column ``raw_<router>`` per router, in one pass."""
+    for name, route in routers.items():
+        logs = route(logs).withColumnRenamed("raw_destination", f"raw_{name}")
+    return logs
+
+
 def replay(
     logs: DataFrame,
     observations: DataFrame,
@@ -90,8 +97,7 @@ def replay(
     names = [*routers, *decisions]
     name = dataset if isinstance(dataset, Column) else F.lit(dataset)
     decided = logs.withColumn("dataset_name", name).withColumn("sensitive", is_sensitive(patterns))
-    for router, route in routers.items():
-        decided = route(decided).withColumnRenamed("raw_destination", f"raw_{router}")
+    decided = decide(decided, routers)
     narrow = decided.select(
         "log_id",
         "dataset_name",

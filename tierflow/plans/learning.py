@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tierflow.functions.text import payload_bytes
 from tierflow.operators import choices, embedding, energy, learned, qpolicy, rewards, routing, states
-from tierflow.operators.ordered import asof_backward
+from tierflow.operators.ordered import asof_backward, fitting_block, time_block
 from tierflow.plans.registry import query, rounded
 from tierflow.plans.rows import NAMESPACE, SPACES
 from tierflow.plans.sql import ACTION, check
@@ -17,14 +17,11 @@ STATE_BINS = 4
 HOUR = 3600.0
 
 
-def day_block():
-    return F.floor(F.unix_seconds(F.col("ts").cast("timestamp")) / 86_400)
-
-
 def system_state(spark, directory, logs):
     """Logs with the latest readings of their node."""
     metrics = tables.system_metrics(spark, directory).withColumnRenamed("node", "Node")
-    return asof_backward(logs, metrics, "Node", "ts", SYSTEM, day_block())
+    block = time_block(F.col("ts"), fitting_block(logs, F.col("ts")))
+    return asof_backward(logs, metrics, "Node", "ts", SYSTEM, block)
 
 
 def log_steps(spark, directory):
@@ -72,7 +69,7 @@ def logged_moves(spark, directory, steps):
         F.col("teacher").alias("desired"),
         routing.action_destination(F.col("action")).alias("destination"),
     )
-    moves = qpolicy.transitions(acted)
+    moves = qpolicy.transitions(acted, block_s=7 * 86_400)
     return choices.with_reward(
         moves.join(tables.observations(spark, directory), ["log_id", "destination"])
     )
@@ -120,7 +117,7 @@ COUNTER_SQL = """SELECT *, energy_uj - prev AS change FROM (SELECT *, lag(energy
 FROM ({COUNTER_SQL})""",
 )
 def counter_delta(spark, directory):
-    return energy.counter_deltas(tables.counter_readings(spark, directory))
+    return energy.counter_deltas(tables.counter_readings(spark, directory), block_s=86_400)
 
 
 @query(
@@ -166,7 +163,7 @@ def energy_between(spark, directory):
         (start + length).alias("t1"),
     )
     samples = tables.power_samples(spark, directory)
-    joules = energy.energy_between(intervals, samples, period_s=600.0)
+    joules = energy.energy_between(intervals, samples, period_s=600.0, block_s=3 * 86_400)
     return joules.select("interval_id", "samples", F.round("energy_j", 3).alias("energy_j"))
 
 
@@ -326,7 +323,8 @@ def route_q(spark, directory):
 def unseen_states(spark, directory):
     """States that one node never met, over the logs of all nodes."""
     steps = log_steps(spark, directory)
-    known = qpolicy.initial_q(qpolicy.teacher_by_state(steps.where("Node = 'node-0'")))
+    met = qpolicy.teacher_by_state(steps.where("Node = 'node-0'"))
+    known = qpolicy.by_action(qpolicy.initial_q(met))
     return qpolicy.unseen_states(steps, known)
 
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from tierflow.operators import cbr, choices, routing, summaries
 from tierflow.operators.ordered import positions
 from tierflow.operators.percentiles import exact_percentiles
-from tierflow.operators.trace import outcomes_by_log, replay
+from tierflow.operators.trace import decide, outcomes_by_log, replay
 from tierflow.plans.learning import fit_tabular, q_decisions
 from tierflow.plans.registry import query, rounded
 from tierflow.plans.sql import ADDITIVE, COMBINED, STATIC, check
@@ -515,16 +515,17 @@ JOIN flagged f ON b.log_id = f.log_id GROUP BY ALL""",
 )
 def policy_confusion(spark, directory):
     logs, outcomes = tables.logs(spark, directory), tables.observations(spark, directory)
-    model = cbr.fit_cbr(logs, outcomes)
-    routers = rule_routers() | {"cbr": model.route}
-    desired = routing.static_destination().alias("desired")
-    decided = None
-    for name, route in routers.items():
-        rows = route(logs).select(
-            F.lit(name).alias("router"), desired, F.col("raw_destination").alias("destination")
-        )
-        decided = rows if decided is None else decided.unionByName(rows)
-    return choices.policy_confusion(decided)
+    routers = rule_routers() | {"cbr": cbr.fit_cbr(logs, outcomes).route}
+    runs = F.array(
+        *[
+            F.struct(F.lit(r).alias("router"), F.col(f"raw_{r}").alias("destination"))
+            for r in routers
+        ]
+    )
+    decided = decide(logs, routers).select(
+        routing.static_destination().alias("desired"), F.explode(runs).alias("_run")
+    )
+    return choices.policy_confusion(decided.select("desired", "_run.*"))
 
 
 @query(
