@@ -11,13 +11,13 @@ def join_unique(
     right: DataFrame,
     key: str,
     spread_by: str,
-    hot_rows: int = 1_000_000,
+    hot_rows: int = 5_000_000,
     salts: int = 64,
 ) -> DataFrame:
     """Left join to ``right``, which has each key once.
 
     Keys with more than ``hot_rows`` left rows are hot; there are at most
-    rows / ``hot_rows`` of them.  Their left rows are spread over ``salts``
+    rows / ``hot_rows`` of them, 200,000 in a million million rows.  Their left rows are spread over ``salts``
     groups by a hash of ``spread_by`` and their one right row is copied to
     each group.  All other keys keep a single group.
     """

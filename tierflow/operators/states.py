@@ -4,21 +4,26 @@ A fitted step is a few numbers per dimension.  They are read to the driver as
 model parameters, the way any fitted transformer keeps them.
 """
 
+import warnings
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.ml.feature import PCA
+import numpy as np
+from pyspark.ml.feature import PCA, ElementwiseProduct, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.operators.percentiles import exact_percentiles
 
-# How the two policies keep a deviation away from zero.
+# How the two policies keep a deviation away from zero, and the
+# newest version of stored models.
 STD_OFFSET = 1e-8
 STD_FLOOR = 1e-6
+NEWEST_VERSION = 3
 
 
 def doubles(column: str) -> Column:
@@ -61,28 +66,52 @@ def fit_scaler(df: DataFrame, vector: str, floor: bool = False) -> Scaler:
 
 @dataclass(frozen=True)
 class Projection:
-    """Principal axes, one row each, of already scaled vectors."""
+    """Scaling and projection on principal axes in one native step.
 
-    axes: tuple[tuple[float, ...], ...]
-
-    def apply(self, vector: Column) -> Column:
-        def along(axis: Sequence[float]) -> Column:
-            products = F.zip_with(vector, F.lit(list(axis)), lambda x, a: x * a)
-            return F.aggregate(products, F.lit(0.0), lambda total, x: total + x)
+    The fitted model neither scales nor centres, so the vector is divided by
+    the deviations first and the projected mean is taken off at the end.
+    ``signs`` turns each axis so that its largest loading is positive.
+    """
 
-        return F.array(*[along(axis) for axis in self.axes])
+    model: PCAModel
+    std: tuple[float, ...]
+    signs: tuple[float, ...]
+    offset: tuple[float, ...]
+
+    @property
+    def size(self) -> int:
+        return len(self.signs)
+
+    def apply(self, df: DataFrame, vector: str, name: str) -> DataFrame:
+        """Add the array ``name`` with one number per axis."""
+        scaled = divided(df, vector, self.std, "_scaled")
+        along = vector_to_array("_axes")
+        turned = F.zip_with(along, F.lit(list(self.signs)), lambda x, s: x * s)
+        centred = F.zip_with(turned, F.lit(list(self.offset)), lambda x, o: x - o)
+        return self.model.transform(scaled).withColumn(name, centred).drop("_scaled", "_axes")
+
+
+def divided(df: DataFrame, vector: str, std: Sequence[float], name: str) -> DataFrame:
+    """Add the vector divided by the deviations as an ML vector column."""
+    product = ElementwiseProduct(
+        scalingVec=Vectors.dense([1.0 / s for s in std]), inputCol="_raw", outputCol=name
+    )
+    raw = df.withColumn("_raw", array_to_vector(doubles(vector)))
+    return product.transform(raw).drop("_raw")
 
 
-def fit_projection(df: DataFrame, vector: str, components: int) -> Projection:
-    """Axes of the scaled vectors; each axis's largest loading is positive."""
-    width = len(df.select(vector).first()[0])
-    k = min(int(components), width)
+def fit_projection(df: DataFrame, vector: str, scaler: Scaler, components: int) -> Projection:
+    """Principal axes of the scaled vectors."""
+    k = min(int(components), len(scaler.mean))
     if k <= 0:
         raise ValueError(f"invalid number of components: {components}")
-    vectors = df.select(array_to_vector(doubles(vector)).alias("v"))
-    axes = PCA(k=k, inputCol="v", outputCol="p").fit(vectors).pc.toArray().T
-    turned = [axis if abs(axis.max()) >= abs(axis.min()) else -axis for axis in axes]
-    return Projection(tuple(tuple(float(x) for x in axis) for axis in turned))
+    scaled = divided(df.select(vector), vector, scaler.std, "_scaled")
+    model = PCA(k=k, inputCol="_scaled", outputCol="_axes").fit(scaled)
+    axes = model.pc.toArray()
+    signs = [1.0 if a.max() >= -a.min() else -1.0 for a in axes.T]
+    centre = np.array(scaler.mean) / np.array(scaler.std)
+    offset = (centre @ axes) * np.array(signs)
+    return Projection(model, tuple(scaler.std), tuple(signs), tuple(float(o) for o in offset))
 
 
 @dataclass(frozen=True)
@@ -133,6 +162,6 @@ def compatible(scaler: Scaler | None, obs_dim: int | None, version: int | None =
     """Whether fitted steps may be used: a scaler of the declared length."""
     if scaler is None or not scaler.mean or not scaler.std:
         return False
-    if version is not None and version > 3:
-        print(f"model version {version} is newer than 3, trying anyway")
+    if version is not None and version > NEWEST_VERSION:
+        warnings.warn(f"model version {version} is newer than {NEWEST_VERSION}", stacklevel=2)
     return obs_dim is None or obs_dim == len(scaler.mean)

@@ -3,7 +3,17 @@
 from pyspark.sql import functions as F
 
 from tierflow.functions.text import payload_bytes
-from tierflow.operators import choices, embedding, energy, learned, qpolicy, rewards, routing, states
+from tierflow.operators import (
+    choices,
+    embedding,
+    energy,
+    learned,
+    qpolicy,
+    rewards,
+    routing,
+    states,
+    tabular,
+)
 from tierflow.operators.ordered import asof_backward, fitting_block, time_block
 from tierflow.plans.registry import query, rounded
 from tierflow.plans.rows import NAMESPACE, SPACES
@@ -260,16 +270,10 @@ def state_key(spark, directory):
 @query("pca")
 def pca(spark, directory):
     """State of each vector after scaling, projection and binning."""
-    frame = vectors(spark, directory)
-    scaler = states.fit_scaler(frame, "embedding")
-    scaled = frame.select("vec_id", scaler.apply(states.doubles("embedding")).alias("z"))
-    projection = states.fit_projection(scaled, "z", qpolicy.PCA_COMPONENTS)
-    reduced = scaled.select("vec_id", projection.apply(F.col("z")).alias("r"))
-    components = [F.col("r")[i] for i in range(qpolicy.PCA_COMPONENTS)]
-    bins = states.fit_bins(reduced, components, qpolicy.N_BINS)
-    return reduced.select(
-        "vec_id", "r", states.state_key(bins.apply(components)).alias("state")
-    )
+    frame = vectors(spark, directory).select("vec_id", "embedding")
+    steps = tabular.fit_steps(frame, "embedding")
+    reduced = steps.projection.apply(frame, "embedding", "reduced")
+    return steps.apply(reduced, "embedding").select("vec_id", "reduced", "state")
 
 
 # ---- tabular policy --------------------------------------------------------
@@ -360,29 +364,59 @@ def best_action(spark, directory):
     return choices.best_action(rewarded)
 
 
-@query("mlp_policy")
-def mlp_policy(spark, directory):
-    """Confusion of the learned policy with the best-rewarded destination."""
-    logs = tables.logs(spark, directory).select("log_id", "Node", "ts", "Content")
-    encoder = embedding.hashed_words(32)
+def observed_logs(spark, directory, dim=32):
+    """Logs with the vector of system state and content, stored once."""
+    logs = tables.logs(spark, directory).select(
+        "log_id", "Node", "ts", "Content", routing.static_destination().alias("desired")
+    )
+    encoder = embedding.hashed_words(dim)
     content = F.col("Content")
     texts = cut_lineage(embedding.embed_texts(logs, content, NAMESPACE, encoder))
     embedded = embedding.attach_embeddings(logs, content, NAMESPACE, texts, "log_id")
-    attached = system_state(spark, directory, embedded)
-    labels = choices.best_action(
-        choices.rewards(tables.logs(spark, directory), tables.observations(spark, directory))
+    return cut_lineage(
+        system_state(spark, directory, embedded.drop("Content", "key")).select(
+            "log_id",
+            "Node",
+            "ts",
+            "desired",
+            states.observation(SYSTEM, "embedding").alias("vector"),
+        )
+    )
+
+
+def learned_decisions(observed, rewarded, max_iter):
+    """Best-rewarded and predicted destination of every log."""
+    labelled = observed.join(choices.best_action(rewarded), "log_id")
+    scaler = states.fit_scaler(observed, "vector", floor=True)
+    scaled = cut_lineage(
+        labelled.select("log_id", "best_destination", scaler.apply(F.col("vector")).alias("vector"))
     )
-    observed = attached.select(
-        "log_id", states.observation(SYSTEM, "embedding").alias("vector")
-    ).join(labels, "log_id")
-    stored = cut_lineage(observed)
-    scaler = states.fit_scaler(stored, "vector", floor=True)
-    scaled = stored.withColumn("vector", scaler.apply(F.col("vector")))
-    model = learned.fit_classifier(scaled, "vector", len(scaler.mean), max_iter=20)
-    routed = learned.route_learned(scaled, F.col("vector"), model)
+    model = learned.fit_classifier(scaled, "vector", len(scaler.mean), max_iter=max_iter)
+    return learned.route_learned(scaled, F.col("vector"), model)
+
+
+@query("mlp_policy")
+def mlp_policy(spark, directory):
+    """Confusion of the learned policy with the best-rewarded destination."""
+    rewarded = choices.rewards(
+        tables.logs(spark, directory), tables.observations(spark, directory)
+    )
+    routed = learned_decisions(observed_logs(spark, directory), rewarded, 20)
     return routed.groupBy("best_destination", "raw_destination").agg(F.count("*").alias("logs"))
 
 
+@query("tabular_policy")
+def tabular_policy(spark, directory):
+    """Destinations of the policy fitted on projected observations."""
+    observed = observed_logs(spark, directory)
+    rewarded = choices.rewards(
+        tables.logs(spark, directory), tables.observations(spark, directory)
+    )
+    policy = tabular.fit_policy(observed, "vector", rewarded, components=3, n_bins=4)
+    routed = policy.steps.apply(observed, "vector").withColumnRenamed("desired", "teacher")
+    return q_decisions(routed, qpolicy.greedy_policy(policy.q))
+
+
 KEYED = rf"""SELECT doc_id, sha1('{NAMESPACE}' || chr(10) || t) AS key, lower(t) AS t FROM (SELECT doc_id,
   trim(regexp_replace(coalesce(text, ''), '{SPACES}', ' ', 'g')) AS t FROM documents)"""
 

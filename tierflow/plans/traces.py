@@ -6,9 +6,10 @@ from tierflow.operators import cbr, choices, routing, summaries
 from tierflow.operators.ordered import positions
 from tierflow.operators.percentiles import exact_percentiles
 from tierflow.operators.trace import decide, outcomes_by_log, replay
-from tierflow.plans.learning import fit_tabular, q_decisions
+from tierflow.plans.learning import fit_tabular, learned_decisions, observed_logs, q_decisions
 from tierflow.plans.registry import query, rounded
 from tierflow.plans.sql import ADDITIVE, COMBINED, STATIC, check
+from tierflow.runtime import cut_lineage
 from tierflow.schemas import TIERS
 from tierflow.sources import results, tables
 
@@ -734,3 +735,27 @@ def compare_routers(spark, directory):
     return rounded(
         summaries.combined_summary(rows, ["router"], at_most=log_count(spark, directory))
     )
+
+
+@query("compare_learned")
+def compare_learned(spark, directory):
+    """The learned policy next to the rule and adaptive routers.
+
+    Without SQL: the classifier's weights depend on the order of summation.
+    """
+    logs, outcomes = tables.logs(spark, directory), tables.observations(spark, directory)
+    model = cbr.fit_cbr(logs, outcomes)
+    rewarded = choices.rewards(logs, outcomes)
+    decided = cut_lineage(
+        learned_decisions(observed_logs(spark, directory), rewarded, 10).select(
+            "log_id", "raw_destination"
+        )
+    )
+    rows = replay(
+        logs,
+        outcomes,
+        rule_routers() | {"cbr": model.route},
+        F.col("LogSource"),
+        decisions={"learned": decided},
+    )
+    return summaries.combined_summary(rows, ["router"], at_most=log_count(spark, directory))

@@ -6,8 +6,8 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# A side with at most this many short rows is a few tens of megabytes.
-BROADCAST_ROWS = 200_000
+# Largest table, written out as text, that is sent to every executor.
+BROADCAST_BYTES = 64 * 1024 * 1024
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -38,12 +38,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast ``df`` only after counting that it is small.
+def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Broadcast ``df`` only after measuring that it is small.
 
-    ``df`` should be an aggregate; it is stored, so that the count and the
-    later join do not compute it twice.  A larger table comes back without a
-    hint and joins by shuffle, where adaptive execution splits skewed keys.
+    ``df`` should be an aggregate; it is stored, so that the measurement and
+    the later join do not compute it twice.  A larger table comes back without
+    a hint and joins by shuffle, where adaptive execution splits skewed keys.
     """
     stored = cut_lineage(df)
-    return F.broadcast(stored) if stored.count() <= max_rows else stored
+    size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
+    return F.broadcast(stored) if (size or 0) <= max_bytes else stored
