@@ -22,13 +22,19 @@ def skewed(rows=900, seed=1):
     )
 
 
+@pytest.mark.parametrize("width", [100, None])
 @pytest.mark.parametrize("ahead", [False, True])
-def test_neighbour(spark, ahead):
+def test_neighbour(spark, ahead, width):
     pdf = skewed()
     expected = pdf.copy()
     expected["n"] = expected.sort_values(["t", "id"]).groupby("k").x.shift(-1 if ahead else 1)
     got = ordered.neighbour(
-        spark.createDataFrame(pdf), ["k"], ["t", "id"], ["x"], F.floor(F.col("t") / 100), ahead
+        spark.createDataFrame(pdf),
+        ["k"],
+        ["t", "id"],
+        ["x"],
+        width and F.floor(F.col("t") / width),
+        ahead,
     ).toPandas()
     name = "next_x" if ahead else "prev_x"
     merged = expected.merge(got[["id", name]], on="id")
@@ -62,11 +68,25 @@ def test_rolling_over_chunk_edges(spark):
     assert len(got) == len(pdf)
 
 
-def test_asof_carries_over_empty_blocks(spark):
+def test_fitting_block(spark):
+    df = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 2).alias("ts"))
+    assert ordered.fitting_block(df, F.col("ts"), rows=1000) is None
+    width = ordered.fitting_block(df, F.col("ts"), rows=100)
+    sizes = df.groupBy(ordered.time_block(F.col("ts"), width)).count().toPandas()["count"]
+    assert sizes.max() <= 101 and len(sizes) == 10
+
+
+@pytest.mark.parametrize("width", [50, None])
+def test_asof_carries_over_empty_blocks(spark, width):
     left = skewed()[["k", "id", "t"]]
     right = skewed(60, seed=2)[["k", "t", "x"]].drop_duplicates(["k", "t"])
     got = ordered.asof_backward(
-        spark.createDataFrame(left), spark.createDataFrame(right), "k", "t", ["x"], F.floor(F.col("t") / 50)
+        spark.createDataFrame(left),
+        spark.createDataFrame(right),
+        "k",
+        "t",
+        ["x"],
+        width and F.floor(F.col("t") / width),
     ).toPandas()
     expected = pd.merge_asof(left.sort_values("t"), right.sort_values("t"), on="t", by="k")
     both = expected.merge(got, on="id", suffixes=("_e", "_g"))

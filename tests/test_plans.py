@@ -49,6 +49,7 @@ def test_no_window_over_all_rows(spark):
     steps = tables.logs(spark, SMALL).select("log_id", "Node", "ts", F.col("Level").alias("state"))
     for df in (
         qpolicy.transitions(steps),
+        qpolicy.transitions(steps, block_s=3600),
         sampling.balanced_order(tables.logs(spark, SMALL).select("log_id", "LogSource")),
     ):
         assert "SinglePartition" not in plan(df)

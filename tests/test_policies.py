@@ -60,7 +60,7 @@ def test_policy_survives_saving(spark, tmp_path):
         [(i, t, 1.0 if t == "ipfs" else -1.0) for i in range(80) for t in ("mysql", "elk", "ipfs")],
         "log_id long, destination string, reward double",
     )
-    policy = tabular.fit_policy(logs, "v", rewarded, components=1, n_bins=2, sweeps=6)
+    policy = tabular.fit_policy(logs, "v", rewarded, components=1, n_bins=2, sweeps=3)
     assert policy.metadata["obs_dim"] == 4 and policy.usable
     routed = policy.route(logs, "v").orderBy("log_id").collect()
     assert {r.raw_destination for r in routed} == {"ipfs"}

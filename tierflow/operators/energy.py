@@ -123,7 +123,7 @@ def energy_between(
         "host",
         "ts",
         ["watts"],
-        F.floor(F.col("ts") / seconds),
+        None if seconds is None else F.floor(F.col("ts") / seconds),
     )
     hold = F.coalesce(
         F.greatest(F.lit(0.0), F.col("watts")) * (F.col("t1") - F.col("t0")), F.lit(0.0)

@@ -16,23 +16,24 @@ from pyspark.sql import functions as F
 BLOCK_ROWS = 200_000
 
 
-def time_block(ts: Column, seconds: float) -> Column:
-    """Number of the time block of a timestamp."""
+def time_block(ts: Column, seconds: float | None) -> Column | None:
+    """Number of the time block of a timestamp; no blocks without a width."""
+    if seconds is None:
+        return None
     return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1e6))
 
 
-def fitting_block(df: DataFrame, ts: Column, rows: int = BLOCK_ROWS) -> float:
+def fitting_block(df: DataFrame, ts: Column, rows: int = BLOCK_ROWS) -> float | None:
     """Width in seconds of time blocks with about ``rows`` rows of ``df``.
 
-    Reads one column once.  A table of fewer rows gets a single block.
+    Reads one column once.  A table counted to have no more rows than that
+    needs no blocks: a task can hold all of it.
     """
     micros = F.unix_micros(ts.cast("timestamp"))
     first, last, n = df.agg(F.min(micros), F.max(micros), F.count("*")).first()
-    if not n or first is None:
-        return 1.0
-    span = (last - first) / 1e6 + 1.0
-    # blocks count from 1970, so a single block must be wide enough for that
-    return span * rows / n if n > rows else max(span, last / 1e6) * 2 + 1.0
+    if n <= rows:
+        return None
+    return ((last - first) / 1e6 + 1.0) * rows / n
 
 
 def neighbour(
@@ -40,19 +41,22 @@ def neighbour(
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    block: Column,
+    block: Column | None,
     ahead: bool = False,
     prefix: str | None = None,
 ) -> DataFrame:
     """Add the previous (or next) row's ``values`` within ``keys``.
 
-    ``block`` must not decrease along ``order``.  The names get the prefix
-    ``prev_`` or ``next_``.
+    ``block`` must not decrease along ``order``; without it every key must fit
+    a task.  The names get the prefix ``prev_`` or ``next_``.
     """
     prefix = prefix or ("next_" if ahead else "prev_")
     step = F.lead if ahead else F.lag
     edge = F.min_by if ahead else F.max_by
     payload = F.struct(*values)
+    if block is None:
+        key = Window.partitionBy(*keys).orderBy(*order)
+        return df.select(*df.columns, *[step(v).over(key).alias(prefix + v) for v in values])
 
     blocked = df.withColumn("_block", block)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
@@ -139,19 +143,29 @@ def asof_backward(
     key: str,
     ts: str,
     values: Sequence[str],
-    block: Column,
+    block: Column | None,
 ) -> DataFrame:
     """Add the ``values`` of the latest right row at or before each left row.
 
     Both sides share the key and time column names; ``block`` is an expression
-    over the time column.  Rows without an earlier right row get nulls.
+    over the time column, without it every key must fit a task.  Rows without
+    an earlier right row get nulls.
     """
     row = F.struct(*left.columns)
     reading = F.struct(*values)
     left_rows = left.select(key, ts, F.lit(1).alias("_side"), row.alias("_row"))
     right_rows = right.select(key, ts, F.lit(0).alias("_side"), reading.alias("_reading"))
-    both = left_rows.unionByName(right_rows, allowMissingColumns=True).withColumn("_block", block)
+    both = left_rows.unionByName(right_rows, allowMissingColumns=True)
+    if block is None:
+        upto = (
+            Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
+        )
+        latest = both.withColumn("_near", F.last("_reading", ignorenulls=True).over(upto))
+        return latest.where("_side = 1").select(
+            "_row.*", *[F.col("_near")[v].alias(v) for v in values]
+        )
 
+    both = both.withColumn("_block", block)
     inside = (
         Window.partitionBy(key, "_block")
         .orderBy(ts, "_side")

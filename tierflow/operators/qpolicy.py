@@ -80,11 +80,14 @@ def initial_q(teachers: DataFrame, prior_bonus: float = PRIOR_BONUS) -> DataFram
     )
 
 
-def sweep(q: DataFrame, counts: DataFrame, gamma: float = GAMMA) -> DataFrame:
-    """One fitted-value step; actions never tried in a state keep their value.
+def sweep(
+    q: DataFrame, prior: DataFrame, counts: DataFrame, gamma: float = GAMMA
+) -> DataFrame:
+    """One fitted-value step; actions never tried in a state keep their prior.
 
     The actions of a state stand side by side, so the best one is a row
-    expression and a step is one aggregation.
+    expression and a step is one aggregation.  ``q`` is read once, so the plan
+    of many steps is a chain.
     """
     best = q.select(F.col("state").alias("next_state"), F.greatest(*VALUES).alias("_v"))
     target = F.col("sum_reward") + gamma * F.col("n") * F.coalesce("_v", F.lit(0.0))
@@ -98,7 +101,7 @@ def sweep(q: DataFrame, counts: DataFrame, gamma: float = GAMMA) -> DataFrame:
         .groupBy("state")
         .agg(*[mean_target(a).alias(f"_{v}") for a, v in enumerate(VALUES)])
     )
-    return q.join(tried, "state", "left").select(
+    return prior.join(tried, "state", "left").select(
         "state", *[F.coalesce(f"_{v}", v).alias(v) for v in VALUES]
     )
 
@@ -117,9 +120,10 @@ def fit_q(
     table.  Lineage is cut through the checkpoint folder every few sweeps.
     """
     stored = cut_lineage(counts)
-    q = cut_lineage(initial_q(teachers, prior_bonus))
+    prior = cut_lineage(initial_q(teachers, prior_bonus))
+    q = prior
     for i in range(1, sweeps + 1):
-        q = sweep(q, stored, gamma)
+        q = sweep(q, prior, stored, gamma)
         if i % store_every == 0 and i < sweeps:
             q = cut_lineage(q)
     return by_action(q)

@@ -27,10 +27,10 @@ STATE_BINS = 4
 HOUR = 3600.0
 
 
-def system_state(spark, directory, logs):
+def system_state(spark, directory, logs, block_s=None):
     """Logs with the latest readings of their node."""
     metrics = tables.system_metrics(spark, directory).withColumnRenamed("node", "Node")
-    block = time_block(F.col("ts"), fitting_block(logs, F.col("ts")))
+    block = time_block(F.col("ts"), block_s or fitting_block(logs, F.col("ts")))
     return asof_backward(logs, metrics, "Node", "ts", SYSTEM, block)
 
 
@@ -109,7 +109,7 @@ def q_decisions(steps, policy):
 )
 def asof_system_state(spark, directory):
     logs = tables.logs(spark, directory).select("log_id", "Node", "ts")
-    return system_state(spark, directory, logs).select("log_id", *SYSTEM)
+    return system_state(spark, directory, logs, block_s=86_400).select("log_id", *SYSTEM)
 
 
 COUNTER_SQL = """SELECT *, energy_uj - prev AS change FROM (SELECT *, lag(energy_uj) OVER
