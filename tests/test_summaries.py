@@ -45,6 +45,13 @@ def test_combined_summary(spark, at_most):
     assert list(row.asDict())[1:] == list(expected)
 
 
+def test_backend_metrics_agree_with_and_without_a_bound(spark):
+    df = spark.createDataFrame(ROWS, TRACE)
+    ranked = {tuple(r) for r in summaries.per_backend_metrics(df).collect()}
+    direct = {tuple(r) for r in summaries.per_backend_metrics(df, at_most=3).collect()}
+    assert ranked == direct and len(direct) == 5
+
+
 def test_compliance_without_sensitive_rows(spark):
     rows = [r for r in ROWS if not r[7]]
     row = summaries.compliance_metrics(spark.createDataFrame(rows, TRACE), ["dataset_name"]).first()

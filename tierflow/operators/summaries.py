@@ -1,6 +1,6 @@
 """Aggregates over traces."""
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -96,31 +96,37 @@ def with_percentiles(
     trace: DataFrame,
     keys: Sequence[str],
     measures: Sequence[Column],
-    value: str,
-    named: dict[str, float],
+    named: Mapping[str, tuple[str, float]],
     at_most: int | None = None,
 ) -> DataFrame:
     """Aggregates and exact percentiles per key.
 
-    One pass when ``at_most`` says that a task can hold a group; otherwise the
+    ``named`` maps an output column to the column it ranks and its level.  One
+    pass when ``at_most`` says that a task can hold a group; otherwise the
     percentiles come from the distributed ranking and are joined, both sides
     having one row per key.
     """
     if at_most is not None and at_most <= DIRECT_ROWS:
-        direct = [F.percentile(value, F.lit(p)).alias(n) for n, p in named.items()]
+        direct = [F.percentile(v, F.lit(p)).alias(n) for n, (v, p) in named.items()]
         return trace.groupBy(*keys).agg(*measures, *direct)
-    ranked = percentile_columns(trace, keys, value, named)
-    return trace.groupBy(*keys).agg(*measures).join(ranked, list(keys), "left")
+    summary = trace.groupBy(*keys).agg(*measures)
+    for value in dict.fromkeys(v for v, _ in named.values()):
+        levels = {n: p for n, (v, p) in named.items() if v == value}
+        ranked = percentile_columns(trace, keys, value, levels)
+        summary = summary.join(ranked, list(keys), "left")
+    return summary
 
 
 def combined_summary(
     trace: DataFrame, keys: Sequence[str] = ("dataset_name",), at_most: int | None = None
 ) -> DataFrame:
     """All combined metrics per key, pooled over everything else."""
-    named = {"median_total_latency_ms": 0.5, "p95_total_latency_ms": 0.95}
-    return with_percentiles(
-        trace, keys, additive_columns(), "total_latency_ms", named, at_most
-    ).select(*keys, *COMBINED_COLUMNS)
+    named = {
+        "median_total_latency_ms": ("total_latency_ms", 0.5),
+        "p95_total_latency_ms": ("total_latency_ms", 0.95),
+    }
+    summary = with_percentiles(trace, keys, additive_columns(), named, at_most)
+    return summary.select(*keys, *COMBINED_COLUMNS)
 
 
 def summary_rollup(trace: DataFrame) -> DataFrame:
@@ -171,7 +177,7 @@ def results_summary(
     ]
     return (
         with_percentiles(
-            trace, RUN, measures, "total_latency_ms", {"P50LatencyMs": 0.5}, at_most
+            trace, RUN, measures, {"P50LatencyMs": ("total_latency_ms", 0.5)}, at_most
         )
         .withColumnsRenamed({"router": "Method", "dataset_name": "Dataset"})
         .orderBy("Dataset", "Method")
@@ -232,11 +238,13 @@ def per_backend_metrics(trace: DataFrame, at_most: int | None = None) -> DataFra
         F.avg("energy_cpu_pkg_j").alias("mean_energy_j"),
         share(F.col("compliance_forced")).alias("override_rate"),
     ]
-    latency = {"p95_latency_ms": 0.95, "p99_latency_ms": 0.99}
-    energy = {"p95_energy_j": 0.95, "p99_energy_j": 0.99}
-    return with_percentiles(tiers, keys, measures, "total_latency_ms", latency, at_most).join(
-        percentile_columns(tiers, keys, "energy_cpu_pkg_j", energy, at_most), keys, "left"
-    )
+    named = {
+        "p95_latency_ms": ("total_latency_ms", 0.95),
+        "p99_latency_ms": ("total_latency_ms", 0.99),
+        "p95_energy_j": ("energy_cpu_pkg_j", 0.95),
+        "p99_energy_j": ("energy_cpu_pkg_j", 0.99),
+    }
+    return with_percentiles(tiers, keys, measures, named, at_most)
 
 
 RUN_METRICS = ("AvgLatencyMs", "ThroughputLogsPerSec", "EnergyPerLogWh")
