@@ -58,6 +58,18 @@ def trace(
     )
 
 
+def outcomes_within(logs: DataFrame, observations: DataFrame) -> DataFrame:
+    """Outcomes in the id range of ``logs``, a stored batch.
+
+    The range reaches the scan as a filter, so a batch of neighbouring ids does
+    not read the outcomes of all the others.
+    """
+    low, high = logs.agg(F.min("log_id"), F.max("log_id")).first()
+    if low is None:
+        return observations.where(F.lit(False))
+    return observations.where(F.col("log_id").between(low, high))
+
+
 def outcomes_by_log(observations: DataFrame) -> DataFrame:
     """One row per log with the outcome at each tier side by side.
 

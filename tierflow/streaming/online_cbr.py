@@ -27,6 +27,7 @@ from tierflow.operators.cbr import (
     save_state,
 )
 from tierflow.operators.routing import apply_compliance
+from tierflow.operators.trace import outcomes_within
 from tierflow.schemas import CBR_ATTRIBUTES
 
 
@@ -95,7 +96,8 @@ class OnlineCbr:
         def process(batch: DataFrame, batch_id: int) -> None:
             kept = batch.persist()
             try:
-                decided, model = self.step(kept, observations, batch_id)
+                outcomes = outcomes_within(kept, observations)
+                decided, model = self.step(kept, outcomes, batch_id)
                 decided.write.mode("overwrite").parquet(f"{self.out}/decisions/batch_id={batch_id}")
                 if after_batch:
                     after_batch(batch_id, model)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tierflow.operators.routing import Router, apply_compliance
-from tierflow.operators.trace import trace
+from tierflow.operators.trace import outcomes_within, trace
 
 
 def route_stream(
@@ -35,7 +35,8 @@ def route_stream(
             kept.write.mode("overwrite").partitionBy("destination").parquet(
                 f"{out}/tiers/batch_id={batch_id}"
             )
-            trace(kept, observations, name, dataset).write.mode("overwrite").parquet(
+            outcomes = outcomes_within(kept, observations)
+            trace(kept, outcomes, name, dataset).write.mode("overwrite").parquet(
                 f"{out}/trace/batch_id={batch_id}"
             )
         finally:
