@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tierflow.operators import cbr, qpolicy, routing, sampling
+from tierflow.operators import cbr, qpolicy, routing, sampling, summaries
 from tierflow.operators.trace import outcomes_by_log, replay
 from tierflow.sources import tables
 from tierflow.sources.bucketed import read_bucketed, write_bucketed
@@ -64,6 +64,19 @@ def test_replay_shuffles_each_side_once(spark, no_auto_broadcast):
     assert "Content" not in text.split("SortMergeJoin")[0]
 
 
+def test_pairing_by_log_adds_no_shuffle_of_logs(spark, no_auto_broadcast):
+    rows = replay(
+        tables.logs(spark, SMALL),
+        tables.observations(spark, SMALL),
+        {"static": routing.route_static},
+        F.col("LogSource"),
+        (False, True),
+    )
+    text = plan(summaries.paired_by_log(rows))
+    # both sides of the join by log id, and the few runs at the end
+    assert text.count("Exchange hashpartitioning") == 3
+
+
 def test_sampled_feedback_filters_both_scans(spark, no_auto_broadcast):
     rows = cbr.feedback(tables.logs(spark, SMALL), tables.observations(spark, SMALL))
     assert len(re.findall(r"Filter \(.*% 10000", plan(rows))) == 2

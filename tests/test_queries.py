@@ -32,6 +32,7 @@ FAMILIES = (
     "latency_percentiles",
     "per_backend_metrics",
     "paired_delta",
+    "paired_by_log",
     "warmup_boundary",
     "lambda_sweep",
     "cbr_scores",

@@ -409,6 +409,30 @@ def paired_delta(baseline: DataFrame, enforced: DataFrame) -> DataFrame:
     )
 
 
+def paired_by_log(both: DataFrame) -> DataFrame:
+    """Change per log when the override is switched on, summed up per run.
+
+    ``both`` holds each log with ``compliance`` off and on.  Replayed traces
+    are spread by log id already, so pairing them moves nothing.
+    """
+
+    def side(on: bool, column: str) -> Column:
+        return F.max(F.when(F.col("compliance") == on, F.col(column)))
+
+    pairs = both.groupBy(*RUN, "log_id").agg(
+        (side(True, "total_latency_ms") - side(False, "total_latency_ms")).alias("_ms"),
+        (side(True, "energy_cpu_pkg_j") - side(False, "energy_cpu_pkg_j")).alias("_j"),
+        F.max(F.col("compliance_forced").cast("int")).alias("_moved"),
+    )
+    return pairs.groupBy(*RUN).agg(
+        F.count("*").alias("pairs"),
+        F.sum("_moved").alias("moved"),
+        F.avg("_ms").alias("mean_delta_latency_ms"),
+        F.stddev_samp("_ms").alias("std_delta_latency_ms"),
+        F.avg("_j").alias("mean_delta_energy_j"),
+    )
+
+
 def latency_energy_corr(trace: DataFrame) -> DataFrame:
     return trace.groupBy(*RUN).agg(F.corr("total_latency_ms", "energy_cpu_pkg_j").alias("corr"))
 

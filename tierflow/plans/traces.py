@@ -451,6 +451,22 @@ def paired_delta(spark, directory):
     )
 
 
+@query(
+    "paired_by_log",
+    check(
+        """SELECT b.router, b.dataset_name, count(*) AS pairs, count(*) FILTER (WHERE e.compliance_forced) AS moved,
+  (round(avg(e.total_latency_ms - b.total_latency_ms) + 1e-8, 6) + 0e0) AS mean_delta_latency_ms,
+  (round(stddev_samp(e.total_latency_ms - b.total_latency_ms) + 1e-8, 6) + 0e0) AS std_delta_latency_ms,
+  (round(avg(e.energy_cpu_pkg_j - b.energy_cpu_pkg_j) + 1e-8, 6) + 0e0) AS mean_delta_energy_j
+FROM base b JOIN enforced e ON b.router = e.router AND b.log_id = e.log_id GROUP BY b.router, b.dataset_name""",
+        "base",
+        "enforced",
+    ),
+)
+def paired_by_log(spark, directory):
+    return rounded(summaries.paired_by_log(replayed(spark, directory, (False, True))))
+
+
 @query(
     "latency_energy_corr",
     check(
