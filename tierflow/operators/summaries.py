@@ -107,8 +107,15 @@ def with_percentiles(
     having one row per key.
     """
     if at_most is not None and at_most <= DIRECT_ROWS:
-        direct = [F.percentile(v, F.lit(p)).alias(n) for n, (v, p) in named.items()]
-        return trace.groupBy(*keys).agg(*measures, *direct)
+        # one ranking per column serves all its levels
+        levels = {v: [p for w, p in named.values() if w == v] for v, _ in named.values()}
+        ranked = [
+            F.percentile(v, F.array(*[F.lit(p) for p in ps])).alias(f"_{v}")
+            for v, ps in levels.items()
+        ]
+        found = {n: F.col(f"_{v}")[levels[v].index(p)] for n, (v, p) in named.items()}
+        summary = trace.groupBy(*keys).agg(*measures, *ranked)
+        return summary.withColumns(found).drop(*[f"_{v}" for v in levels])
     summary = trace.groupBy(*keys).agg(*measures)
     for value in dict.fromkeys(v for v, _ in named.values()):
         levels = {n: p for n, (v, p) in named.items() if v == value}
