@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from tierflow.llm import (
     fingerprints,
     langid,
+    lsh_forest,
+    mixing,
     packing,
     quality,
     sharding,
+    suffix,
     token_store,
 )
 from tierflow.llm.tables import documents, tokenizer_path
@@ -38,6 +41,27 @@ def fold(doc_id: Column, parts: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % parts
 
 
+@query("op1_raked_mixing")
+def op1_raked_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raked factors, probabilities and the sample, for every document."""
+    return mixing.mixture(documents(spark, sf_dir)).select(
+        F.col("row.doc_id").alias("doc_id"),
+        "source",
+        "lang",
+        "topic",
+        "n_tokens",
+        F.round("factor", 6).alias("factor"),
+        F.round("probability", 6).alias("probability"),
+        "kept",
+    )
+
+
+@query("op2_lsh_forest_join")
+def op2_lsh_forest_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and number of links of every document."""
+    return lsh_forest.jaccard_join(documents(spark, sf_dir))
+
+
 @query("op3_token_store")
 def op3_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token files of all documents, read back through the key index."""
@@ -75,6 +99,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(pieces)
 
 
+@query("op6_suffix_dedup")
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of repeated 50-byte strings, for every document."""
+    return suffix.remove_repeats(documents(spark, sf_dir))
+
+
 @query("op8_histogram_shards")
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
