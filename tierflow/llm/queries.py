@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from tierflow.llm import (
     fingerprints,
     langid,
+    lm,
     lsh_forest,
     mixing,
     packing,
@@ -105,6 +106,14 @@ def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(documents(spark, sf_dir))
 
 
+@query("op7_context_mixing")
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Unigram and mixed-context scores, learned from six of seven folds."""
+    docs = documents(spark, sf_dir)
+    held = fold(F.col("doc_id"), 7) == 2
+    return lm.scored(docs, lm.learn(docs.filter(~held)), held)
+
+
 @query("op8_histogram_shards")
 def op8_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of near equal bytes."""
