@@ -265,31 +265,37 @@ def build_tables(strings: DataFrame) -> list[np.ndarray]:
     return tables
 
 
-BATCH = 4096
-RATE = 0.6
+# Strings between two corrections of the weights, and the size of the first one.
+BATCH = 1024
+RATE = 0.05
 
 
 def learn_weights(strings: DataFrame, tables) -> np.ndarray:
-    """Weights learned online in every partition, averaged by strings seen."""
+    """Weights learned online in every partition, averaged by strings seen.
+
+    Each weight's step shrinks with the corrections it had, so weights of rare
+    states move as freely as those of frequent ones.
+    """
 
     def work(batches):
         model, seen = Model(tables.value), 0
         less = without_one()
+        moved = np.full_like(model.weights, 1e-6)
         for batch in batches:
             names, n = _columns(batch)
             for a in range(0, len(names), BATCH):
                 some, share = names[a : a + BATCH], n[a : a + BATCH].astype(np.float64)
+                share /= share.sum()
                 seen += len(some)
-                rate = RATE / np.sqrt(1 + seen / (16 * BATCH))
                 for k, values in model.inputs(some):
                     bit = choice(some, k)
                     values = [less[bit, v.astype(np.int64) + (1 << 15)] for v in values]
                     total, levels, odds = model.mixed_odds(k, values)
                     error = (bit - 1 / (1 + np.exp(-total))) * share
                     for o in range(ORDERS):
-                        step = np.bincount(levels[o], error * odds[o], LEVELS)
-                        held = np.bincount(levels[o], share, LEVELS)
-                        model.weights[k, o] += rate * step / (held + 64)
+                        slope = np.bincount(levels[o], error * odds[o], LEVELS)
+                        moved[k, o] += slope * slope
+                        model.weights[k, o] += RATE * slope / np.sqrt(moved[k, o])
         if seen:
             yield pa.RecordBatch.from_arrays(
                 [pa.array([seen]), pa.array([model.weights.tobytes()], pa.binary())],
@@ -340,9 +346,10 @@ def learn(docs: DataFrame, text: str = "text") -> Model:
     """A model of all texts of ``docs``."""
     counted = cut_lineage(string_counts(docs, text))
     parts = pieces_for(counted.count(), TASK_STRINGS)
-    # Strings come in an order of their hash, so no partition is of one kind.
-    strings = cut_lineage(counted.repartition(parts, F.xxhash64("string")))
-    tables = build_tables(strings.coalesce(parts))
+    # In the order of a hash no partition and no stretch of one is of one kind.
+    order = F.xxhash64("string")
+    strings = cut_lineage(counted.repartition(parts, order).sortWithinPartitions(order))
+    tables = build_tables(strings)
     shared = docs.sparkSession.sparkContext.broadcast(tables)
     weights = learn_weights(strings, shared)
     last = learn_last(strings, shared, weights)
