@@ -32,7 +32,7 @@ PROFILE = 300
 UNKNOWN = "und"
 # Bits of a code point in an n-gram's code, and the mark of a word's edge.
 BITS, EDGE = 21, 1
-CHUNK = 8 << 20
+CHUNK = 2 << 20
 
 
 @cache
