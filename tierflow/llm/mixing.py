@@ -176,7 +176,7 @@ def topic(text: Column) -> Column:
 
 
 # Shares of the sample go with these powers of the present token shares.
-POWERS = {"source": 0.8, "lang": 0.8, "topic": 0.9}
+POWERS = {"source": 0.9, "lang": 0.9, "topic": 0.95}
 
 
 def mixture(docs: DataFrame) -> DataFrame:

@@ -582,3 +582,36 @@ def remove_repeats(
         "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
         + ", h long, kept string" * with_text,
     )
+
+
+def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with the shortened texts; rows of which nothing is left go.
+
+    A row that had no text keeps it.  ``n_chars``, where the table has it, is
+    counted anew.
+    """
+    names = docs.columns
+    rows = docs.select(
+        F.struct(*[docs[c] for c in names]).alias("row"),
+        F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("h"),
+        docs[id_col].cast("long").alias("doc_id"),
+    )
+    cut = remove_repeats(docs, id_col, text, with_text=True).filter("n_removed > 0")
+    # Rows that repeat an id and a text have the same result.
+    cut = cut.select("doc_id", "h", "kept").dropDuplicates(["doc_id", "h"])
+    new = F.when(F.col("kept").isNull(), F.col("row")[text]).otherwise(F.col("kept"))
+    columns = []
+    for c in names:
+        if c == text:
+            columns.append(new.alias(c))
+        elif c == "n_chars":
+            kind = dict(docs.dtypes)[c]
+            size = F.when(F.col("kept").isNull(), F.col("row")[c]).otherwise(F.length("kept"))
+            columns.append(size.cast(kind).alias(c))
+        else:
+            columns.append(F.col("row")[c].alias(c))
+    return (
+        rows.join(cut, ["doc_id", "h"], "left")
+        .filter("kept IS NULL OR kept <> ''")
+        .select(*columns)
+    )
