@@ -63,7 +63,7 @@ RULES = (
     Rule("word_length", "word_chars", "n_words", low=2, high=20),
     Rule("symbols", "n_symbols", "n_words", high=0.1),
     Rule("stop_words", "n_stop_words", "n_words", low=0.01),
-    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.3),
+    Rule("repeated_lines", "n_dup_lines", "n_lines", high=0.5),
 )
 
 

@@ -174,6 +174,6 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
     AND word_chars BETWEEN 2 * n_words AND 20 * n_words
     AND n_symbols <= 0.1::DOUBLE * n_words
     AND n_stop_words >= 0.01::DOUBLE * n_words
-    AND n_dup_lines <= 0.3::DOUBLE * n_lines AS kept
+    AND n_dup_lines <= 0.5::DOUBLE * n_lines AS kept
 FROM m
 """ % {"stops": ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))}
