@@ -31,8 +31,10 @@ from tierflow.runtime import cut_lineage
 
 SAMPLES = 64
 # Text that is worked on at once, and text of a block of ids.
-CHUNK = 6 << 20
-BLOCK_BYTES = 64 << 20
+CHUNK = 3 << 20
+BLOCK_BYTES = 16 << 20
+# Blocks are streamed and may grow; their bounds reach the driver and may not.
+MOST_BLOCKS = 1 << 13
 # Terms whose variables are drawn at once, and (text, term) rows compared at once.
 BLOCK_TERMS = 1 << 10
 BLOCK_ROWS = 1 << 14
@@ -178,11 +180,13 @@ def in_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> tuple[DataFram
     are few and of like size.  Null ids come first.
     """
     total, some = docs.agg(F.sum(text_size(F.col("text"))), F.count("doc_id")).first()
-    n = pieces_for(total, block_bytes)
+    n = min(pieces_for(total, block_bytes), MOST_BLOCKS)
     key = F.coalesce(F.col("doc_id"), F.lit(LOWEST)).cast("double")
     cuts = []
     if n > 1 and some:
-        cuts = docs.select(key.alias("key")).approxQuantile("key", [k / n for k in range(1, n)], 0.001)
+        cuts = docs.select(key.alias("key")).approxQuantile(
+            "key", [k / n for k in range(1, n)], 1 / (8 * n)
+        )
     edges = sorted({c for c in cuts})
     if edges:
         cut = Bucketizer(splits=[-np.inf, *edges, np.inf], inputCol="key", outputCol="block")
