@@ -142,6 +142,8 @@ def bucket_of(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
     """(bucket, positions of its rows in their order)."""
+    if not len(bucket):
+        return []
     order = np.argsort(bucket, kind="stable")
     starts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
     return [
