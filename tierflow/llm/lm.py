@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierflow.llm.columnar import chunks, mixed, spread, table, text_bytes
+from tierflow.llm.columnar import chunks, mixed, table, text_bytes
 from tierflow.llm.tables import pieces_for
 from tierflow.runtime import cut_lineage
 
@@ -44,7 +44,9 @@ ORDERS = 6
 TABLE_BITS = (12, 18, 22, 22, 22, 22)
 # Strings one task counts into a table of its own.
 TASK_STRINGS = 1 << 23
-CHUNK = 16 << 20
+CHUNK = 8 << 20
+# Strings scored at once.
+BLOCK = 1 << 15
 START, END = 0xFE, 0xFF  # no byte of a UTF-8 text
 # A slot holds odds in steps of 1 / 64 and how often it was seen, in 32 steps.
 STEP, LEVELS = 64, 32
@@ -60,18 +62,21 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 
 def framed(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Six-byte strings that end in each byte and end mark, and their offsets."""
-    n = len(offsets) - 1
-    gap = ORDERS  # five starts before a text, the end mark after it
-    out = np.full(len(data) + n * gap + 8, START, np.uint8)
-    rows = np.repeat(np.arange(n), np.diff(offsets))
-    out[np.arange(len(data)) + rows * gap + ORDERS - 1] = data
-    ends = offsets[1:] + np.arange(n) * gap + ORDERS - 1
-    out[ends] = END
-    words = np.ndarray(len(out) - 7, "<u8", out, strides=(1,))
-    first = offsets[:-1] + np.arange(n) * gap
-    length = np.diff(offsets) + 1
-    strings = words[spread(first, length)] & np.uint64((1 << 8 * ORDERS) - 1)
-    return strings, np.concatenate([[0], np.cumsum(length)])
+    # Five starts before each text, the end mark after it.
+    before = ORDERS - 1
+    longest = int(np.diff(offsets).max(initial=0))
+    frame = np.empty(before + longest + 9, np.uint8)
+    frame[:before] = START
+    mask = np.uint64((1 << 8 * ORDERS) - 1)
+    bounds = offsets + np.arange(len(offsets))
+    out = np.empty(bounds[-1], np.uint64)
+    for a, b, at in zip(offsets[:-1].tolist(), offsets[1:].tolist(), bounds.tolist(), strict=False):
+        n = b - a
+        frame[before : before + n] = data[a:b]
+        frame[before + n] = END
+        words = np.ndarray(n + 1, "<u8", frame, strides=(1,))
+        np.bitwise_and(words, mask, out=out[at : at + n + 1])
+    return out, bounds
 
 
 def slots(strings: np.ndarray, order: int, bits: int) -> list[np.ndarray]:
@@ -172,12 +177,14 @@ class Model:
     def cost(self, strings: np.ndarray) -> np.ndarray:
         """log10 of the probability of each string's last byte."""
         out = np.zeros(len(strings))
-        last = (strings >> np.uint64(8 * (ORDERS - 1))).astype(np.int64)
-        for k, values in self.inputs(strings):
-            odds, _, _ = self.mixed_odds(k, values)
-            odds = self.refined(1 << k | last >> (8 - k), odds)
-            signed = np.where(choice(strings, k) == 1, odds, -odds)
-            out -= np.logaddexp(0, -signed)
+        for a in range(0, len(strings), BLOCK):
+            some = strings[a : a + BLOCK]
+            last = (some >> np.uint64(8 * (ORDERS - 1))).astype(np.int64)
+            for k, values in self.inputs(some):
+                odds, _, _ = self.mixed_odds(k, values)
+                odds = self.refined(1 << k | last >> (8 - k), odds)
+                signed = np.where(choice(some, k) == 1, odds, -odds)
+                out[a : a + BLOCK] -= np.logaddexp(0, -signed)
         return out / np.log(10)
 
 
@@ -192,7 +199,7 @@ def string_counts(docs: DataFrame, text: str = "text") -> DataFrame:
     def count(batches):
         for batch in chunks(batches, "text", CHUNK):
             strings, _ = framed(*text_bytes(batch.column("text")))
-            strings = np.sort(strings)
+            strings.sort()
             starts = np.flatnonzero(np.diff(strings, prepend=~np.uint64(0)))
             n = np.diff(np.append(starts, len(strings)))
             yield table(_STRINGS, string=strings[starts].view(np.int64), n=n)
@@ -318,8 +325,8 @@ def learn_last(strings: DataFrame, tables, weights: np.ndarray) -> np.ndarray:
         sums = np.zeros((2, 256 * STRETCH_STEPS))
         for batch in batches:
             names, n = _columns(batch)
-            for a in range(0, len(names), 1 << 16):
-                some, share = names[a : a + (1 << 16)], n[a : a + (1 << 16)]
+            for a in range(0, len(names), BLOCK):
+                some, share = names[a : a + BLOCK], n[a : a + BLOCK]
                 byte = (some >> np.uint64(8 * (ORDERS - 1))).astype(np.int64)
                 for k, values in model.inputs(some):
                     bit = choice(some, k)
