@@ -158,5 +158,14 @@ def judged(
 
 
 def keep_good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The documents that pass every rule, with their own columns."""
-    return judged(docs, text).filter("kept").select("row.*")
+    """The documents that pass every rule, with their own columns.
+
+    The verdict passes a generator, so that the filter stays above the measures;
+    pushed below, it would compute each of them again and again.
+    """
+    verdicts = judged(docs, text).select(F.struct("row", "kept").alias("one"))
+    return (
+        verdicts.select(F.explode(F.array("one")).alias("one"))
+        .filter("one.kept")
+        .select("one.row.*")
+    )
