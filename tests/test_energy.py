@@ -41,7 +41,7 @@ def test_energy_between(spark):
         spark.createDataFrame(intervals, "interval_id long, host string, t0 double, t1 double"),
         spark.createDataFrame(rows, "host string, ts double, watts double"),
         period_s=10.0,
-        salts=3,
+        block_rows=40,
     ).collect()
     assert len(got) == len(intervals)
     for row in got:
@@ -85,3 +85,20 @@ def test_only_top_level_packages_count(spark):
     assert (row.cpu_pkg_j, row.psys_j, row.gpu_est_j) == (2.0, 5.0, 3.0)
     without = energy.host_energy(deltas.where("domain <> 'psys'"), "day").first()
     assert (without.psys_j, without.gpu_est_j) == (0.0, 0.0)
+
+
+def test_energy_rows_stay_linear(spark):
+    """Dense samples and long intervals: no row per pair."""
+    from pyspark.sql import functions as F
+
+    samples = spark.range(3_000).select(
+        F.lit("h").alias("host"), F.col("id").cast("double").alias("ts"), (F.col("id") % 7).cast("double").alias("watts")
+    )
+    intervals = spark.range(300).select(
+        F.col("id").alias("interval_id"), F.lit("h").alias("host"), F.lit(1.0).alias("t0"), F.lit(2_900.0).alias("t1")
+    )
+    out = energy.energy_between(intervals, samples, period_s=1.0)
+    rows = out.collect()
+    assert {r.samples for r in rows} == {2_902} and len({round(r.energy_j, 6) for r in rows}) == 1
+    expected = plain_energy([(float(i), float(i % 7)) for i in range(3_000)], 1.0, 2_900.0, 1.0)
+    assert math.isclose(rows[0].energy_j, expected, abs_tol=1e-6)

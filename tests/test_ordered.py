@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierflow.operators import ordered, percentiles, sampling, summaries
-from tierflow.operators.joins import join_unique
+from tierflow.operators.joins import join_keys
 
 
 def skewed(rows=900, seed=1):
@@ -22,9 +22,9 @@ def skewed(rows=900, seed=1):
     )
 
 
-@pytest.mark.parametrize("width", [100, None])
+@pytest.mark.parametrize("rows", [30, 10**6])
 @pytest.mark.parametrize("ahead", [False, True])
-def test_neighbour(spark, ahead, width):
+def test_neighbour(spark, ahead, rows):
     pdf = skewed()
     expected = pdf.copy()
     expected["n"] = expected.sort_values(["t", "id"]).groupby("k").x.shift(-1 if ahead else 1)
@@ -33,8 +33,8 @@ def test_neighbour(spark, ahead, width):
         ["k"],
         ["t", "id"],
         ["x"],
-        width and F.floor(F.col("t") / width),
         ahead,
+        block_rows=rows,
     ).toPandas()
     name = "next_x" if ahead else "prev_x"
     merged = expected.merge(got[["id", name]], on="id")
@@ -44,7 +44,7 @@ def test_neighbour(spark, ahead, width):
 def test_positions(spark):
     pdf = skewed()
     expected = pdf.sort_values("id").groupby("k").cumcount() + 1
-    got = ordered.positions(spark.createDataFrame(pdf), ["k"], "id", F.floor(F.col("id") / 37)).toPandas()
+    got = ordered.positions(spark.createDataFrame(pdf), ["k"], "id", block_rows=37).toPandas()
     got = got.sort_values("id")
     assert got.position.tolist() == expected.tolist()
     lows = pdf.groupby("k").id.min()
@@ -68,51 +68,102 @@ def test_rolling_over_chunk_edges(spark):
     assert len(got) == len(pdf)
 
 
-def test_fitting_block(spark):
-    df = spark.range(1000).select(F.timestamp_seconds(F.col("id") * 2).alias("ts"))
-    assert ordered.fitting_block(df, F.col("ts"), rows=1000) is None
-    width = ordered.fitting_block(df, F.col("ts"), rows=100)
-    sizes = df.groupBy(ordered.time_block(F.col("ts"), width)).count().toPandas()["count"]
-    assert sizes.max() <= 101 and len(sizes) == 10
+def test_blocks_hold_few_rows_whatever_the_order_values(spark):
+    """One stamp far away and one key with most rows do not make a large block."""
+    rows = 300_000
+    df = spark.range(rows).select(
+        F.when(F.col("id") % 20 == 0, "rare").otherwise("hot").alias("k"),
+        "id",
+        F.when(F.col("id") == 7, 0).otherwise(F.col("id") + 1_700_000_000).alias("t"),
+    )
+    cut = ordered.blocked(df, ["k"], ["t", "id"], rows=10_000)
+    sizes = [r["count"] for r in cut.groupBy("_block").count().collect()]
+    assert len(sizes) == 30 and max(sizes) <= 2 * 10_000
+    ends = cut.where("k = 'hot'").groupBy("_block").agg(F.min("t").alias("a"), F.max("t").alias("b"))
+    found = sorted((r["a"], r["b"]) for r in ends.collect())
+    assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+
+
+def test_carry_in_two_levels(spark, monkeypatch):
+    monkeypatch.setattr(ordered, "FAN", 3)
+    rng = np.random.default_rng(3)
+    rows = [
+        (k, b, int(rng.integers(1, 9)) if rng.random() < 0.6 else None)
+        for k in ("a", None)
+        for b in range(40)
+        if rng.random() < 0.7
+    ]
+    df = spark.createDataFrame(rows, "k string, _block int, v long")
+    for how in ("before", "after", "sum"):
+        got = {(r["k"], r["_block"]): r["_carried"] for r in ordered.carried(df, ["k"], "v", how).collect()}
+        assert len(got) == len(rows)
+        for k, b, _ in rows:
+            other = [(x, v) for j, x, v in rows if j == k and (x > b if how == "after" else x < b)]
+            seen = [v for _, v in sorted(other) if v is not None]
+            want = {"sum": sum(seen), "before": seen[-1] if seen else None, "after": seen[0] if seen else None}
+            assert got[k, b] == want[how]
+
+
+def test_running_sums(spark):
+    pdf = skewed()
+    expected = pdf.sort_values("id").groupby("k").x.cumsum()
+    got = ordered.running(
+        spark.createDataFrame(pdf), ["k"], ["id"], {"s": F.col("x"), "n": F.lit(1)}, block_rows=50
+    ).toPandas().sort_values("id")
+    assert np.allclose(got.s, expected.sort_index())
+    assert got.n.tolist() == (pdf.groupby("k").cumcount() + 1).tolist()
 
 
-@pytest.mark.parametrize("width", [50, None])
-def test_asof_carries_over_empty_blocks(spark, width):
+@pytest.mark.parametrize("rows", [40, 10**6])
+def test_asof_carries_over_empty_blocks(spark, rows):
     left = skewed()[["k", "id", "t"]]
     right = skewed(60, seed=2)[["k", "t", "x"]].drop_duplicates(["k", "t"])
-    got = ordered.asof_backward(
-        spark.createDataFrame(left),
-        spark.createDataFrame(right),
-        "k",
-        "t",
-        ["x"],
-        width and F.floor(F.col("t") / width),
-    ).toPandas()
+    frames = spark.createDataFrame(left), spark.createDataFrame(right)
+    got = ordered.asof_backward(*frames, "k", "t", ["x"], block_rows=rows).toPandas()
     expected = pd.merge_asof(left.sort_values("t"), right.sort_values("t"), on="t", by="k")
     both = expected.merge(got, on="id", suffixes=("_e", "_g"))
     assert len(got) == len(left)
     assert both.x_e.fillna(-1).tolist() == both.x_g.fillna(-1).tolist()
+    strict = ordered.asof_backward(
+        *frames, "k", "t", ["x"], before=F.col("id") >= 0, block_rows=rows
+    ).toPandas()
+    expected = pd.merge_asof(
+        left.sort_values("t"), right.sort_values("t"), on="t", by="k", allow_exact_matches=False
+    )
+    both = expected.merge(strict, on="id", suffixes=("_e", "_g"))
+    assert both.x_e.fillna(-1).tolist() == both.x_g.fillna(-1).tolist()
 
 
-@pytest.mark.parametrize("accuracy", [5, 200])
+@pytest.mark.parametrize("accuracy", [5, 200, None])
 def test_exact_percentiles_do_not_depend_on_the_sketch(spark, accuracy):
     pdf = pd.concat([skewed(800, seed=s) for s in range(3)])
     pdf.loc[pdf.index[::5], "x"] = 7.0  # many equal values
     pdf.loc[pdf.index[::90], "x"] = np.nan
     levels = [0.0, 0.05, 0.5, 0.95, 0.99, 1.0]
     df = spark.createDataFrame(pdf[["k", "x"]])
-    for direct in (0, 10**9):
-        rows = percentiles.exact_percentiles(df, ["k"], "x", levels, accuracy, direct).collect()
-        assert len(rows) == 4 * len(levels)
-        for row in rows:
-            values = pdf[pdf.k == row.k].x.dropna()
-            assert row.n == len(values)
-            assert np.isclose(row.percentile, np.percentile(values, row.p * 100), atol=1e-9)
+    rows = percentiles.exact_percentiles(df, ["k"], "x", levels, accuracy).collect()
+    assert len(rows) == 4 * len(levels)
+    for row in rows:
+        values = pdf[pdf.k == row.k].x.dropna()
+        assert row.n == len(values)
+        assert np.isclose(row.percentile, np.percentile(values, row.p * 100), atol=1e-9)
+
+
+def test_percentiles_of_several_columns_and_a_null_key(spark):
+    pdf = skewed().rename(columns={"t": "y"})
+    df = spark.createDataFrame(pdf).withColumn("k", F.nullif("k", F.lit("a")))
+    named = {"x50": ("x", 0.5), "y95": ("y", 0.95), "y10": ("y", 0.1)}
+    for row in percentiles.percentile_columns(df, ["k"], named).collect():
+        group = pdf[pdf.k == (row.k or "a")]
+        for name, (column, p) in named.items():
+            assert np.isclose(row[name], np.percentile(group[column], p * 100), atol=1e-9)
 
 
 def test_percentile_of_tiny_groups(spark):
     df = spark.createDataFrame([("a", 3.0), ("b", 1.0), ("b", 2.0)], "k string, x double")
-    rows = percentiles.percentile_columns(df, ["k"], "x", {"median": 0.5, "p95": 0.95}).collect()
+    rows = percentiles.percentile_columns(
+        df, ["k"], {"median": ("x", 0.5), "p95": ("x", 0.95)}
+    ).collect()
     found = {r.k: (r.median, round(r.p95, 6)) for r in rows}
     assert found == {"a": (3.0, 3.0), "b": (1.5, 1.95)}
 
@@ -131,14 +182,11 @@ def test_balanced_order(spark):
         sampling.sample(df, "middle")
 
 
-def test_join_with_hot_keys(spark):
-    pdf = skewed()
-    right = pd.DataFrame({"k": ["hot", "a", "b"], "v": [1, 2, 3]})
-    left, table = spark.createDataFrame(pdf), spark.createDataFrame(right)
-    plain = left.join(table, "k", "left").toPandas().sort_values("id")
-    salted = join_unique(left, table, "k", "id", hot_rows=100, salts=5).toPandas().sort_values("id")
-    assert plain.v.fillna(0).tolist() == salted.v.fillna(0).tolist()
-    assert len(salted) == len(pdf)
+def test_join_keeps_null_keys(spark):
+    left = spark.createDataFrame([("a", 1), (None, 2), ("c", 3)], "k string, x int")
+    right = spark.createDataFrame([("a", 10), (None, 20)], "k string, y int")
+    rows = {tuple(r) for r in join_keys(left, right, ["k"]).select("k", "x", "y").collect()}
+    assert rows == {("a", 1, 10), (None, 2, 20), ("c", 3, None)}
 
 
 def test_warmup_boundary(spark):

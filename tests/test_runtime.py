@@ -37,14 +37,17 @@ def test_stored_table_is_read_from_files(spark):
     assert "parquet" in stored._jdf.queryExecution().executedPlan().toString()
 
 
-def test_only_small_tables_are_broadcast(spark):
-    df = spark.range(100).withColumn("text", F.repeat(F.lit("x"), 50))
-    small = runtime.checked_broadcast(df)
-    large = runtime.checked_broadcast(df, max_bytes=1_000)
-    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+def test_the_planner_broadcasts_small_stored_tables_only(spark):
+    small = runtime.cut_lineage(spark.range(100))
+    large = runtime.cut_lineage(spark.range(100_000).withColumn("x", F.rand()))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "100000")
     try:
         plans = [
-            spark.range(10).join(side, "id")._jdf.queryExecution().executedPlan().toString()
+            runtime.cut_lineage(spark.range(200_000).withColumn("y", F.rand()))
+            .join(side, "id")
+            ._jdf.queryExecution()
+            .executedPlan()
+            .toString()
             for side in (small, large)
         ]
     finally:
@@ -52,6 +55,17 @@ def test_only_small_tables_are_broadcast(spark):
     assert "BroadcastHashJoin" in plans[0] and "BroadcastHashJoin" not in plans[1]
 
 
+def test_stored_steps_are_removed(spark):
+    from pathlib import Path
+
+    with runtime.stored_steps(spark):
+        kept = runtime.cut_lineage(spark.range(3))
+        assert kept.count() == 3
+        path = Path(kept.inputFiles()[0].removeprefix("file:")).parent
+        assert path.exists()
+    assert not path.exists()
+
+
 def test_outcomes_of_a_batch(spark):
     outcomes = spark.range(100).withColumnRenamed("id", "log_id")
     batch = spark.createDataFrame([(7,), (9,)], "log_id long")

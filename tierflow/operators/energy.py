@@ -1,19 +1,18 @@
 """Energy from recorded counters and power samples."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.operators.ordered import asof_backward, fitting_block, neighbour, time_block
+from tierflow.operators.ordered import asof_backward, blocked, neighbour, running
 
 
-def counter_deltas(readings: DataFrame, block_s: float | None = None) -> DataFrame:
+def counter_deltas(readings: DataFrame) -> DataFrame:
     """Increase of each counter since its previous reading.
 
     A counter that went down has wrapped: the increase is 0 and the row is
     marked with ``energy_valid = false``.
     """
-    block = time_block(F.col("ts"), block_s or fitting_block(readings, F.col("ts")))
-    paired = neighbour(readings, ["host", "domain"], ["ts", "seq"], ["energy_uj"], block)
+    paired = neighbour(readings, ["host", "domain"], ["ts", "seq"], ["energy_uj"])
     change = F.col("energy_uj") - F.col("prev_energy_uj")
     return paired.where("prev_energy_uj IS NOT NULL").select(
         *readings.columns,
@@ -55,13 +54,39 @@ def host_energy(deltas: DataFrame, window_column: str) -> DataFrame:
     )
 
 
+def cumulative_watts(samples: DataFrame, block_rows: int | None = None) -> DataFrame:
+    """Samples ``(host, ts, watts)`` in order: rank, area of the trapezoids
+    before each sample, the one that follows, and the next sample.
+
+    Every host also gets a row before all samples, so a time before the first
+    sample still leads to it.
+    """
+    order = ["ts", "watts"]
+    paired = blocked(samples, ["host"], order, block_rows)
+    paired = neighbour(paired, ["host"], order, order, ahead=True)
+    step = 0.5 * (F.col("watts") + F.col("next_watts")) * (F.col("next_ts") - F.col("ts"))
+    summed = running(
+        paired.withColumn("step", F.coalesce(step, F.lit(0.0))),
+        ["host"],
+        order,
+        {"rank": F.lit(1), "area": F.col("step")},
+    ).withColumn("area", F.col("area") - F.col("step"))
+    columns = ["host", "ts", "watts", "next_ts", "next_watts", "step", "rank", "area"]
+    start = samples.groupBy("host").agg(F.min(F.struct("ts", "watts")).alias("s")).select(
+        "host",
+        F.lit(float("-inf")).alias("ts"),
+        F.lit(None).cast("double").alias("watts"),
+        F.col("s.ts").alias("next_ts"),
+        F.col("s.watts").alias("next_watts"),
+        F.lit(0.0).alias("step"),
+        F.lit(0).cast("long").alias("rank"),
+        F.lit(0.0).alias("area"),
+    )
+    return summed.select(*columns).unionByName(start)
+
+
 def energy_between(
-    intervals: DataFrame,
-    samples: DataFrame,
-    period_s: float,
-    bucket_s: float | None = None,
-    salts: int = 8,
-    block_s: float | None = None,
+    intervals: DataFrame, samples: DataFrame, period_s: float, block_rows: int | None = None
 ) -> DataFrame:
     """Joules of each interval ``(interval_id, host, t0, t1)`` by trapezoids.
 
@@ -70,68 +95,65 @@ def energy_between(
     flat.  Without a sample near, the last reading before ``t1`` holds; without
     any reading the energy is 0.
 
-    Matching is an equi-join on host and time bucket.  Intervals of a busy
-    bucket are spread over ``salts`` copies of its few samples.
+    Each interval looks up four times in the running area of its host: the two
+    ends and the two edges of its margin.  The area between the first and the
+    last sample inside is a difference, the end pieces follow from the looked
+    up samples and their successors.  Rows stay at four per interval and one
+    per sample.
     """
     margin = 1.5 * period_s
-    width = bucket_s or 4 * period_s
-    low, high = F.col("t0") - margin, F.col("t1") + margin
-
-    probes = (
-        intervals.where("t1 > t0")
-        .withColumn(
-            "_bucket", F.explode(F.sequence(F.floor(low / width), F.floor(high / width)))
-        )
-        .withColumn("_salt", F.pmod(F.hash("interval_id"), F.lit(salts)))
-    )
-    spread = (
-        samples.withColumn("_bucket", F.floor(F.col("ts") / width))
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    t0, t1 = F.col("t0"), F.col("t1")
+    times = {"lo": t0 - margin, "a": t0, "b": t1, "hi": t1 + margin}
+    probes = intervals.select(
+        "interval_id",
+        "host",
+        F.explode(
+            F.array(*[F.struct(F.lit(k).alias("kind"), t.alias("ts")) for k, t in times.items()])
+        ).alias("_probe"),
+    ).select("interval_id", "host", "_probe.kind", "_probe.ts")
+    watts = cumulative_watts(samples, block_rows)
+    values = ["ts", "watts", "next_ts", "next_watts", "step", "rank", "area"]
+    found = asof_backward(
+        probes,
+        watts.withColumn("at", F.struct(*values)),
+        "host",
+        "ts",
+        ["at"],
+        tie="rank",
+        before=F.col("kind") == "lo",
+        block_rows=block_rows,
     )
-    pairs = probes.join(spread, ["host", "_bucket", "_salt"]).where(F.col("ts").between(low, high))
-
-    inside = Window.partitionBy("interval_id").orderBy("ts", "watts")
-    clipped = F.least(F.greatest(F.col("ts"), F.col("t0")), F.col("t1"))
-    previous_t, previous_w = F.lag("_t").over(inside), F.lag("watts").over(inside)
-    area = (
-        F.when(
-            F.col("_pt").isNull(),
-            F.when(F.col("ts") > F.col("t0"), F.col("watts") * (F.col("_t") - F.col("t0"))),
-        ).otherwise(0.5 * (F.col("_pw") + F.col("watts")) * (F.col("_t") - F.col("_pt")))
+    by_kind = found.groupBy("interval_id").agg(
+        *[F.max(F.when(F.col("kind") == k, F.col("at"))).alias(f"_{k}") for k in times]
     )
-    tail = F.when(
-        F.col("_last") & (F.col("ts") < F.col("t1")), F.col("watts") * (F.col("t1") - F.col("_t"))
+    rank = {k: F.coalesce(F.col(f"_{k}.rank"), F.lit(0)) for k in times}
+    near, inside = rank["hi"] - rank["lo"], rank["b"] - rank["a"]
+    before, behind = rank["a"] - rank["lo"] > 0, rank["hi"] - rank["b"] > 0
+    length = t1 - t0
+    left, right = F.col("_a"), F.col("_b")
+    # From the start of the interval to the first sample inside.
+    rise = F.when(before, 0.5 * (left["watts"] + left["next_watts"])).otherwise(left["next_watts"])
+    # From the last sample inside to the end.
+    fall = F.when(behind, 0.5 * (right["watts"] + right["next_watts"])).otherwise(right["watts"])
+    through = (
+        F.when(before & behind, 0.5 * (left["watts"] + right["next_watts"]))
+        .when(before, left["watts"])
+        .otherwise(right["next_watts"])
     )
-    integrated = (
-        pairs.withColumn("_t", clipped)
+    joules = F.when(
+        inside > 0,
+        rise * (left["next_ts"] - t0)
+        + (right["area"] - left["area"] - left["step"])
+        + fall * (t1 - right["ts"]),
+    ).otherwise(through * length)
+    hold = F.coalesce(F.greatest(F.lit(0.0), right["watts"]) * length, F.lit(0.0))
+    return (
+        intervals.join(by_kind, "interval_id", "left")
         .select(
-            "*",
-            previous_t.alias("_pt"),
-            previous_w.alias("_pw"),
-            F.lead("_t").over(inside).isNull().alias("_last"),
-        )
-        .groupBy("interval_id")
-        .agg(
-            F.sum(F.coalesce(area, F.lit(0.0)) + F.coalesce(tail, F.lit(0.0))).alias("_joules"),
-            F.count("*").alias("samples"),
+            *intervals.columns,
+            F.when(t1 > t0, near).otherwise(0).cast("long").alias("samples"),
+            F.when(t1 <= t0, 0.0)
+            .otherwise(F.greatest(F.lit(0.0), F.when(near > 0, joules).otherwise(hold)))
+            .alias("energy_j"),
         )
     )
-    seconds = block_s or fitting_block(intervals, F.timestamp_seconds("t1"))
-    held = asof_backward(
-        intervals.withColumn("ts", F.col("t1")),
-        samples,
-        "host",
-        "ts",
-        ["watts"],
-        None if seconds is None else F.floor(F.col("ts") / seconds),
-    )
-    hold = F.coalesce(
-        F.greatest(F.lit(0.0), F.col("watts")) * (F.col("t1") - F.col("t0")), F.lit(0.0)
-    )
-    return held.join(integrated, "interval_id", "left").select(
-        *intervals.columns,
-        F.coalesce("samples", F.lit(0)).alias("samples"),
-        F.when(F.col("t1") <= F.col("t0"), 0.0)
-        .otherwise(F.greatest(F.lit(0.0), F.coalesce("_joules", hold)))
-        .alias("energy_j"),
-    )

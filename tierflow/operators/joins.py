@@ -1,36 +1,14 @@
-"""Equi-join against a table with one row per key, safe for hot keys."""
+"""Joins that keep rows with null keys."""
 
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from collections.abc import Sequence
+from functools import reduce
 
-from tierflow.runtime import cut_lineage
+from pyspark.sql import Column, DataFrame
 
 
-def join_unique(
-    left: DataFrame,
-    right: DataFrame,
-    key: str,
-    spread_by: str,
-    hot_rows: int = 5_000_000,
-    salts: int = 64,
-) -> DataFrame:
-    """Left join to ``right``, which has each key once.
-
-    Keys with more than ``hot_rows`` left rows are hot; there are at most
-    rows / ``hot_rows`` of them, 200,000 in a million million rows.  Their left rows are spread over ``salts``
-    groups by a hash of ``spread_by`` and their one right row is copied to
-    each group.  All other keys keep a single group.
-    """
-    hot = cut_lineage(
-        left.groupBy(key).agg(F.count("*").alias("_rows")).where(F.col("_rows") > hot_rows).select(key)
-    )
-    if hot.isEmpty():
-        return left.join(right, key, "left")
-    marked = hot.withColumn("_hot", F.lit(True))
-    spread = F.when(F.col("_hot"), F.pmod(F.hash(spread_by), F.lit(salts))).otherwise(0)
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
-    salted = left.join(F.broadcast(marked), key, "left").withColumn("_salt", spread).drop("_hot")
-    copied = (
-        right.join(F.broadcast(marked), key, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
-    )
-    return salted.join(copied, [key, "_salt"], "left").drop("_salt")
+def join_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str = "left") -> DataFrame:
+    """Join by equal keys, null being equal to null; the keys appear once."""
+    names = {k: f"_right_{k}" for k in keys}
+    renamed = right.withColumnsRenamed(names)
+    same = reduce(Column.__and__, [left[k].eqNullSafe(renamed[n]) for k, n in names.items()])
+    return left.join(renamed, same, how).drop(*names.values())

@@ -1,9 +1,11 @@
 """Ordered operators that never put one whole key into one task.
 
 A window over ``(key)`` alone sends every row of a hot key to a single task.
-Each operator here cuts a key into blocks along its order, windows over
-``(key, block)``, and carries what crosses a block edge through a table with
-one row per block.
+Each operator here first cuts the rows, ordered by key and order, into blocks
+of about equal numbers of rows: ranges whose bounds come from the rows
+themselves, whatever their spread.  It then windows over ``(key, block)`` and
+carries what crosses a block edge through a table with one row per key and
+block, in two levels, so that this table is never in one task either.
 """
 
 from collections.abc import Callable, Sequence
@@ -11,29 +13,64 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
-# Rows of the whole table in one time block on average.  Even if they all belong
-# to one key, a task can sort many times as many.
-BLOCK_ROWS = 200_000
+from tierflow.operators.joins import join_keys
+from tierflow.runtime import cut_lineage
 
+# Rows of a block, as near as sampled bounds meet it.
+BLOCK_ROWS = 500_000
+# Every table is cut into so many blocks at least, so small and large ones take
+# the same way.
+LEAST_BLOCKS = 4
+# Blocks whose edges are carried together.
+FAN = 1_024
 
-def time_block(ts: Column, seconds: float | None) -> Column | None:
-    """Number of the time block of a timestamp; no blocks without a width."""
-    if seconds is None:
-        return None
-    return F.floor(F.unix_micros(ts.cast("timestamp")) / (seconds * 1e6))
+
+def blocked(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows: int | None = None
+) -> DataFrame:
+    """``df``, stored, with ``_block``: ranges of ``(keys, order)``.
+
+    Rows that agree in all these columns share a block, so ``order`` should end
+    in something that differs.  A table that has blocks keeps them.
+    """
+    if "_block" in df.columns:
+        return df
+    stored = cut_lineage(df)
+    count = max(LEAST_BLOCKS, -(-stored.count() // (rows or BLOCK_ROWS)))
+    ranged = stored.repartitionByRange(count, *keys, *order)
+    return cut_lineage(ranged.withColumn("_block", F.spark_partition_id()))
 
 
-def fitting_block(df: DataFrame, ts: Column, rows: int = BLOCK_ROWS) -> float | None:
-    """Width in seconds of time blocks with about ``rows`` rows of ``df``.
+def carried(edges: DataFrame, keys: Sequence[str], value: str, how: str) -> DataFrame:
+    """Add ``_carried`` to a table with one row per key and block.
 
-    Reads one column once.  A table counted to have no more rows than that
-    needs no blocks: a task can hold all of it.
+    ``before`` is the last value of earlier blocks that is not null, ``after``
+    the first one of later blocks, ``sum`` the sum over earlier blocks.
     """
-    micros = F.unix_micros(ts.cast("timestamp"))
-    first, last, n = df.agg(F.min(micros), F.max(micros), F.count("*")).first()
-    if n <= rows:
-        return None
-    return ((last - first) / 1e6 + 1.0) * rows / n
+    first, last = Window.unboundedPreceding, Window.unboundedFollowing
+    span = (1, last) if how == "after" else (first, -1)
+    at = F.when(F.col(value).isNotNull(), F.col("_block"))
+    pick, edge = {
+        "before": (lambda c: F.last(c, ignorenulls=True), F.max_by(value, at)),
+        "after": (lambda c: F.first(c, ignorenulls=True), F.min_by(value, at)),
+        "sum": (F.sum, F.sum(value)),
+    }[how]
+    grouped = edges.withColumn("_group", F.floor(F.col("_block") / FAN))
+    inside = Window.partitionBy(*keys, "_group").orderBy("_block").rowsBetween(*span)
+    across = Window.partitionBy(*keys).orderBy("_group").rowsBetween(*span)
+    groups = (
+        grouped.groupBy(*keys, "_group")
+        .agg(edge.alias("_edge"))
+        .select(*keys, "_group", pick("_edge").over(across).alias("_far"))
+    )
+    near = grouped.withColumn("_near", pick(value).over(inside))
+    found = (
+        F.coalesce("_near", F.lit(0)) + F.coalesce("_far", F.lit(0))
+        if how == "sum"
+        else F.coalesce("_near", "_far")
+    )
+    joined = join_keys(near, groups, [*keys, "_group"])
+    return joined.withColumn("_carried", found).drop("_group", "_near", "_far")
 
 
 def neighbour(
@@ -41,69 +78,71 @@ def neighbour(
     keys: Sequence[str],
     order: Sequence[str],
     values: Sequence[str],
-    block: Column | None,
     ahead: bool = False,
     prefix: str | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add the previous (or next) row's ``values`` within ``keys``.
 
-    ``block`` must not decrease along ``order``; without it every key must fit
-    a task.  The names get the prefix ``prev_`` or ``next_``.
+    The names get the prefix ``prev_`` or ``next_``.
     """
     prefix = prefix or ("next_" if ahead else "prev_")
     step = F.lead if ahead else F.lag
     edge = F.min_by if ahead else F.max_by
     payload = F.struct(*values)
-    if block is None:
-        key = Window.partitionBy(*keys).orderBy(*order)
-        return df.select(*df.columns, *[step(v).over(key).alias(prefix + v) for v in values])
-
-    blocked = df.withColumn("_block", block)
+    rows = blocked(df, keys, order, block_rows)
     inside = Window.partitionBy(*keys, "_block").orderBy(*order)
-    across = Window.partitionBy(*keys).orderBy("_block")
-    carried = (
-        blocked.groupBy(*keys, "_block")
-        .agg(edge(payload, F.struct(*order)).alias("_edge"))
-        .withColumn("_carried", step("_edge").over(across))
-        .drop("_edge")
-    )
+    edges = rows.groupBy(*keys, "_block").agg(edge(payload, F.struct(*order)).alias("_payload"))
+    edges = carried(edges, keys, "_payload", "after" if ahead else "before").drop("_payload")
     near = F.coalesce("_near", "_carried")
-    return (
-        blocked.withColumn("_near", step(payload).over(inside))
-        .join(carried, [*keys, "_block"], "left")
-        .select(*df.columns, *[near[v].alias(prefix + v) for v in values])
+    return join_keys(
+        rows.withColumn("_near", step(payload).over(inside)), edges, [*keys, "_block"]
+    ).select(*df.columns, *[near[v].alias(prefix + v) for v in values])
+
+
+def running(
+    df: DataFrame,
+    keys: Sequence[str],
+    order: Sequence[str],
+    sums: dict[str, Column],
+    block_rows: int | None = None,
+) -> DataFrame:
+    """Add sums over the key's rows up to and with each row."""
+    rows = blocked(df, keys, order, block_rows)
+    named = rows.withColumns({f"_{n}": c for n, c in sums.items()})
+    inside = (
+        Window.partitionBy(*keys, "_block")
+        .orderBy(*order)
+        .rowsBetween(Window.unboundedPreceding, 0)
     )
+    totals = named.groupBy(*keys, "_block").agg(*[F.sum(f"_{n}").alias(n) for n in sums])
+    result = named.withColumns({f"_{n}": F.sum(f"_{n}").over(inside) for n in sums})
+    for n in sums:
+        edges = carried(totals.select(*keys, "_block", n), keys, n, "sum").drop(n)
+        result = join_keys(result, edges.withColumnRenamed("_carried", f"_before_{n}"), [*keys, "_block"])
+    return result.select(*df.columns, *[(F.col(f"_before_{n}") + F.col(f"_{n}")).alias(n) for n in sums])
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: str, block: Column, name: str = "position"
+    df: DataFrame,
+    keys: Sequence[str],
+    order: str,
+    name: str = "position",
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add the 1-based rank of each row within ``keys`` along ``order``.
 
     Also adds ``first_<order>``, the smallest order value of the key.
     """
-    blocked = df.withColumn("_block", block)
+    rows = blocked(df, keys, [order], block_rows)
     inside = Window.partitionBy(*keys, "_block").orderBy(order)
-    whole = Window.partitionBy(*keys)
-    before = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        blocked.groupBy(*keys, "_block")
-        .agg(F.count("*").alias("_rows"), F.min(order).alias("_low"))
-        .select(
-            *keys,
-            "_block",
-            F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_before"),
-            F.min("_low").over(whole).alias(f"first_{order}"),
-        )
-    )
-    return (
-        blocked.withColumn("_inside", F.row_number().over(inside))
-        .join(offsets, [*keys, "_block"])
-        .select(
-            *df.columns,
-            (F.col("_before") + F.col("_inside")).alias(name),
-            f"first_{order}",
-        )
+    counts = rows.groupBy(*keys, "_block").agg(F.count("*").alias("_rows"))
+    before = carried(counts, keys, "_rows", "sum").drop("_rows")
+    lows = rows.groupBy(*keys).agg(F.min(order).alias(f"first_{order}"))
+    ranked = rows.withColumn("_inside", F.row_number().over(inside))
+    joined = join_keys(join_keys(ranked, before, [*keys, "_block"]), lows, keys)
+    return joined.select(
+        *df.columns, (F.col("_carried") + F.col("_inside")).alias(name), f"first_{order}"
     )
 
 
@@ -143,48 +182,47 @@ def asof_backward(
     key: str,
     ts: str,
     values: Sequence[str],
-    block: Column | None,
+    tie: str | None = None,
+    before: Column | None = None,
+    block_rows: int | None = None,
 ) -> DataFrame:
     """Add the ``values`` of the latest right row at or before each left row.
 
-    Both sides share the key and time column names; ``block`` is an expression
-    over the time column, without it every key must fit a task.  Rows without
-    an earlier right row get nulls.
+    Both sides share the key and time column names.  Of right rows with equal
+    time the one with the largest ``tie`` counts.  Left rows where ``before``
+    holds look at strictly earlier rows only.  Rows without an earlier right
+    row get nulls.
     """
-    row = F.struct(*left.columns)
-    reading = F.struct(*values)
-    left_rows = left.select(key, ts, F.lit(1).alias("_side"), row.alias("_row"))
-    right_rows = right.select(key, ts, F.lit(0).alias("_side"), reading.alias("_reading"))
-    both = left_rows.unionByName(right_rows, allowMissingColumns=True)
-    if block is None:
-        upto = (
-            Window.partitionBy(key).orderBy(ts, "_side").rowsBetween(Window.unboundedPreceding, 0)
-        )
-        latest = both.withColumn("_near", F.last("_reading", ignorenulls=True).over(upto))
-        return latest.where("_side = 1").select(
-            "_row.*", *[F.col("_near")[v].alias(v) for v in values]
-        )
-
-    both = both.withColumn("_block", block)
+    after = F.lit(1) if before is None else F.when(before, -1).otherwise(1)
+    left_rows = left.select(
+        key,
+        ts,
+        after.alias("_side"),
+        F.xxhash64(*left.columns).cast("double").alias("_tie"),
+        F.struct(*left.columns).alias("_row"),
+    )
+    rank = F.xxhash64(*values) if tie is None else F.col(tie)
+    right_rows = right.select(
+        key,
+        ts,
+        F.lit(0).alias("_side"),
+        rank.cast("double").alias("_tie"),
+        F.struct(*values).alias("_reading"),
+    )
+    order = [ts, "_side", "_tie"]
+    both = blocked(
+        left_rows.unionByName(right_rows, allowMissingColumns=True), [key], order, block_rows
+    )
     inside = (
         Window.partitionBy(key, "_block")
-        .orderBy(ts, "_side")
+        .orderBy(*order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    across = (
-        Window.partitionBy(key).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    reading_time = F.when(F.col("_side") == 0, F.col(ts))
-    carried = (
-        both.groupBy(key, "_block")
-        .agg(F.max_by("_reading", reading_time).alias("_edge"))
-        .withColumn("_carried", F.last("_edge", ignorenulls=True).over(across))
-        .drop("_edge")
-    )
+    reading_order = F.when(F.col("_side") == 0, F.struct(ts, "_tie"))
+    edges = both.groupBy(key, "_block").agg(F.max_by("_reading", reading_order).alias("_edge"))
+    edges = carried(edges, [key], "_edge", "before").drop("_edge")
     found = F.coalesce("_near", "_carried")
-    return (
-        both.withColumn("_near", F.last("_reading", ignorenulls=True).over(inside))
-        .where("_side = 1")
-        .join(carried, [key, "_block"], "left")
-        .select("_row.*", *[found[v].alias(v) for v in values])
+    near = both.withColumn("_near", F.last("_reading", ignorenulls=True).over(inside))
+    return join_keys(near.where("_side <> 0"), edges, [key, "_block"]).select(
+        "_row.*", *[found[v].alias(v) for v in values]
     )

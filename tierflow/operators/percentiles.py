@@ -1,76 +1,67 @@
-"""Exact percentiles of groups too large for one task.
+"""Exact percentiles of groups of any size.
 
 The built-in exact percentile keeps every distinct value of a group in one
 task.  Here a sketch only chooses cut points close to the wanted ranks; counting
 the rows between the cuts then tells exactly which short stretch holds each
 rank, and only the rows of those stretches are ordered.  A poor sketch makes a
-stretch longer, never the result wrong.
+stretch longer, never the result wrong.  All ranked columns go through the same
+passes.
 """
 
 from collections.abc import Mapping, Sequence
 from functools import reduce
-from math import sqrt
+from math import isqrt
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tierflow.runtime import checked_broadcast
+from tierflow.operators.joins import join_keys
+from tierflow.runtime import cut_lineage
 
 
-# A group with at most this many rows may be held by one task.
-DIRECT_ROWS = 1_000_000
-
-# Rows assumed for the largest group where no bound is given.
-LARGE_GROUP = 2_500_000_000
-
-
-def exact_percentiles(
+def exact_percentiles_of(
     df: DataFrame,
     keys: Sequence[str],
-    value: str,
+    values: Sequence[str],
     probabilities: Sequence[float],
     accuracy: int | None = None,
-    direct_rows: int = DIRECT_ROWS,
-    at_most: int | None = None,
 ) -> DataFrame:
-    """One row per key and probability: ``p``, ``percentile``, ``n``.
+    """One row per key, column and probability: ``column, p, percentile, n``.
 
     Linear interpolation between the two order statistics around
-    ``(n - 1) * p``.  Nulls and NaN are left out.  When no group has more than
-    ``direct_rows`` rows, the built-in percentile is used.  ``at_most`` is a
-    known upper bound on the rows of a group, such as the number of logs;
-    without it the groups are counted.
-
-    ``accuracy`` is the number of ranks the sketch tells apart.  It grows with
-    the square root of the rows, so that neither the sketch nor the stretch to
-    be ordered outgrows a task.
+    ``(n - 1) * p``.  Nulls and NaN are left out.
+
+    ``accuracy`` is the number of ranks the sketch tells apart.  It is twice the
+    root of the counted rows of the largest group, so that neither the sketch
+    nor the stretch to be ordered outgrows a task.
     """
-    keys = list(keys)
-    clean = df.where(F.col(value).isNotNull() & ~F.isnan(F.col(value))).select(
-        *keys, F.col(value).cast("double").alias("_v")
+    pairs = F.array(
+        *[F.struct(F.lit(v).alias("column"), F.col(v).cast("double").alias("v")) for v in values]
     )
-    if at_most is not None and at_most <= direct_rows:
-        return _direct_percentiles(clean, keys, probabilities)
-    accuracy = accuracy or max(10_000, int(2 * sqrt(at_most or LARGE_GROUP)))
+    long = df.select(*keys, F.explode(pairs).alias("_pair"))
+    clean = cut_lineage(
+        long.select(*keys, F.col("_pair.column").alias("_column"), F.col("_pair.v").alias("_v"))
+        .where("_v IS NOT NULL AND NOT isnan(_v)")
+    )
+    keys = [*keys, "_column"]
+    largest = clean.groupBy(*keys).count().agg(F.max("count")).first()[0] or 0
+    accuracy = accuracy or 2 * isqrt(largest) + 16
     margin = 2.0 / accuracy
     cuts = sorted(
         {min(1.0, max(0.0, p + side * margin)) for p in probabilities for side in (-1, 1)}
     )
-    sketch = checked_broadcast(
-        clean.groupBy(*keys).agg(
-            F.percentile_approx("_v", cuts, accuracy).alias("_cuts"), F.count("*").alias("_n")
-        )
+    sketch = cut_lineage(
+        clean.groupBy(*keys).agg(F.percentile_approx("_v", cuts, accuracy).alias("_cuts"))
     )
-    largest = sketch.agg(F.max("_n")).first()[0]
-    if largest is None or largest <= direct_rows:
-        return _direct_percentiles(clean, keys, probabilities)
     above = [(F.col("_v") > F.col("_cuts")[i]).cast("int") for i in range(len(cuts))]
-    placed = clean.join(sketch, keys).select(*keys, "_v", reduce(Column.__add__, above).alias("_s"))
+    placed = join_keys(clean, sketch, keys, "inner").select(
+        *keys, "_v", reduce(Column.__add__, above).alias("_s")
+    )
 
     # One row per key and stretch, at most 2 * len(cuts) + 1 of them per key.
     whole = Window.partitionBy(*keys)
     before = whole.orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
-    stretches = (
+    stretches = cut_lineage(
         placed.groupBy(*keys, "_s")
         .agg(F.count("*").alias("_rows"))
         .withColumn("_before", F.coalesce(F.sum("_rows").over(before), F.lit(0)))
@@ -83,17 +74,17 @@ def exact_percentiles(
     )
 
     # Only the stretches that hold a wanted rank are ordered.
-    wanted = F.broadcast(stretches.select(*keys, "_s", "_before").distinct())
-    running = (
+    wanted = stretches.select(*keys, "_s", "_before").distinct()
+    upto = (
         Window.partitionBy(*keys, "_s")
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, 0)
     )
     ordered = (
-        placed.join(wanted, [*keys, "_s"])
+        join_keys(placed, wanted, [*keys, "_s"], "inner")
         .groupBy(*keys, "_s", "_before", "_v")
         .agg(F.count("*").alias("_times"))
-        .withColumn("_end", F.col("_before") + F.sum("_times").over(running))
+        .withColumn("_end", F.col("_before") + F.sum("_times").over(upto))
         .withColumn("_start", F.col("_end") - F.col("_times"))
         .drop("_before")
     )
@@ -101,7 +92,7 @@ def exact_percentiles(
     high = F.max(F.when(F.col("_high").between(F.col("_start"), F.col("_end") - 1), F.col("_v")))
     share = F.col("_rank") - F.floor("_rank")
     return (
-        ordered.join(F.broadcast(stretches.drop("_rows", "_before")), [*keys, "_s"])
+        join_keys(ordered, stretches.drop("_rows", "_before"), [*keys, "_s"], "inner")
         .where(
             F.col("_low").between(F.col("_start"), F.col("_end") - 1)
             | F.col("_high").between(F.col("_start"), F.col("_end") - 1)
@@ -109,34 +100,36 @@ def exact_percentiles(
         .groupBy(*keys, "p", "n", "_rank")
         .agg(low.alias("_a"), high.alias("_b"))
         .select(
-            *keys, "p", "n", (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("percentile")
+            *keys[:-1],
+            F.col("_column").alias("column"),
+            "p",
+            "n",
+            (F.col("_a") + (F.col("_b") - F.col("_a")) * share).alias("percentile"),
         )
     )
 
 
-def _direct_percentiles(
-    clean: DataFrame, keys: Sequence[str], probabilities: Sequence[float]
+def exact_percentiles(
+    df: DataFrame,
+    keys: Sequence[str],
+    value: str,
+    probabilities: Sequence[float],
+    accuracy: int | None = None,
 ) -> DataFrame:
-    wanted = [float(p) for p in probabilities]
-    found = clean.groupBy(*keys).agg(
-        F.count("*").alias("n"),
-        F.percentile("_v", F.array(*[F.lit(p) for p in wanted])).alias("_found"),
-    )
-    pairs = F.arrays_zip(F.array(*[F.lit(p) for p in wanted]).alias("p"), "_found")
-    return found.withColumn("_pair", F.explode(pairs)).select(
-        *keys, "_pair.p", "n", F.col("_pair._found").alias("percentile")
-    )
+    """The same for one column: ``p, percentile, n`` per key and probability."""
+    return exact_percentiles_of(df, keys, [value], probabilities, accuracy).drop("column")
 
 
 def percentile_columns(
-    df: DataFrame,
-    keys: Sequence[str],
-    value: str,
-    named: Mapping[str, float],
-    at_most: int | None = None,
+    df: DataFrame, keys: Sequence[str], named: Mapping[str, tuple[str, float]]
 ) -> DataFrame:
-    """The same as one row per key with a column per named percentile."""
-    rows = exact_percentiles(df, keys, value, list(named.values()), at_most=at_most)
-    return rows.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("p") == float(p), F.col("percentile"))).alias(n) for n, p in named.items()]
-    )
+    """One row per key; ``named`` maps a column to what it ranks and its level."""
+    values = list(dict.fromkeys(v for v, _ in named.values()))
+    levels = sorted({p for _, p in named.values()})
+    rows = exact_percentiles_of(df, keys, values, levels)
+
+    def one(value: str, p: float) -> Column:
+        here = (F.col("column") == value) & (F.col("p") == float(p))
+        return F.max(F.when(here, F.col("percentile")))
+
+    return rows.groupBy(*keys).agg(*[one(*v).alias(n) for n, v in named.items()])

@@ -131,7 +131,7 @@ class QuantileBins:
 
 
 def fit_bins(
-    df: DataFrame, components: Sequence[Column], n_bins: int, at_most: int | None = None
+    df: DataFrame, components: Sequence[Column], n_bins: int
 ) -> QuantileBins:
     """Exact quantile edges of each component.
 
@@ -143,7 +143,7 @@ def fit_bins(
     )
     long = df.select(F.explode(pairs).alias("_p")).select("_p.*")
     levels = [i / n_bins for i in range(n_bins + 1)]
-    rows = exact_percentiles(long, ["dim"], "x", levels, at_most=at_most).collect()
+    rows = exact_percentiles(long, ["dim"], "x", levels).collect()
     found = [sorted({r["percentile"] for r in rows if r["dim"] == i}) for i in range(len(components))]
     return QuantileBins(tuple(tuple(edges[1:-1]) for edges in found))
 

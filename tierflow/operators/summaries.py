@@ -11,8 +11,10 @@ from tierflow.functions.cost import (
     carbon_kg,
     watt_hours,
 )
+from tierflow.operators.joins import join_keys
 from tierflow.operators.ordered import rolling
-from tierflow.operators.percentiles import DIRECT_ROWS, exact_percentiles, percentile_columns
+from tierflow.operators.percentiles import exact_percentiles, percentile_columns
+from tierflow.runtime import cut_lineage
 from tierflow.schemas import TIERS
 
 RUN = ("router", "dataset_name")
@@ -97,42 +99,27 @@ def with_percentiles(
     keys: Sequence[str],
     measures: Sequence[Column],
     named: Mapping[str, tuple[str, float]],
-    at_most: int | None = None,
 ) -> DataFrame:
     """Aggregates and exact percentiles per key.
 
-    ``named`` maps an output column to the column it ranks and its level.  One
-    pass when ``at_most`` says that a task can hold a group; otherwise the
-    percentiles come from the distributed ranking and are joined, both sides
-    having one row per key.
+    ``named`` maps an output column to the column it ranks and its level.  The
+    trace is stored once; aggregates and ranks are read from there.  Both have
+    one row per key and are joined.
     """
-    if at_most is not None and at_most <= DIRECT_ROWS:
-        # one ranking per column serves all its levels
-        levels = {v: [p for w, p in named.values() if w == v] for v, _ in named.values()}
-        ranked = [
-            F.percentile(v, F.array(*[F.lit(p) for p in ps])).alias(f"_{v}")
-            for v, ps in levels.items()
-        ]
-        found = {n: F.col(f"_{v}")[levels[v].index(p)] for n, (v, p) in named.items()}
-        summary = trace.groupBy(*keys).agg(*measures, *ranked)
-        return summary.withColumns(found).drop(*[f"_{v}" for v in levels])
-    summary = trace.groupBy(*keys).agg(*measures)
-    for value in dict.fromkeys(v for v, _ in named.values()):
-        levels = {n: p for n, (v, p) in named.items() if v == value}
-        ranked = percentile_columns(trace, keys, value, levels)
-        summary = summary.join(ranked, list(keys), "left")
-    return summary
+    stored = cut_lineage(trace)
+    ranked = percentile_columns(stored, keys, named)
+    return join_keys(stored.groupBy(*keys).agg(*measures), ranked, keys)
 
 
 def combined_summary(
-    trace: DataFrame, keys: Sequence[str] = ("dataset_name",), at_most: int | None = None
+    trace: DataFrame, keys: Sequence[str] = ("dataset_name",)
 ) -> DataFrame:
     """All combined metrics per key, pooled over everything else."""
     named = {
         "median_total_latency_ms": ("total_latency_ms", 0.5),
         "p95_total_latency_ms": ("total_latency_ms", 0.95),
     }
-    summary = with_percentiles(trace, keys, additive_columns(), named, at_most)
+    summary = with_percentiles(trace, keys, additive_columns(), named)
     return summary.select(*keys, *COMBINED_COLUMNS)
 
 
@@ -167,7 +154,7 @@ def run_summary(
 
 
 def results_summary(
-    trace: DataFrame, kg_per_kwh: float = REPORT_KG_PER_KWH, at_most: int | None = None
+    trace: DataFrame, kg_per_kwh: float = REPORT_KG_PER_KWH
 ) -> DataFrame:
     """Report over a result set, sorted by dataset and method."""
     n = F.count("*")
@@ -184,7 +171,7 @@ def results_summary(
     ]
     return (
         with_percentiles(
-            trace, RUN, measures, {"P50LatencyMs": ("total_latency_ms", 0.5)}, at_most
+            trace, RUN, measures, {"P50LatencyMs": ("total_latency_ms", 0.5)}
         )
         .withColumnsRenamed({"router": "Method", "dataset_name": "Dataset"})
         .orderBy("Dataset", "Method")
@@ -195,10 +182,9 @@ def tail_latency(
     trace: DataFrame,
     percents: Sequence[int] = (50, 75, 90, 95, 99),
     keys: Sequence[str] = RUN,
-    at_most: int | None = None,
 ) -> DataFrame:
     levels = [p / 100 for p in percents]
-    rows = exact_percentiles(trace, keys, "total_latency_ms", levels, at_most=at_most)
+    rows = exact_percentiles(trace, keys, "total_latency_ms", levels)
     return rows.select(
         *keys,
         F.round(F.col("p") * 100).cast("int").alias("percent"),
@@ -235,7 +221,7 @@ def pivot_destination(trace: DataFrame) -> DataFrame:
     )
 
 
-def per_backend_metrics(trace: DataFrame, at_most: int | None = None) -> DataFrame:
+def per_backend_metrics(trace: DataFrame) -> DataFrame:
     """Latency and energy by router and tier, with the tier ``all`` for every row."""
     tiers = trace.withColumn("tier", F.explode(F.array(F.col("destination"), F.lit("all"))))
     keys = ["router", "tier"]
@@ -251,7 +237,7 @@ def per_backend_metrics(trace: DataFrame, at_most: int | None = None) -> DataFra
         "p95_energy_j": ("energy_cpu_pkg_j", 0.95),
         "p99_energy_j": ("energy_cpu_pkg_j", 0.99),
     }
-    return with_percentiles(tiers, keys, measures, named, at_most)
+    return with_percentiles(tiers, keys, measures, named)
 
 
 RUN_METRICS = ("AvgLatencyMs", "ThroughputLogsPerSec", "EnergyPerLogWh")

@@ -1,13 +1,14 @@
-"""Two session-level helpers: stored intermediate tables and checked broadcasts."""
+"""Stored intermediate tables: where they go and how long they live."""
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-# Largest table, written out as text, that is sent to every executor.
-BROADCAST_BYTES = 64 * 1024 * 1024
+# Folders of tables stored by this driver and not yet removed.
+_STORED: list[str] = []
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,25 +27,42 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new shared folder of this driver; ``release`` removes it."""
+    path = f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+    _STORED.append(path)
+    return path
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it from there on.
 
     A lost executor then costs a reread, not a recomputation, and the planner
-    knows the size of the table.
+    knows the size of the table: it broadcasts it in a join only if it is small.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tierflow-{uuid4().hex}"
+    path = fresh_folder(spark, "tierflow")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def checked_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFrame:
-    """Broadcast ``df`` only after measuring that it is small.
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Remove stored tables, the newest first, down to the first ``since``.
 
-    ``df`` should be an aggregate; it is stored, so that the measurement and
-    the later join do not compute it twice.  A larger table comes back without
-    a hint and joins by shuffle, where adaptive execution splits skewed keys.
+    Results that were not yet read from them cannot be read any more.
     """
-    stored = cut_lineage(df)
-    size = stored.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0]
-    return F.broadcast(stored) if (size or 0) <= max_bytes else stored
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    settings = spark._jsc.hadoopConfiguration()
+    while len(_STORED) > since:
+        path = hadoop(_STORED.pop())
+        path.getFileSystem(settings).delete(path, True)
+
+
+@contextmanager
+def stored_steps(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block live until its end."""
+    since = len(_STORED)
+    try:
+        yield
+    finally:
+        release(spark, since)
