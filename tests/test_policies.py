@@ -60,7 +60,7 @@ def test_policy_survives_saving(spark, tmp_path):
         [(i, t, 1.0 if t == "ipfs" else -1.0) for i in range(80) for t in ("mysql", "elk", "ipfs")],
         "log_id long, destination string, reward double",
     )
-    policy = tabular.fit_policy(logs, "v", rewarded, components=1, n_bins=2, sweeps=3)
+    policy = tabular.fit_policy(logs, "v", rewarded, components=1, n_bins=2, tolerance=1e-3)
     assert policy.metadata["obs_dim"] == 4 and policy.usable
     routed = policy.route(logs, "v").orderBy("log_id").collect()
     assert {r.raw_destination for r in routed} == {"ipfs"}
@@ -133,12 +133,12 @@ def test_fitted_values(spark):
     ]
     df = spark.createDataFrame(moves, "state string, action int, reward double, next_state string")
     table = spark.createDataFrame(list(teachers.items()), "state string, teacher string")
-    q = qpolicy.fit_q(qpolicy.transition_counts(df), table, sweeps=7, store_every=3)
+    q = qpolicy.fit_q(qpolicy.transition_counts(df), table, tolerance=1e-6)
     got = {(r.state, r.action): r.q for r in q.collect()}
-    expected = plain_fit(moves, teachers, 7, 0.98, 0.3)
+    expected = plain_fit(moves, teachers, 2_000, 0.98, 0.3)
     assert got.keys() == expected.keys()
     for pair, value in expected.items():
-        assert got[pair] == pytest.approx(value, abs=1e-9)
+        assert got[pair] == pytest.approx(value, abs=1e-4)
     policy = {r.state: r.action for r in qpolicy.greedy_policy(q).collect()}
     for s in names:
         assert policy[s] == int(np.argmax([expected[s, a] for a in range(3)]))
@@ -163,13 +163,14 @@ def test_first_action_wins_ties(spark):
     assert qpolicy.greedy_policy(q).first()["action"] == 1
 
 
-def test_behaviour_shares(spark):
-    df = spark.range(4000).select(F.col("id").alias("log_id"), F.lit("ipfs").alias("teacher"))
-    action = qpolicy.behaviour_action(F.col("teacher"), F.col("log_id"), epsilon=0.5, guided_prob=0.5)
-    counts = {r.a: r["count"] for r in df.select(action.alias("a")).groupBy("a").count().collect()}
-    # half greedy (0), a quarter teacher (2), a quarter uniform
-    assert abs(counts[0] / 4000 - (0.5 + 1 / 12)) < 0.04
-    assert abs(counts[2] / 4000 - (0.25 + 1 / 12)) < 0.04
+def test_values_that_do_not_settle_are_an_error(spark):
+    moves = spark.createDataFrame([("s", 0, 1.0, "s")], "state string, action int, reward double, next_state string")
+    teachers = spark.createDataFrame([("s", "mysql")], "state string, teacher string")
+    counts = qpolicy.transition_counts(moves)
+    q = qpolicy.fit_q(counts, teachers, tolerance=1e-6).where("action = 0").first()["q"]
+    assert q == pytest.approx(50.0, abs=1e-4)
+    with pytest.raises(RuntimeError):
+        qpolicy.fit_q(counts, teachers, gamma=1.0 - 1e-12, max_sweeps=8)
 
 
 def plain_plateau(values, window, patience, drop, least, start, end):

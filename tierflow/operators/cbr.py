@@ -2,18 +2,20 @@
 
 The router samples measured costs, groups them by a hashed attribute value, and
 routes by the attribute whose buckets explain most of the cost variance.  Its
-state is a table of counts and sums with at most attributes x buckets x tiers
-rows, whatever the number of logs.
+state is a table of counts, means and squares about the mean with at most
+attributes x buckets x tiers rows, whatever the number of logs.
 """
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tierflow.functions.cost import ENERGY_WEIGHT, LATENCY_WEIGHT, routing_cost
 from tierflow.functions.text import hash_bucket, hash_sample
 from tierflow.operators.routing import static_destination
+from tierflow.operators.trace import outcomes_of
 from tierflow.runtime import cut_lineage
 from tierflow.schemas import CBR_ATTRIBUTES, CBR_STATE_SCHEMA, TIERS
 
@@ -51,11 +53,13 @@ def feedback(
     sample_prob: float = SAMPLE_PROB,
     seed: str = "cbr",
 ) -> DataFrame:
-    """Outcomes of the sampled logs with the classifying attributes."""
-    sampled = logs.where(hash_sample(sample_prob, seed, F.col("log_id"))).select(
-        "log_id", *CBR_ATTRIBUTES
-    )
-    return sampled.join(observations, "log_id")
+    """Outcomes of the sampled logs with the classifying attributes.
+
+    A missing outcome is a failed write.
+    """
+    drawn = hash_sample(sample_prob, seed, F.col("log_id"))
+    sampled = logs.where(drawn).select("log_id", *CBR_ATTRIBUTES)
+    return outcomes_of(sampled, observations.where(drawn))
 
 
 def bucket_stats(
@@ -65,7 +69,7 @@ def bucket_stats(
     latency_weight: float = LATENCY_WEIGHT,
     energy_weight: float = ENERGY_WEIGHT,
 ) -> DataFrame:
-    """Count, sum and square sum of cost by attribute, bucket and tier.
+    """Count, mean and squares about the mean of cost by attribute, bucket, tier.
 
     A value shared by most logs is combined before the shuffle.
     """
@@ -86,10 +90,11 @@ def bucket_stats(
         outcomes.select("destination", cost.alias("_cost"), F.explode(pairs).alias("_pair"))
         .groupBy("_pair.attr", "_pair.bucket", "destination")
         .agg(
-            F.count("*").alias("n"),
-            F.sum("_cost").alias("sum_cost"),
-            F.sum(F.col("_cost") * F.col("_cost")).alias("sum_sq"),
+            F.count("_cost").alias("n"),
+            F.avg("_cost").alias("mean"),
+            (F.var_pop("_cost") * F.count("_cost")).alias("m2"),
         )
+        .where("n > 0")
     )
 
 
@@ -98,14 +103,30 @@ def merge_stats(*states: DataFrame) -> DataFrame:
     merged = states[0]
     for state in states[1:]:
         merged = merged.unionByName(state)
-    return merged.groupBy("attr", "bucket", "destination").agg(
-        F.sum("n").alias("n"), F.sum("sum_cost").alias("sum_cost"), F.sum("sum_sq").alias("sum_sq")
+    return pooled(merged, ["attr", "bucket", "destination"])
+
+
+def pooled(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Statistics by fewer keys, or of several tables: ``n, mean, m2``.
+
+    Squares are taken about the pooled mean, never as a difference of large
+    sums.
+    """
+    per = Window.partitionBy(*keys)
+    about = stats.where("n > 0").withColumn(
+        "_mean", F.sum(F.col("n") * F.col("mean")).over(per) / F.sum("n").over(per)
+    )
+    between = F.col("n") * F.pow(F.col("mean") - F.col("_mean"), 2)
+    return about.groupBy(*keys).agg(
+        F.sum("n").alias("n"),
+        F.max("_mean").alias("mean"),
+        F.sum(F.col("m2") + between).alias("m2"),
     )
 
 
 def expected_costs(stats: DataFrame) -> DataFrame:
     return stats.where("n > 0").select(
-        "attr", "bucket", "destination", (F.col("sum_cost") / F.col("n")).alias("mean_cost")
+        "attr", "bucket", "destination", F.col("mean").alias("mean_cost")
     )
 
 
@@ -116,25 +137,22 @@ def attribute_scores(stats: DataFrame) -> DataFrame:
     overall variance and no second table is needed.  The first gate counts a
     sample once per attribute.
     """
-    variance = F.col("_sq") / F.col("_n") - F.pow(F.col("_sum") / F.col("_n"), 2)
-    usable = F.col("_n") >= 2
-    per_bucket = stats.groupBy("attr", "bucket").agg(
-        F.sum("n").alias("_n"), F.sum("sum_cost").alias("_sum"), F.sum("sum_sq").alias("_sq")
+    usable = F.col("n") >= 2
+    per_bucket = pooled(stats, ["attr", "bucket"])
+    within = per_bucket.groupBy("attr").agg(
+        F.sum(F.when(usable, F.col("m2"))).alias("_within"),
+        F.sum(F.when(usable, F.col("n")).otherwise(0)).alias("_used"),
     )
-    totals = per_bucket.groupBy("attr").agg(
-        F.sum(F.when(usable, F.col("_n") * variance)).alias("_within"),
-        F.sum(F.when(usable, F.col("_n")).otherwise(0)).alias("_used"),
-        F.sum("_n").alias("_n"),
-        F.sum("_sum").alias("_sum"),
-        F.sum("_sq").alias("_sq"),
-    )
-    overall = F.col("_global")
-    within = F.col("_within") / F.col("_used")
+    overall = F.col("m2") / F.col("n")
     return (
-        totals.withColumn("_global", variance)
-        .where(F.col("_n") * len(CBR_ATTRIBUTES) >= MIN_SAMPLES)
+        pooled(per_bucket, ["attr"])
+        .join(within, "attr")
+        .where(F.col("n") * len(CBR_ATTRIBUTES) >= MIN_SAMPLES)
         .where((overall > MIN_VARIANCE) & (F.col("_used") >= MIN_SAMPLES))
-        .select("attr", (F.greatest(F.lit(0.0), overall - within) / overall).alias("score"))
+        .select(
+            "attr",
+            (F.greatest(F.lit(0.0), overall - F.col("_within") / F.col("_used")) / overall).alias("score"),
+        )
     )
 
 
@@ -161,7 +179,7 @@ def global_best(stats: DataFrame) -> DataFrame:
     return (
         stats.where(F.col("attr") == first)
         .groupBy("destination")
-        .agg((F.sum("sum_cost") / F.sum("n")).alias("mean_cost"))
+        .agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean_cost"))
         .agg(F.min_by("destination", order).alias("best_destination"))
     )
 
@@ -237,6 +255,9 @@ def save_state(stats: DataFrame, num_buckets: int, path: str) -> None:
 def load_state(spark: SparkSession, path: str, num_buckets: int = NUM_BUCKETS) -> DataFrame:
     """Saved statistics; another bucket count is refused."""
     stored = spark.read.parquet(path)
+    missing = set(CBR_STATE_SCHEMA.names) - set(stored.columns)
+    if missing:
+        raise ValueError(f"state lacks {', '.join(sorted(missing))}")
     other = stored.where(F.col("num_buckets") != num_buckets).select("num_buckets").head(1)
     if other:
         raise ValueError(f"state has {other[0][0]} buckets, not {num_buckets}")

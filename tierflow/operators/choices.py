@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tierflow.functions.cost import reward, routing_cost
 from tierflow.functions.text import is_sensitive_for_reward
 from tierflow.operators.routing import static_destination
+from tierflow.operators.trace import MEASURES, measured, outcomes_of
 from tierflow.schemas import TIERS
 
 
@@ -28,8 +29,8 @@ def with_reward(joined: DataFrame) -> DataFrame:
 
 
 def rewards(logs: DataFrame, observations: DataFrame) -> DataFrame:
-    """Reward of every measured write."""
-    joined = observations.join(logs.select("log_id", *judged()), "log_id")
+    """Reward of every log at every tier; a missing outcome is a failed write."""
+    joined = outcomes_of(logs.select("log_id", *judged()), observations)
     return with_reward(joined).select("log_id", "destination", "desired", "sensitive", "reward")
 
 
@@ -53,26 +54,17 @@ def policy_confusion(decided: DataFrame) -> DataFrame:
     return decided.groupBy("router", "desired", "destination").agg(F.count("*").alias("logs"))
 
 
-def regret(replayed: DataFrame, outcomes: DataFrame, keys: Sequence[str] = ("router",)) -> DataFrame:
+def regret(replayed: DataFrame, keys: Sequence[str] = ("router",)) -> DataFrame:
     """Mean and largest cost above the cheapest tier of the same log.
 
-    ``outcomes`` is the table with one row per log and tiers side by side, so
-    the cheapest tier is a row expression and nothing is sorted by log.
+    ``replayed`` carries the cheapest cost of its log.
     """
-    cost = {
-        t: F.col(f"routing_latency_ms_{t}") + F.col(f"backend_write_latency_ms_{t}") for t in TIERS
-    }
-    cheapest = outcomes.select("log_id", F.least(*cost.values()).alias("_least"))
-    gap = F.col("total_latency_ms") - F.col("_least")
-    return (
-        replayed.join(cheapest, "log_id")
-        .groupBy(*keys)
-        .agg(
-            F.count("*").alias("logs"),
-            F.avg(gap).alias("mean_regret_ms"),
-            F.max(gap).alias("max_regret_ms"),
-            F.avg((gap <= 1e-9).cast("double")).alias("optimal_share"),
-        )
+    gap = F.col("total_latency_ms") - F.col("cheapest_ms")
+    return replayed.groupBy(*keys).agg(
+        F.count("*").alias("logs"),
+        F.avg(gap).alias("mean_regret_ms"),
+        F.max(gap).alias("max_regret_ms"),
+        F.avg((gap <= 1e-9).cast("double")).alias("optimal_share"),
     )
 
 
@@ -83,10 +75,9 @@ def weight_sweep(outcomes: DataFrame, weights: Column) -> DataFrame:
     Returns one row per log and pair; callers aggregate.
     """
     spread = outcomes.withColumn("_w", F.explode(weights))
-    latency = {
-        t: F.col(f"routing_latency_ms_{t}") + F.col(f"backend_write_latency_ms_{t}") for t in TIERS
-    }
-    energy = {t: F.col(f"energy_cpu_pkg_j_{t}") for t in TIERS}
+    found = {t: measured(*[F.col(f"{m}_{t}") for m in MEASURES]) for t in TIERS}
+    latency = {t: found[t][3] for t in TIERS}
+    energy = {t: found[t][4] for t in TIERS}
     cost = {
         t: F.col("_w.latency_weight") * latency[t] + F.col("_w.energy_weight") * energy[t]
         for t in TIERS

@@ -1,53 +1,47 @@
-"""Tabular policy fitted offline on logged transitions.
+"""Tabular policy fitted offline on measured transitions.
 
-Repeated sweeps over the observed transitions replace the live agent: the same
-fixed point for a given transition table, independent of row order.
+Every measured outcome of a log at a tier is a transition: the log's state, the
+tier as action, the reward, and the state of the node's next log.  Sweeps over
+the summed transitions run until the values stand still: the fixed point of the
+table, independent of row order.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.functions.text import hash_uniform
-from tierflow.operators.ordered import fitting_block, neighbour, time_block
+from tierflow.operators.ordered import neighbour
 from tierflow.operators.routing import action_code, action_destination, static_destination
-from tierflow.runtime import checked_broadcast, cut_lineage
+from tierflow.runtime import cut_lineage
 from tierflow.schemas import TIERS
 
 # Defaults of the tabular policy.
 GAMMA = 0.98
-GUIDED_PROB = 0.5
 PRIOR_BONUS = 0.3
 PCA_COMPONENTS = 8
 N_BINS = 6
 
+# When values count as settled, sweeps in one job, and sweeps at most.
+TOLERANCE = 1e-9
+SWEEPS_A_JOB = 4
+MAX_SWEEPS = 4_000
 
-def behaviour_action(
-    teacher: Column,
-    log_id: Column,
-    epsilon: float = 1.0,
-    guided_prob: float = GUIDED_PROB,
-    greedy: Column | None = None,
-    seed: str = "behaviour",
-) -> Column:
-    """Action of guided exploration, drawn by hash so that reruns agree.
 
-    Without a policy the greedy action is the first one, as for a zero table.
+def next_states(steps: DataFrame) -> DataFrame:
+    """Add the state of the next log of the same node; ``done`` if there is none.
+
+    ``steps`` has ``Node, ts, log_id, state``.
     """
-    explore = hash_uniform(seed + "-explore", log_id) < int(round(epsilon * 10_000))
-    guided = hash_uniform(seed + "-guided", log_id) < int(round(guided_prob * 10_000))
-    uniform = (hash_uniform(seed + "-uniform", log_id) % len(TIERS)).cast("int")
-    best = F.lit(0) if greedy is None else F.coalesce(greedy, F.lit(0))
-    return F.when(explore, F.when(guided, action_code(teacher)).otherwise(uniform)).otherwise(best)
+    paired = neighbour(steps, ["Node"], ["ts", "log_id"], ["state"], ahead=True)
+    return paired.withColumn("done", F.col("next_state").isNull())
 
 
-def transitions(steps: DataFrame, block_s: float | None = None) -> DataFrame:
-    """Add the state of the next log of the same node; ``done`` if there is none.
+def transitions(steps: DataFrame, rewarded: DataFrame) -> DataFrame:
+    """One transition for every log and tier: ``steps`` with ``action, reward``.
 
-    ``steps`` has ``Node, ts, log_id, state``; a busy node is cut by time.
+    ``rewarded`` has the reward of each log at each tier.
     """
-    block = time_block(F.col("ts"), block_s or fitting_block(steps, F.col("ts")))
-    paired = neighbour(steps, ["Node"], ["ts", "log_id"], ["state"], block, ahead=True)
-    return paired.withColumn("done", F.col("next_state").isNull())
+    taken = rewarded.select("log_id", action_code(F.col("destination")).alias("action"), "reward")
+    return next_states(steps).join(taken, "log_id")
 
 
 def transition_counts(moves: DataFrame) -> DataFrame:
@@ -109,24 +103,45 @@ def sweep(
 def fit_q(
     counts: DataFrame,
     teachers: DataFrame,
-    sweeps: int = 3,
     gamma: float = GAMMA,
     prior_bonus: float = PRIOR_BONUS,
-    store_every: int = 5,
+    tolerance: float = TOLERANCE,
+    max_sweeps: int = MAX_SWEEPS,
 ) -> DataFrame:
-    """Table ``state, action, q`` after a number of sweeps.
+    """Table ``state, action, q`` at the fixed point.
 
     The transitions are summed and stored once; each sweep touches only that
-    table.  Lineage is cut through the checkpoint folder every few sweeps.
+    table, and a few sweeps make a job.  From how fast the changes shrink over
+    two jobs follows how far each value still has to go; values are moved there
+    and sweeps go on until the largest change is within the tolerance.  Should
+    a move not help, sweeps alone go on.  Values that do not settle raise an
+    error.
     """
     stored = cut_lineage(counts)
-    prior = cut_lineage(initial_q(teachers, prior_bonus))
-    q = prior
-    for i in range(1, sweeps + 1):
-        q = sweep(q, prior, stored, gamma)
-        if i % store_every == 0 and i < sweeps:
-            q = cut_lineage(q)
-    return by_action(q)
+    q = prior = cut_lineage(initial_q(teachers, prior_bonus))
+    done, last, moved_from = 0, None, None
+    while True:
+        for _ in range(SWEEPS_A_JOB - 1):
+            q = sweep(q, prior, stored, gamma)
+        before = q.select("state", *[F.col(v).alias(f"_old_{v}") for v in VALUES])
+        both = cut_lineage(sweep(q, prior, stored, gamma).join(before, "state"))
+        done += SWEEPS_A_JOB
+        step = {v: F.col(v) - F.col(f"_old_{v}") for v in VALUES}
+        change = both.agg(F.max(F.greatest(*[F.abs(x) for x in step.values()]))).first()[0]
+        q = both.select("state", *VALUES)
+        if change is None or change <= tolerance:
+            return by_action(q)
+        if done >= max_sweeps:
+            raise RuntimeError(f"values still change by {change} after {done} sweeps")
+        if moved_from is not None and change > moved_from:
+            moved_from = 0.0  # the move led away: no further ones
+        elif last is not None and change < last and moved_from != 0.0:
+            rate = (change / last) ** (1 / SWEEPS_A_JOB)
+            rest = rate / (1 - rate)
+            q = both.select("state", *[(F.col(v) + rest * x).alias(v) for v, x in step.items()])
+            last, moved_from = None, change
+            continue
+        last = change
 
 
 def by_action(q: DataFrame) -> DataFrame:
@@ -145,14 +160,14 @@ def greedy_policy(q: DataFrame) -> DataFrame:
 def route_q(logs: DataFrame, policy: DataFrame, fallback: Column | None = None) -> DataFrame:
     """Greedy action of a known state, the static rules for an unknown one.
 
-    The policy has one row per state.  It is broadcast when it is counted to be
-    small and joined by shuffle when not.  ``fallback`` is the static choice
-    where the rows carry it already.
+    The policy has one row per state.  It is stored, so the planner broadcasts
+    it if it is small.  ``fallback`` is the static choice where the rows carry
+    it already.
     """
     unknown = static_destination() if fallback is None else fallback
     named = policy.select("state", action_destination(F.col("action")).alias("_learned"))
     return (
-        logs.join(checked_broadcast(named), "state", "left")
+        logs.join(cut_lineage(named), "state", "left")
         .withColumn("raw_destination", F.coalesce("_learned", unknown))
         .drop("_learned")
     )

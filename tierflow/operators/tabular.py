@@ -42,7 +42,7 @@ def fit_steps(
     projection = states.fit_projection(df, vector, scaler, components)
     reduced = projection.apply(df.select(vector), vector, "_reduced")
     columns = [F.col("_reduced")[i] for i in range(projection.size)]
-    return StateSteps(scaler, projection, states.fit_bins(reduced, columns, n_bins, df.count()))
+    return StateSteps(scaler, projection, states.fit_bins(reduced, columns, n_bins))
 
 
 @dataclass(frozen=True)
@@ -73,44 +73,37 @@ def fit_policy(
     rewarded: DataFrame,
     components: int = qpolicy.PCA_COMPONENTS,
     n_bins: int = qpolicy.N_BINS,
-    sweeps: int = 10,
     gamma: float = qpolicy.GAMMA,
     prior_bonus: float = qpolicy.PRIOR_BONUS,
-    epsilon: float = 1.0,
-    guided_prob: float = qpolicy.GUIDED_PROB,
+    tolerance: float = qpolicy.TOLERANCE,
 ) -> TabularPolicy:
-    """Fit states on the logs' vectors and values on the logged rewards.
+    """Fit states on the logs' vectors and values on the measured rewards.
 
     ``logs`` has ``log_id, Node, ts, desired`` and the vector; ``rewarded`` has
     the reward of every log and destination.
     """
     steps = fit_steps(logs, vector, components, n_bins)
-    action = qpolicy.behaviour_action(F.col("desired"), F.col("log_id"), epsilon, guided_prob)
-    taken = cut_lineage(
+    stated = cut_lineage(
         steps.apply(logs, vector).select(
-            "log_id", "Node", "ts", "state", F.col("desired").alias("teacher"), action.alias("action")
+            "log_id", "Node", "ts", "state", F.col("desired").alias("teacher")
         )
     )
-    rewards = rewarded.select(
-        "log_id", qpolicy.action_code(F.col("destination")).alias("action"), "reward"
-    )
-    moves = qpolicy.transitions(taken).join(rewards, ["log_id", "action"])
+    moves = qpolicy.transitions(stated, rewarded)
     q = qpolicy.fit_q(
         qpolicy.transition_counts(moves),
-        qpolicy.teacher_by_state(taken),
-        sweeps,
+        qpolicy.teacher_by_state(stated),
         gamma,
         prior_bonus,
+        tolerance,
     )
     metadata = {
         "version": states.NEWEST_VERSION,
         "obs_dim": len(steps.scaler.mean),
         "pca_components": steps.projection.size,
         "n_bins": n_bins,
-        "sweeps": sweeps,
+        "tolerance": tolerance,
         "gamma": gamma,
         "prior_bonus": prior_bonus,
-        "guided_prob": guided_prob,
     }
     return TabularPolicy(steps, cut_lineage(q), metadata)
 

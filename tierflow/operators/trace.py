@@ -81,6 +81,30 @@ def outcomes_by_log(observations: DataFrame) -> DataFrame:
     )
 
 
+def outcomes_of(logs: DataFrame, observations: DataFrame) -> DataFrame:
+    """``logs`` times tiers with the outcome there; a missing one is a failure.
+
+    Logs meet their outcomes once, side by side, before they are multiplied.
+    Energy that was not measured stays null.
+    """
+    wide = logs.join(outcomes_by_log(observations), "log_id", "left")
+
+    def outcome(tier: str) -> Column:
+        found = [F.col(f"{m}_{tier}") for m in MEASURES]
+        energy = found[-1].alias(MEASURES[-1])
+        return F.struct(F.lit(tier).alias("destination"), *measured(*found)[:-1], energy)
+
+    tiers = F.array(*[outcome(t) for t in TIERS])
+    return wide.select(*logs.columns, F.explode(tiers).alias("_tier")).select(
+        *logs.columns, "_tier.*"
+    )
+
+
+def cheapest_ms() -> Column:
+    """Lowest latency of a log with its outcomes side by side."""
+    return F.least(*[measured(*[F.col(f"{m}_{t}") for m in MEASURES])[3] for t in TIERS])
+
+
 def decide(logs: DataFrame, routers: dict[str, Router]) -> DataFrame:
     """One decision column ``raw_<router>`` per router, in one pass."""
     for name, route in routers.items():
@@ -96,6 +120,7 @@ def replay(
     compliance: Sequence[bool] = (False,),
     patterns: Sequence[str] | None = None,
     decisions: dict[str, DataFrame] | None = None,
+    with_cheapest: bool = False,
 ) -> DataFrame:
     """Traces of many routers over the same logs, with and without the override.
 
@@ -103,7 +128,8 @@ def replay(
     in one join by log id; only afterwards is the row multiplied by router, so
     the shuffle does not grow with the number of routers.  ``decisions`` are
     routers that decided elsewhere, as tables ``log_id, raw_destination``; they
-    join by log id too, after the texts are gone.
+    join by log id too, after the texts are gone.  ``with_cheapest`` adds
+    ``cheapest_ms``, the lowest latency any tier would have had.
     """
     decisions = decisions or {}
     names = [*routers, *decisions]
@@ -132,6 +158,8 @@ def replay(
     for router, table in decisions.items():
         chosen_there = table.select("log_id", F.col("raw_destination").alias(f"raw_{router}"))
         wide = wide.join(chosen_there, "log_id", "left")
+    if with_cheapest:
+        wide = wide.withColumn("cheapest_ms", cheapest_ms())
     long = wide.withColumn("_run", F.explode(runs)).withColumn(
         "destination", enforce(F.col("_run.raw_destination"), F.col("sensitive"), F.col("_run.compliance"))
     )
@@ -154,4 +182,5 @@ def replay(
         "payload_bytes",
         "sensitive",
         *measured(*[chosen(m) for m in MEASURES]),
+        *["cheapest_ms"] * with_cheapest,
     )

@@ -64,16 +64,16 @@ TRACE_SCHEMA = StructType(
     ]
 )
 
-# Sufficient statistics of the adaptive router: sums merge by addition, so the
-# table never grows with the number of samples.
+# Sufficient statistics of the adaptive router: count, mean and summed squares
+# about the mean, which merge without loss for costs of any size.
 CBR_STATE_SCHEMA = StructType(
     [
         StructField("attr", StringType()),
         StructField("bucket", LongType()),
         StructField("destination", StringType()),
         StructField("n", LongType()),
-        StructField("sum_cost", DoubleType()),
-        StructField("sum_sq", DoubleType()),
+        StructField("mean", DoubleType()),
+        StructField("m2", DoubleType()),
     ]
 )
 

@@ -27,7 +27,7 @@ from tierflow.operators.cbr import (
     save_state,
 )
 from tierflow.operators.routing import apply_compliance
-from tierflow.operators.trace import outcomes_within
+from tierflow.operators.trace import outcomes_of, outcomes_within
 from tierflow.schemas import CBR_ATTRIBUTES
 
 
@@ -75,11 +75,14 @@ class OnlineCbr:
         spark = batch.sparkSession
         model = self.model(self.state_before(spark, batch_id))
         decided = apply_compliance(model.route(batch), self.compliance)
-        on = ["log_id"] if self.counterfactual else ["log_id", "destination"]
-        sampled = decided.where(hash_sample(self.sample_prob, self.seed, F.col("log_id"))).select(
-            *on, *CBR_ATTRIBUTES
+        drawn = hash_sample(self.sample_prob, self.seed, F.col("log_id"))
+        sampled = decided.where(drawn).select(
+            "log_id", F.col("destination").alias("_went"), *CBR_ATTRIBUTES
         )
-        fresh = bucket_stats(sampled.join(observations, on), self.num_buckets, self.metric)
+        seen = outcomes_of(sampled, observations.where(drawn))
+        if not self.counterfactual:
+            seen = seen.where("destination = _went")
+        fresh = bucket_stats(seen, self.num_buckets, self.metric)
         merged = merge_stats(model.stats, fresh)
         save_state(merged, self.num_buckets, self.state_path(batch_id))
         return decided, model
@@ -134,8 +137,9 @@ def diagnostics(model: CbrModel, batch_id: int) -> DataFrame:
 def dump_diagnostics(path: str, every: int = 1, mode: str = "overwrite"):
     """Callback that writes diagnostics every few batches.
 
-    ``overwrite`` keeps the last snapshot, ``append`` adds JSON lines, and
-    ``timestamp`` writes a folder per batch.
+    ``overwrite`` keeps the last snapshot, ``append`` keeps one of each batch
+    under the batch's id, and ``timestamp`` writes a folder per batch.  A batch
+    that runs again replaces what it wrote.
     """
     if mode not in ("overwrite", "append", "timestamp"):
         raise ValueError(f"unknown dump mode: {mode}")
@@ -143,8 +147,7 @@ def dump_diagnostics(path: str, every: int = 1, mode: str = "overwrite"):
     def dump(batch_id: int, model: CbrModel) -> None:
         if every <= 0 or (batch_id + 1) % every:
             return
-        target = f"{path}_{batch_id}" if mode == "timestamp" else path
-        writer = diagnostics(model, batch_id).coalesce(1).write
-        writer.mode("append" if mode == "append" else "overwrite").json(target)
+        named = {"timestamp": f"{path}_{batch_id}", "append": f"{path}/batch={batch_id}"}
+        diagnostics(model, batch_id).write.mode("overwrite").json(named.get(mode, path))
 
     return dump

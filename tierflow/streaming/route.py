@@ -8,6 +8,8 @@ from pyspark.sql.streaming import StreamingQuery
 
 from tierflow.operators.routing import Router, apply_compliance
 from tierflow.operators.trace import outcomes_within, trace
+from tierflow.schemas import LOG_COLUMNS
+from tierflow.sources.tiers import write_tier_shapes
 
 
 def route_stream(
@@ -24,17 +26,18 @@ def route_stream(
     """Route a log stream until it is drained.
 
     Every batch writes to a folder named after its id and replaces it, so a
-    batch that runs again leaves the same files.  The decisions are kept for
-    the two writes of a batch and released after it.
+    batch that runs again leaves the same files.  Each log goes to its tier in
+    that tier's shape.  The decisions are kept for the writes of a batch and
+    released after it.
     """
+    columns = [c for c in LOG_COLUMNS if c in logs.columns]
     decided = apply_compliance(router(logs), compliance, patterns)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist()
         try:
-            kept.write.mode("overwrite").partitionBy("destination").parquet(
-                f"{out}/tiers/batch_id={batch_id}"
-            )
+            part = f"batch_id={batch_id}"
+            write_tier_shapes(kept, columns, f"{out}/tiers", part)
             outcomes = outcomes_within(kept, observations)
             trace(kept, outcomes, name, dataset).write.mode("overwrite").parquet(
                 f"{out}/trace/batch_id={batch_id}"
