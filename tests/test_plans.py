@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tierflow.operators import cbr, qpolicy, routing, sampling, summaries
+from tierflow.operators import cbr, choices, embedding, qpolicy, routing, sampling, summaries
 from tierflow.operators.trace import outcomes_by_log, replay
 from tierflow.sources import tables
 from tierflow.sources.bucketed import read_bucketed, write_bucketed
@@ -38,7 +38,7 @@ def test_adaptive_route_moves_no_logs(spark, no_auto_broadcast):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
 
 
-def test_policy_route_moves_no_logs(spark, no_auto_broadcast):
+def test_policy_route_moves_no_logs(spark):
     logs = tables.logs(spark, SMALL).withColumn("state", F.col("EventId"))
     policy = spark.createDataFrame([("E1", 1), ("E2", 2)], "state string, action int")
     text = plan(qpolicy.route_q(logs, policy).select("log_id", "raw_destination"))
@@ -48,8 +48,7 @@ def test_policy_route_moves_no_logs(spark, no_auto_broadcast):
 def test_no_window_over_all_rows(spark):
     steps = tables.logs(spark, SMALL).select("log_id", "Node", "ts", F.col("Level").alias("state"))
     for df in (
-        qpolicy.transitions(steps),
-        qpolicy.transitions(steps, block_s=3600),
+        qpolicy.next_states(steps),
         sampling.balanced_order(tables.logs(spark, SMALL).select("log_id", "LogSource")),
     ):
         assert "SinglePartition" not in plan(df)
@@ -96,3 +95,39 @@ def test_bucketed_tables_join_in_place(spark, tmp_path, no_auto_broadcast):
     assert sorted(map(str, in_place.collect())) == sorted(map(str, shuffled.collect()))
     spark.sql("DROP TABLE logs_b")
     spark.sql("DROP TABLE outcomes_b")
+
+
+def test_regret_reads_logs_and_outcomes_once(spark, no_auto_broadcast):
+    rows = replay(
+        tables.logs(spark, SMALL),
+        tables.observations(spark, SMALL),
+        routing.ROUTERS,
+        F.col("LogSource"),
+        with_cheapest=True,
+    )
+    text = plan(choices.regret(rows))
+    assert text.count("FileScan parquet") == 2
+
+
+def test_default_encoder_is_native_and_moves_texts_once(spark):
+    texts = spark.createDataFrame([(1, "a b a"), (2, None), (3, "a b a")], "id long, t string")
+    vectors = embedding.embed_texts(texts, F.col("t"), "n", embedding.hashed_words(8))
+    text = plan(vectors)
+    assert "Python" not in text and text.count("Exchange") == 1
+    rows = {tuple(r["embedding"]) for r in vectors.collect()}
+    assert len(rows) == 2 and tuple([0.0] * 8) in rows
+    assert all(abs(sum(v) - 1) < 1e-6 or sum(v) == 0 for v in rows)
+
+
+def test_cache_encodes_each_text_once(spark, tmp_path):
+    path, seen = str(tmp_path / "cache"), []
+
+    def encoder(texts):
+        seen.append(texts.count())
+        return embedding.hashed_words(4)(texts)
+
+    first = spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string")
+    second = spark.createDataFrame([(1, "b"), (2, "c")], "id long, t string")
+    for df in (first, second, second):
+        cache = embedding.append_to_cache(spark, path, df, F.col("t"), "n", encoder)
+    assert seen == [2, 1, 0] and cache.count() == 3

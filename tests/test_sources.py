@@ -2,6 +2,7 @@
 
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from tierflow.operators import embedding, routing
@@ -26,6 +27,50 @@ def test_csv_scan(spark, tmp_path):
     assert [r.log_id for r in rows] == [1, 2]
 
 
+def test_columns_are_read_by_name_and_ids_by_file(spark, tmp_path):
+    turned = list(reversed(LOG_COLUMNS))
+    for name in ("b.csv", "a.csv"):
+        lines = [",".join(turned)]
+        lines += [",".join(f"{i}" if c == "LineId" else f"{c}-{name}" for c in turned) for i in (1, 2)]
+        (tmp_path / name).write_text("\n".join(lines) + "\n")
+    rows = logs.read_logs(spark, f"{tmp_path}/*.csv").orderBy("log_id").collect()
+    assert [r.Level for r in rows] == ["Level-a.csv"] * 2 + ["Level-b.csv"] * 2
+    second = 1 << logs.LINE_BITS
+    assert [r.log_id for r in rows] == [1, 2, second + 1, second + 2]
+    (tmp_path / "c.csv").write_text(HEADER + "\n" + ",".join(["1"] * 10) + "\n")
+    with pytest.raises(Exception, match="header|schema"):
+        logs.read_logs(spark, f"{tmp_path}/*.csv").collect()
+
+
+def test_streamed_ids_differ_between_files(spark, tmp_path):
+    folder = tmp_path / "in"
+    folder.mkdir()
+    for name in ("a", "b"):
+        (folder / f"{name}.csv").write_text(HEADER + "\n" + "\n".join(f"{i}" + ",x" * 9 for i in (1, 2)) + "\n")
+
+    def ids(run):
+        out = str(tmp_path / run)
+        logs.stream_logs(spark, str(folder)).select("log_id").writeStream.format("parquet").option(
+            "path", out
+        ).option("checkpointLocation", out + "-c").trigger(availableNow=True).start().awaitTermination()
+        return sorted(r[0] for r in spark.read.parquet(out).collect())
+
+    first = ids("one")
+    assert len(set(first)) == 4 and min(first) >= 0 and first == ids("two")
+
+
+def test_tier_shapes_replace_their_part(spark, tmp_path):
+    df = log(spark, Level="crit", Content="a").unionByName(log(spark, Level="info", Content="b"))
+    decided = routing.apply_compliance(routing.route_static(df.unionByName(log(spark, Level="warn"))))
+    for _ in range(2):
+        tiers.write_tier_shapes(decided, list(LOG_COLUMNS), str(tmp_path / "t"), "batch_id=0")
+    read = lambda name: tiers.read_tier(spark, str(tmp_path / "t"), name).collect()
+    assert [r.log_message for r in read("relational")] == ["b"]
+    assert [json.loads(r.document)["Level"] for r in read("search")] == ["warn"]
+    assert [r.content for r in read("content")] == ["a"] and len(read("references")) == 1
+    assert read("relational_rejects") == []
+
+
 def test_event_time_by_shape(spark):
     df = spark.createDataFrame([("2005-12-04 04:47:44",), ("04/12/2005 04:47",), ("soon",), (None,)], "Time string")
     formats = {r"^\d{4}-\d\d-\d\d ": "yyyy-MM-dd HH:mm:ss", r"^\d\d/\d\d/\d{4} ": "dd/MM/yyyy HH:mm"}
@@ -82,6 +127,10 @@ def test_trace_files_named_by_run(spark, tmp_path):
     line = "{},x,x,elk,elk,False,1.0,2.0,{},True,0.5,10,TRUE,,"
     (tmp_path / "direct_elk_My_Logs.csv").write_text(header + "\n" + line.format(1, "3.0") + "\n")
     (tmp_path / "q_learning_Other.csv").write_text(header + "\n" + line.format(2, "bad") + "\n")
+    (tmp_path / "summary_static_Logs.csv").write_text("destination,total_latency_ms\n0.1,0.233\n")
+    (tmp_path / "notes.csv").write_text("a\n1\n")
+    skipped = {r.path.rsplit("/", 1)[1] for r in results.skipped_files(spark, f"{tmp_path}/*.csv").collect()}
+    assert skipped == {"summary_static_Logs.csv", "notes.csv"}
     rows = results.read_trace_csv(spark, f"{tmp_path}/*.csv").orderBy("log_id").collect()
     assert [(r.router, r.dataset_name) for r in rows] == [("direct_elk", "My_Logs"), ("q_learning", "Other")]
     assert rows[0].total_latency_ms == 3.0 and rows[1].total_latency_ms is None
@@ -148,7 +197,8 @@ def test_embedding_uses_the_cache(spark):
             yield batch[["key"]].assign(embedding=[[9.0]] * len(batch))
 
     cache = first.where(F.array_max("embedding") > 0)
-    mixed = embedding.embed_texts(df, F.col("t"), "ns", marked, cache).collect()
+    custom = embedding.python_encoder(marked)
+    mixed = embedding.embed_texts(df, F.col("t"), "ns", custom, cache).collect()
     assert sum(list(r.embedding) == [9.0] for r in mixed) == 1 and len(mixed) == 3
-    joined = embedding.attach_embeddings(df, F.col("t"), "ns", first, "id")
+    joined = embedding.attach_embeddings(df, F.col("t"), "ns", first)
     assert joined.count() == 5 and joined.where("embedding IS NULL").count() == 0

@@ -22,6 +22,9 @@ COMPLIANCE_LEVELS = ("error", "crit", "alert", "emerg")
 # Words that mark a log as sensitive for the reward.
 REWARD_KEYWORDS = ("sshd", "kernel", "denied", "fail", "unauthorized", "forbidden")
 
+# Fixed value: white space at both ends of a user pattern.
+EDGES = r"^[\t-\r\x1c-\x1f\x85\p{Z}]+|[\t-\r\x1c-\x1f\x85\p{Z}]+$"
+
 # Fixed value: what counts as white space when a content key is built
 # (every Unicode separator, not only the ASCII ones).
 WHITESPACE = r"[\t-\r\x1c-\x1f\x85\p{Z}]+"
@@ -53,7 +56,7 @@ def merge_pattern_table(user_patterns: DataFrame) -> DataFrame:
         [(i - len(DEFAULT_PATTERNS), p) for i, p in enumerate(DEFAULT_PATTERNS)],
         "ord long, pattern string",
     )
-    trimmed = F.trim("pattern")
+    trimmed = F.regexp_replace("pattern", EDGES, "")
     return (
         defaults.unionByName(user_patterns.select(F.col("ord").cast("long"), "pattern"))
         .select("ord", trimmed.alias("pattern"), F.lower(trimmed).alias("key"))

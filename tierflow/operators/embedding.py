@@ -1,54 +1,51 @@
 """Text vectors, computed once per distinct text.
 
-The encoder is any function over Arrow batches with columns ``key, text`` that
-yields ``key, embedding``.  The default averages hashed word vectors.
+An encoder turns a table ``key, text`` into ``key, embedding``.  The default
+averages hashed word vectors.
 """
 
 from collections.abc import Callable, Iterator
-from functools import lru_cache
-from hashlib import md5
 
-import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tierflow.functions.text import WHITESPACE, content_key
-from tierflow.operators.joins import join_unique
+from tierflow.functions.text import WHITESPACE, content_key, md5_number
 
-Encoder = Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]
+Encoder = Callable[[DataFrame], DataFrame]
 EMBEDDING_SCHEMA = "key string, embedding array<float>"
 
 
-@lru_cache(maxsize=100_000)
-def word_slot(word: str, dim: int) -> int:
-    return int(md5(word.encode()).hexdigest()[:8], 16) % dim
-
+def hashed_words(dim: int) -> Encoder:
+    """Mean of one-hot word vectors, words placed by MD5; empty text gives zeros.
 
-def mean_of_words(text: str, dim: int) -> np.ndarray:
-    slots = [word_slot(w, dim) for w in text.split(" ") if w]
-    if not slots:
-        return np.zeros(dim, dtype=np.float32)
-    return (np.bincount(slots, minlength=dim) / len(slots)).astype(np.float32)
+    Built-in expressions only; the weight of a slot is its share of the words.
+    Texts come grouped by key, so counting their words moves nothing.
+    """
 
+    def encode(texts: DataFrame) -> DataFrame:
+        words = F.filter(F.split("text", " "), lambda w: w != "")
+        placed = texts.select("key", F.explode_outer(words).alias("_word")).select(
+            "key", (md5_number(F.col("_word")) % dim).alias("_slot")
+        )
+        size = F.greatest(F.count("_slot"), F.lit(1))
+        shares = [(F.count_if(F.col("_slot") == d) / size).cast("float") for d in range(dim)]
+        return placed.groupBy("key").agg(F.array(*shares).alias("embedding"))
 
-def hashed_words(dim: int) -> Encoder:
-    """Mean of one-hot word vectors, words placed by MD5; empty text gives zeros."""
+    return encode
 
-    def encode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            vectors = [mean_of_words(text, dim) for text in batch["text"]]
-            yield pd.DataFrame({"key": batch["key"], "embedding": vectors})
 
-    return encode
+def python_encoder(encode: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]) -> Encoder:
+    """An encoder from a function over pandas batches ``key, text``."""
+    return lambda texts: texts.select("key", "text").mapInPandas(encode, EMBEDDING_SCHEMA)
 
 
 def distinct_texts(df: DataFrame, text: Column, namespace: str) -> DataFrame:
     """Each normalised text once with its key; copies combine before the shuffle."""
     squeezed = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), WHITESPACE, " "))
-    return df.select(
-        content_key(text, namespace).alias("key"), F.lower(squeezed).alias("text")
-    ).distinct()
+    keyed = df.select(content_key(text, namespace).alias("key"), F.lower(squeezed).alias("text"))
+    return keyed.groupBy("key").agg(F.first("text").alias("text"))
 
 
 def missing(texts: DataFrame, cache: DataFrame | None) -> DataFrame:
@@ -63,18 +60,37 @@ def embed_texts(
     encoder: Encoder,
     cache: DataFrame | None = None,
 ) -> DataFrame:
-    """Vectors ``key, embedding`` of every distinct text, cached ones reused."""
+    """Vectors ``key, embedding`` of every distinct text, cached ones reused.
+
+    Texts are grouped by key once and encoded where they then are; a cache
+    should be a stored table, since it is read twice.
+    """
     texts = distinct_texts(df, text, namespace)
-    fresh = missing(texts, cache).repartition("key").mapInPandas(encoder, EMBEDDING_SCHEMA)
+    fresh = encoder(missing(texts, cache))
     if cache is None:
         return fresh
     known = cache.join(texts.select("key"), "key", "left_semi")
     return known.select("key", "embedding").unionByName(fresh)
 
 
-def attach_embeddings(
-    df: DataFrame, text: Column, namespace: str, vectors: DataFrame, spread_by: str
+def append_to_cache(
+    spark: SparkSession, path: str, df: DataFrame, text: Column, namespace: str, encoder: Encoder
 ) -> DataFrame:
-    """Join vectors back; a text shared by very many rows is salted."""
+    """Encode the texts that the cache at ``path`` lacks, store them, return it all.
+
+    A text is encoded once in the life of a cache.
+    """
+    try:
+        cache = spark.read.schema(EMBEDDING_SCHEMA).parquet(path)
+    except AnalysisException:
+        cache = None
+    fresh = encoder(missing(distinct_texts(df, text, namespace), cache))
+    fresh.write.mode("append").parquet(path)
+    return spark.read.schema(EMBEDDING_SCHEMA).parquet(path)
+
+
+def attach_embeddings(df: DataFrame, text: Column, namespace: str, vectors: DataFrame) -> DataFrame:
+    """Join vectors back; a text shared by very many rows is a skewed key, which
+    adaptive execution splits."""
     keyed = df.withColumn("key", content_key(text, namespace))
-    return join_unique(keyed, vectors, "key", spread_by)
+    return keyed.join(vectors, "key", "left")

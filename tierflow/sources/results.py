@@ -4,7 +4,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructType
 
 from tierflow.functions.text import safe_bool, safe_double
 from tierflow.schemas import REWARD_SCHEMA, TRACE_SCHEMA
@@ -13,8 +13,12 @@ from tierflow.schemas import REWARD_SCHEMA, TRACE_SCHEMA
 RESULT_NAME = r"^(?:summary_)?(direct_(?:mysql|elk|ipfs)|q_learning|[^_]+)_(.+)\.csv$"
 
 
+# A result is a file, or a folder of part files that bears the file's name.
+RESULT_PATH = r"(?:^|[/=])([^/=]+\.csv)(?:/part-[^/]*)?$"
+
+
 def file_name(path: Column) -> Column:
-    return F.substring_index(path, "/", -1)
+    return F.regexp_extract(path, RESULT_PATH, 1)
 
 
 def result_router(name: Column) -> Column:
@@ -36,30 +40,49 @@ def write_trace(trace: DataFrame, path: str, file_format: str = "parquet") -> No
 
 
 def write_one_csv(summary: DataFrame, path: str) -> None:
-    """A summary of a few rows as one file with a header."""
+    """A summary, one row per run, as one file with a header."""
     summary.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
 
 
+def result_files(spark: SparkSession, glob: str) -> DataFrame:
+    """``path, name, is_trace`` of every file; summaries and files of other
+    names are no traces.  Reads the listing only."""
+    files = spark.read.format("binaryFile").load(glob).select(
+        F.col("path"), file_name(F.col("path")).alias("name")
+    )
+    named = result_router(F.col("name")) != ""
+    return files.withColumn("is_trace", named & ~is_summary_name(F.col("name")))
+
+
+def skipped_files(spark: SparkSession, glob: str) -> DataFrame:
+    """Paths that ``read_trace_csv`` leaves out."""
+    return result_files(spark, glob).where("NOT is_trace").select("path")
+
+
 def read_trace_csv(spark: SparkSession, glob: str) -> DataFrame:
-    """Trace files of many runs, router and data set taken from the file name.
+    """Trace files of many runs by column name, router and data set taken from
+    the file name.
 
-    Numbers that cannot be read are null; unreadable files are skipped.
+    Numbers that cannot be read are null.  All traces must have the same
+    header; files that are no traces are left out, see ``skipped_files``.
     """
-    text = StructType.fromDDL(", ".join(f"{f.name} string" for f in TRACE_SCHEMA))
-    rows = (
-        spark.read.schema(text)
-        .options(header="true", ignoreCorruptFiles="true", mode="PERMISSIVE")
-        .csv(glob)
-        .withColumn("_name", file_name(F.col("_metadata.file_path")))
-    )
+    paths = [r["path"] for r in result_files(spark, glob).where("is_trace").collect()]
+    if not paths:
+        return spark.createDataFrame([], TRACE_SCHEMA)
+    options = {"header": "true", "enforceSchema": "false", "mode": "PERMISSIVE"}
+    text = StructType()
+    for name in spark.read.options(**options).csv(paths).columns:
+        text.add(name, StringType())
+    rows = spark.read.schema(text).options(**options).csv(paths)
+    rows = rows.withColumn("_name", file_name(F.col("_metadata.file_path")))
     parsers = {"double": safe_double, "boolean": safe_bool}
 
     def typed(field) -> Column:
         kind = field.dataType.simpleString()
-        column = F.col(field.name)
+        column = F.col(field.name) if field.name in rows.columns else F.lit(None).cast("string")
         if kind == "bigint":
             return column.try_cast("long").alias(field.name)
-        return parsers[kind](column).alias(field.name) if kind in parsers else column
+        return (parsers[kind](column) if kind in parsers else column).alias(field.name)
 
     named = {"router": result_router(F.col("_name")), "dataset_name": result_dataset(F.col("_name"))}
     return rows.select(
@@ -90,10 +113,27 @@ def merge_summaries(summaries: Sequence[DataFrame], path: str = "path") -> DataF
     )
 
 
+# Columns of a combined summary that are counts or names; the
+# others are numbers.
+SUMMARY_COUNTS = ("rows", "sensitive_total", "sensitive_to_ipfs", "sensitive_leakage")
+SUMMARY_NAMES = ("router", "dataset_name", "dataset")
+
+
 def read_summaries(spark: SparkSession, glob: str) -> DataFrame:
-    """Combined summary files, with the path of each row."""
-    rows = spark.read.options(header="true", inferSchema="true").csv(glob)
-    return rows.withColumn("path", F.col("_metadata.file_path"))
+    """Combined summary files by column name, with the path of each row."""
+    options = {"header": "true", "enforceSchema": "false"}
+    text = StructType()
+    for name in spark.read.options(**options).csv(glob).columns:
+        text.add(name, StringType())
+    rows = spark.read.schema(text).options(**options).csv(glob)
+
+    def typed(name: str) -> Column:
+        if name in SUMMARY_NAMES:
+            return F.col(name)
+        kind = "long" if name in SUMMARY_COUNTS else "double"
+        return F.col(name).try_cast(kind).alias(name)
+
+    return rows.select(*[typed(n) for n in text.names], F.col("_metadata.file_path").alias("path"))
 
 
 def markdown_rows(summary: DataFrame, columns: Sequence[str], decimals: int = 6) -> DataFrame:
@@ -125,9 +165,10 @@ def write_markdown(summary: DataFrame, columns: Sequence[str], title: str, path:
 
 
 def write_rewards(history: DataFrame, path: str) -> None:
-    history.select(*REWARD_SCHEMA.names).coalesce(1).sortWithinPartitions("episode").write.mode(
-        "overwrite"
-    ).option("header", True).csv(path)
+    """Files in order of episodes."""
+    history.select(*REWARD_SCHEMA.names).orderBy("episode").write.mode("overwrite").option(
+        "header", True
+    ).csv(path)
 
 
 def read_rewards(spark: SparkSession, path: str) -> DataFrame:
@@ -136,6 +177,4 @@ def read_rewards(spark: SparkSession, path: str) -> DataFrame:
 
 def write_events(events: DataFrame, path: str) -> None:
     """Exploration cuts as JSON lines."""
-    events.select("episode", "epsilon").coalesce(1).sortWithinPartitions("episode").write.mode(
-        "overwrite"
-    ).json(path)
+    events.select("episode", "epsilon").orderBy("episode").write.mode("overwrite").json(path)

@@ -27,6 +27,19 @@ def table_stream(spark: SparkSession, directory: str, name: str) -> DataFrame:
     )
 
 
+def arriving(spark: SparkSession, directory: str, folder: str, parts: int):
+    """``events`` arriving in a folder, in ``parts`` steps of their ids.
+
+    Yields a stream over the folder after each step's files were written.
+    """
+    events = table(spark, directory, "events")
+    low, high = events.agg(F.min("event_id"), F.max("event_id")).first()
+    step = F.floor((F.col("event_id") - F.lit(low or 0)) * parts / (F.lit((high or 0) - (low or 0)) + 1))
+    for part in range(parts):
+        events.where(step == part).write.mode("append").parquet(folder)
+        yield part, spark.readStream.schema(SCHEMAS["events"]).parquet(folder)
+
+
 def logs(spark: SparkSession, directory: str) -> DataFrame:
     """Every event as a log entry.  ``ts`` stays a timestamp without zone."""
     return as_logs(table(spark, directory, "events"))

@@ -2,7 +2,7 @@
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StructType
 
@@ -66,10 +66,11 @@ def content_references(logs: DataFrame, text: str = "Content") -> DataFrame:
 
 
 def content_store(logs: DataFrame, text: str = "Content") -> DataFrame:
-    """Each content once.  Equal address means equal text, so grouping by both
-    is a plain hash aggregate, and copies combine before the shuffle."""
+    """Each content once.  Equal address means equal text, so one text is kept
+    per address, and copies combine before the shuffle by address."""
     body = F.coalesce(F.col(text), F.lit(""))
-    return logs.select(content_id(F.col(text)).alias("cid"), body.alias("content")).distinct()
+    named = logs.select(content_id(F.col(text)).alias("cid"), body.alias("content"))
+    return named.groupBy("cid").agg(F.first("content").alias("content"))
 
 
 def tier_counts(decided: DataFrame) -> DataFrame:
@@ -91,3 +92,31 @@ def write_relational(logs: DataFrame, path: str, rejects: str) -> None:
     rows = relational_rows(logs)
     rows.where("NOT overflow").drop("overflow").write.mode("overwrite").parquet(path)
     rows.where("overflow").drop("overflow").write.mode("overwrite").parquet(rejects)
+
+
+def write_tier_shapes(decided: DataFrame, columns: list[str], path: str, part: str = "") -> None:
+    """Each log in the shape of its tier, below ``path``.
+
+    ``relational`` and ``relational_rejects`` hold rows, ``search`` holds JSON
+    documents, ``references`` the content address of each log and ``content``
+    each content once.  ``part`` names a sub-folder, such as a batch; it is
+    replaced as a whole.  Keep ``decided`` if it is costly: it is read once for
+    each shape.
+    """
+
+    def to(df: DataFrame, name: str) -> None:
+        df.write.mode("overwrite").parquet(f"{path}/{name}/{part}")
+
+    relational = decided.where("destination = 'mysql'")
+    rows = relational_rows(relational)
+    to(rows.where("NOT overflow").drop("overflow"), "relational")
+    to(rows.where("overflow").drop("overflow"), "relational_rejects")
+    to(search_documents(decided.where("destination = 'elk'"), columns), "search")
+    immutable = decided.where("destination = 'ipfs'")
+    to(content_references(immutable), "references")
+    to(content_store(immutable), "content")
+
+
+def read_tier(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """All parts of one shape."""
+    return spark.read.parquet(f"{path}/{name}")
