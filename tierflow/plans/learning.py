@@ -14,7 +14,7 @@ from tierflow.operators import (
     states,
     tabular,
 )
-from tierflow.operators.ordered import asof_backward, fitting_block, time_block
+from tierflow.operators.ordered import asof_backward
 from tierflow.plans.registry import query, rounded
 from tierflow.plans.rows import NAMESPACE, SPACES
 from tierflow.plans.sql import ACTION, check
@@ -24,77 +24,53 @@ from tierflow.sources import tables
 # Columns of the system state in vector order.
 SYSTEM = ("cpu_pct", "mem_pct", "active_jobs", "load_relational", "load_search", "load_content")
 STATE_BINS = 4
-HOUR = 3600.0
 
 
-def system_state(spark, directory, logs, block_s=None):
+def system_state(spark, directory, logs):
     """Logs with the latest readings of their node."""
     metrics = tables.system_metrics(spark, directory).withColumnRenamed("node", "Node")
-    block = time_block(F.col("ts"), block_s or fitting_block(logs, F.col("ts")))
-    return asof_backward(logs, metrics, "Node", "ts", SYSTEM, block)
+    return asof_backward(logs, metrics, "Node", "ts", SYSTEM)
+
+
+def rewarded_logs(spark, directory):
+    return choices.rewards(tables.logs(spark, directory), tables.observations(spark, directory))
 
 
 def log_steps(spark, directory):
-    """One row per log: teacher, features, discrete state, behaviour action."""
+    """One row per log: teacher and discrete state of payload and all readings."""
     logs = tables.logs(spark, directory).select(
         "log_id",
         "Node",
         "ts",
-        *choices.judged(),
+        routing.static_destination().alias("teacher"),
         payload_bytes(F.col("Content")).cast("double").alias("f0"),
     )
     # The features are read once per fitted edge set and again for every use of
     # the states, so the as-of join is stored.
+    names = [f"f{i}" for i in range(len(SYSTEM) + 1)]
+    readings = [F.coalesce(c, F.lit(0.0)).alias(n) for c, n in zip(SYSTEM, names[1:])]
     featured = cut_lineage(
-        system_state(spark, directory, logs).select(
-            "log_id",
-            "Node",
-            "ts",
-            F.col("desired").alias("teacher"),
-            "sensitive",
-            "f0",
-            F.coalesce("cpu_pct", F.lit(0.0)).alias("f1"),
-            F.coalesce("mem_pct", F.lit(0.0)).alias("f2"),
-        )
-    )
-    components = [F.col("f0"), F.col("f1"), F.col("f2")]
-    bins = states.fit_bins(featured, components, STATE_BINS, featured.count())
-    return featured.withColumn("state", states.state_key(bins.apply(components))).withColumn(
-        "action", qpolicy.behaviour_action(F.col("teacher"), F.col("log_id"))
-    )
-
-
-def logged_moves(spark, directory, steps):
-    """Transitions of the behaviour policy with their rewards.
-
-    Each step meets only the outcome of its own action.
-    """
-    acted = steps.select(
-        "log_id",
-        "Node",
-        "ts",
-        "state",
-        "action",
-        "sensitive",
-        F.col("teacher").alias("desired"),
-        routing.action_destination(F.col("action")).alias("destination"),
+        system_state(spark, directory, logs).select("log_id", "Node", "ts", "teacher", "f0", *readings)
     )
-    moves = qpolicy.transitions(acted, block_s=7 * 86_400)
-    return choices.with_reward(
-        moves.join(tables.observations(spark, directory), ["log_id", "destination"])
+    components = [F.col(n) for n in names]
+    bins = states.fit_bins(featured, components, STATE_BINS)
+    return cut_lineage(
+        featured.select(
+            "log_id", "Node", "ts", "teacher", states.state_key(bins.apply(components)).alias("state")
+        )
     )
 
 
-def fit_tabular(spark, directory, sweeps=3):
-    """Steps of all logs and the greedy policy fitted on them."""
+def fit_tabular(spark, directory):
+    """Steps of all logs, and the values fitted on every measured outcome."""
     steps = log_steps(spark, directory)
-    counts = qpolicy.transition_counts(logged_moves(spark, directory, steps))
-    q = qpolicy.fit_q(counts, qpolicy.teacher_by_state(steps), sweeps)
-    return steps, cut_lineage(qpolicy.greedy_policy(q))
+    moves = qpolicy.transitions(steps, rewarded_logs(spark, directory))
+    counts = qpolicy.transition_counts(moves)
+    return steps, qpolicy.fit_q(counts, qpolicy.teacher_by_state(steps))
 
 
-def q_decisions(steps, policy):
-    return qpolicy.route_q(steps, policy, F.col("teacher")).select(
+def q_decisions(steps, q):
+    return qpolicy.route_q(steps, qpolicy.greedy_policy(q), F.col("teacher")).select(
         "log_id", "state", "raw_destination"
     )
 
@@ -109,7 +85,7 @@ def q_decisions(steps, policy):
 )
 def asof_system_state(spark, directory):
     logs = tables.logs(spark, directory).select("log_id", "Node", "ts")
-    return system_state(spark, directory, logs, block_s=86_400).select("log_id", *SYSTEM)
+    return system_state(spark, directory, logs).select("log_id", *SYSTEM)
 
 
 COUNTER_SQL = """SELECT *, energy_uj - prev AS change FROM (SELECT *, lag(energy_uj) OVER
@@ -127,7 +103,7 @@ COUNTER_SQL = """SELECT *, energy_uj - prev AS change FROM (SELECT *, lag(energy
 FROM ({COUNTER_SQL})""",
 )
 def counter_delta(spark, directory):
-    return energy.counter_deltas(tables.counter_readings(spark, directory), block_s=86_400)
+    return energy.counter_deltas(tables.counter_readings(spark, directory))
 
 
 @query(
@@ -173,7 +149,7 @@ def energy_between(spark, directory):
         (start + length).alias("t1"),
     )
     samples = tables.power_samples(spark, directory)
-    joules = energy.energy_between(intervals, samples, period_s=600.0, block_s=3 * 86_400)
+    joules = energy.energy_between(intervals, samples, period_s=600.0)
     return joules.select("interval_id", "samples", F.round("energy_j", 3).alias("energy_j"))
 
 
@@ -217,10 +193,10 @@ def observation(spark, directory):
 def scaler_fit(spark, directory):
     frame = vectors(spark, directory)
     scaler = states.fit_scaler(frame, "embedding")
-    floored = states.fit_scaler(frame, "embedding", floor=True)
+    plain = [std - states.STD_OFFSET for std in scaler.std]
     rows = [
-        (dim, mean, std - states.STD_OFFSET, other)
-        for dim, (mean, std, other) in enumerate(zip(scaler.mean, scaler.std, floored.std))
+        (dim, mean, std, max(std, states.STD_FLOOR))
+        for dim, (mean, std) in enumerate(zip(scaler.mean, plain))
     ]
     fitted = spark.createDataFrame(rows, "dim long, mean double, std double, floored_std double")
     return rounded(fitted)
@@ -237,19 +213,19 @@ def scaler_apply(spark, directory):
     return rounded(long_form(frame, scaler.apply(states.doubles("embedding")), "z"))
 
 
-BIN_EDGES = f"""SELECT dim, unnest(quantile_cont(z, [0, 0.25, 0.5, 0.75, 1])) AS e FROM ({SCALED}) WHERE dim < 4 GROUP BY dim"""
-BINNED = f"""SELECT z.vec_id, z.dim, count(e.e) AS bin FROM (SELECT * FROM ({SCALED}) WHERE dim < 4) z
+BIN_EDGES = f"""SELECT dim, unnest(quantile_cont(z, [0, 0.25, 0.5, 0.75, 1])) AS e FROM ({SCALED}) GROUP BY dim"""
+BINNED = f"""SELECT z.vec_id, z.dim, count(e.e) AS bin FROM ({SCALED}) z
 LEFT JOIN (SELECT DISTINCT dim, e FROM ({BIN_EDGES}) QUALIFY e > min(e) OVER (PARTITION BY dim) AND e < max(e) OVER (PARTITION BY dim)) e
   ON z.dim = e.dim AND e.e <= z.z GROUP BY z.vec_id, z.dim"""
 
 
 def binned(spark, directory):
-    """First four scaled components in quantile bins."""
+    """All scaled components in quantile bins."""
     frame = vectors(spark, directory)
     scaler = states.fit_scaler(frame, "embedding")
     scaled = frame.select("vec_id", scaler.apply(states.doubles("embedding")).alias("z"))
-    components = [F.col("z")[i] for i in range(4)]
-    bins = states.fit_bins(scaled, components, 4)
+    components = [F.col("z")[i] for i in range(len(scaler.mean))]
+    bins = states.fit_bins(cut_lineage(scaled), components, 4)
     return scaled.select("vec_id", bins.apply(components).alias("bins"))
 
 
@@ -282,7 +258,13 @@ def pca(spark, directory):
     check("SELECT log_id, state, teacher, CAST(action AS INT) AS action FROM behaviour", "behaviour"),
 )
 def behaviour_actions(spark, directory):
-    return log_steps(spark, directory).select("log_id", "state", "teacher", "action")
+    """The action of every measured outcome, with the state it was taken in."""
+    taken = tables.observations(spark, directory).select(
+        "log_id", routing.action_code(F.col("destination")).alias("action")
+    )
+    return log_steps(spark, directory).join(taken, "log_id").select(
+        "log_id", "state", "teacher", "action"
+    )
 
 
 @query(
@@ -294,26 +276,24 @@ FROM moves""",
     ),
 )
 def transitions(spark, directory):
-    moves = logged_moves(spark, directory, log_steps(spark, directory))
+    moves = qpolicy.transitions(log_steps(spark, directory), rewarded_logs(spark, directory))
     return rounded(moves.select("log_id", "state", "action", "reward", "next_state", "done"))
 
 
-@query("q_fit", check("SELECT state, action, (round(q + 1e-8, 6) + 0e0) AS q FROM q3", "q3"))
+@query("q_fit", check("SELECT state, action, (round(q + 1e-6, 4) + 0e0) AS q FROM q_end", "q_end"))
 def q_fit(spark, directory):
-    steps = log_steps(spark, directory)
-    counts = qpolicy.transition_counts(logged_moves(spark, directory, steps))
-    return rounded(qpolicy.fit_q(counts, qpolicy.teacher_by_state(steps), sweeps=3))
+    q = fit_tabular(spark, directory)[1]
+    return q.select("state", "action", F.round(F.col("q") + 1e-6, 4).alias("q"))
 
 
 @query("q_policy", check("SELECT state, action FROM q_policy", "q_policy"))
 def q_policy(spark, directory):
-    return fit_tabular(spark, directory)[1]
+    return qpolicy.greedy_policy(fit_tabular(spark, directory)[1])
 
 
 @query("route_q", check("SELECT log_id, state, raw AS raw_destination FROM q_route", "q_route"))
 def route_q(spark, directory):
-    steps, policy = fit_tabular(spark, directory)
-    return q_decisions(steps, policy)
+    return q_decisions(*fit_tabular(spark, directory))
 
 
 @query(
@@ -346,6 +326,20 @@ def degraded_fallback(spark, directory):
     return routed.select("log_id", "raw_destination", "router_degraded")
 
 
+@query(
+    "policy_in_use",
+    check(
+        "SELECT log_id, raw AS raw_destination, FALSE AS router_degraded FROM q_route", "q_route"
+    ),
+)
+def policy_in_use(spark, directory):
+    """A fitted policy whose steps fit its observations routes by itself."""
+    steps, q = fit_tabular(spark, directory)
+    stated = steps.select("log_id", "state").join(tables.logs(spark, directory), "log_id")
+    routed = qpolicy.route_or_degrade(stated, qpolicy.greedy_policy(q), True)
+    return routed.select("log_id", "raw_destination", "router_degraded")
+
+
 # ---- learned policy and embeddings ----------------------------------------
 @query(
     "best_action",
@@ -372,7 +366,7 @@ def observed_logs(spark, directory, dim=32):
     encoder = embedding.hashed_words(dim)
     content = F.col("Content")
     texts = cut_lineage(embedding.embed_texts(logs, content, NAMESPACE, encoder))
-    embedded = embedding.attach_embeddings(logs, content, NAMESPACE, texts, "log_id")
+    embedded = embedding.attach_embeddings(logs, content, NAMESPACE, texts)
     return cut_lineage(
         system_state(spark, directory, embedded.drop("Content", "key")).select(
             "log_id",
@@ -414,7 +408,7 @@ def tabular_policy(spark, directory):
     )
     policy = tabular.fit_policy(observed, "vector", rewarded, components=3, n_bins=4)
     routed = policy.steps.apply(observed, "vector").withColumnRenamed("desired", "teacher")
-    return q_decisions(routed, qpolicy.greedy_policy(policy.q))
+    return q_decisions(routed, policy.q)
 
 
 KEYED = rf"""SELECT doc_id, sha1('{NAMESPACE}' || chr(10) || t) AS key, lower(t) AS t FROM (SELECT doc_id,
@@ -427,8 +421,8 @@ def embedding_cache(spark, directory, dim=32):
     labelled = documents.join(
         tables.table(spark, directory, "labels").select("doc_id"), "doc_id", "left_semi"
     )
-    return embedding.embed_texts(
-        labelled, F.col("text"), NAMESPACE, embedding.hashed_words(dim)
+    return cut_lineage(
+        embedding.embed_texts(labelled, F.col("text"), NAMESPACE, embedding.hashed_words(dim))
     )
 
 
@@ -483,7 +477,7 @@ def attach_embeddings(spark, directory):
     documents = tables.table(spark, directory, "documents").select("doc_id", "text")
     text = F.col("text")
     encoded = embedding.embed_texts(documents, text, NAMESPACE, embedding.hashed_words(32))
-    joined = embedding.attach_embeddings(documents, text, NAMESPACE, encoded, "doc_id")
+    joined = embedding.attach_embeddings(documents, text, NAMESPACE, encoded)
     return joined.select(
         "doc_id", "key", (F.array_max("embedding") > 0).alias("has_words")
     )

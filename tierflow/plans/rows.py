@@ -18,7 +18,9 @@ from tierflow.plans.sql import (
     sl,
 )
 from tierflow.schemas import CBR_ATTRIBUTES, LOG_COLUMNS
+from tierflow.runtime import fresh_folder
 from tierflow.sources import results, tables, tiers
+from tierflow.sources.logs import LINE_BITS, read_logs
 
 NAMESPACE = "hashed-words|whole-text"
 
@@ -28,6 +30,31 @@ def scan_logs(spark, directory):
     return tables.logs(spark, directory).select("log_id", *LOG_COLUMNS)
 
 
+@query(
+    "scan_log_files",
+    check(
+        "SELECT event_id AS log_id, (event_id % 3) * 1099511627776 + event_id // 3 AS scanned_id, "
+        + ", ".join(f"coalesce({c}, '') AS {c}" for c in LOG_COLUMNS if c != "LineId")
+        + " FROM (SELECT *, log_id AS event_id FROM logs)",
+        "logs",
+    ),
+)
+def scan_log_files(spark, directory):
+    """Three CSV files with columns in another order, each counting its lines anew."""
+    folder = fresh_folder(spark, "csv")
+    logs = tables.logs(spark, directory)
+    part = (F.col("log_id") % 3).alias("part")
+    line = F.floor(F.col("log_id") / 3).cast("string").alias("LineId")
+    turned = [c for c in reversed(LOG_COLUMNS) if c != "LineId"]
+    files = logs.select(*turned, line, part).repartition("part").write.partitionBy("part")
+    files.option("header", True).option("escape", '"').csv(folder)
+    rows = read_logs(spark, f"{folder}/part=*")
+    number = F.shiftright("log_id", LINE_BITS)
+    original = (F.col("LineId").cast("long") * 3 + number).alias("log_id")
+    others = [c for c in LOG_COLUMNS if c != "LineId"]
+    return rows.select(original, F.col("log_id").alias("scanned_id"), *others)
+
+
 @query("sample_head", check("SELECT log_id, LogSource FROM logs ORDER BY log_id", "logs"))
 def sample_head(spark, directory):
     return sampling.sample(tables.logs(spark, directory).select("log_id", "LogSource"), "head")
@@ -51,7 +78,7 @@ BALANCED = """SELECT log_id, LogSource, row_number() OVER (PARTITION BY LogSourc
 @query("sample_balanced", check(BALANCED, "logs"))
 def sample_balanced(spark, directory):
     rows = tables.logs(spark, directory).select("log_id", "LogSource")
-    return sampling.balanced_order(rows, block_ids=2_000)
+    return sampling.balanced_order(rows)
 
 
 @query("sample_limit", check(BALANCED + " LIMIT 500", "logs"))

@@ -73,7 +73,8 @@ def check(body: str, *reads: str) -> str:
         visit(name)
     if not ordered:
         return body
-    return "WITH " + ",\n".join(f"{n} AS ({PARTS[n][0]})" for n in ordered) + "\n" + body
+    kept = {n: "MATERIALIZED " if n in ("move_counts", "q0") else "" for n in ordered}
+    return "WITH RECURSIVE " + ",\n".join(f"{n} AS {kept[n]}({PARTS[n][0]})" for n in ordered) + "\n" + body
 
 
 part(
@@ -104,6 +105,16 @@ part(
   CAST((e.event_id * 31 + d.k * 17) % 1000 AS DOUBLE) / 10000e0 AS energy_cpu_pkg_j
   FROM events e CROSS JOIN {TIERS}""",
 )
+# Every log at every tier; a write without an outcome failed after a second.
+part(
+    "outcomes",
+    f"""SELECT l.log_id, d.destination, coalesce(o.success, FALSE) AS success,
+  coalesce(o.routing_latency_ms, 0e0) AS routing_latency_ms,
+  coalesce(o.backend_write_latency_ms, 1000e0) AS backend_write_latency_ms, o.energy_cpu_pkg_j
+  FROM logs l CROSS JOIN {TIERS} LEFT JOIN obs o ON o.log_id = l.log_id AND o.destination = d.destination""",
+    "logs",
+    "obs",
+)
 part(
     "flagged",
     f"""SELECT log_id, LogSource AS dataset_name, {STATIC} AS static_dest, {SENSITIVE} AS sensitive,
@@ -117,11 +128,11 @@ part(
     "cbr_rows",
     "\nUNION ALL ".join(
         f"SELECT '{a}' AS attr, {bucket('l.' + a)} AS bucket, o.destination, o.backend_write_latency_ms AS cost"
-        " FROM cbr_logs l JOIN obs o ON l.log_id = o.log_id"
+        " FROM cbr_logs l JOIN outcomes o ON l.log_id = o.log_id"
         for a in ATTRIBUTES
     ),
     "cbr_logs",
-    "obs",
+    "outcomes",
 )
 part(
     "cbr_total",
@@ -247,10 +258,10 @@ REWARD = """CASE WHEN NOT o.success THEN -1e0 - 0.3e0 * least(o.backend_write_la
 part(
     "rewarded",
     f"""SELECT o.log_id, o.destination, l.desired, l.sensitive, {REWARD} AS reward
-  FROM obs o JOIN (SELECT log_id, {STATIC} AS desired, {SENSITIVE_RL} AS sensitive FROM logs) l
+  FROM outcomes o JOIN (SELECT log_id, {STATIC} AS desired, {SENSITIVE_RL} AS sensitive FROM logs) l
     ON o.log_id = l.log_id""",
     "logs",
-    "obs",
+    "outcomes",
 )
 
 # ---- system state, features, tabular policy --------------------------------
@@ -270,11 +281,12 @@ part(
     "logs",
     "metrics",
 )
+READINGS = ("cpu_pct", "mem_pct", "active_jobs", "load_relational", "load_search", "load_content")
 part(
     "features",
-    """SELECT l.log_id, l.Node, l.ts, f.static_dest AS teacher, CAST(f.payload_bytes AS DOUBLE) AS f0,
-  coalesce(s.cpu_pct, 0e0) AS f1, coalesce(s.mem_pct, 0e0) AS f2
-  FROM logs l JOIN flagged f ON l.log_id = f.log_id JOIN sys s ON l.log_id = s.log_id""",
+    "SELECT l.log_id, l.Node, l.ts, f.static_dest AS teacher, CAST(f.payload_bytes AS DOUBLE) AS f0, "
+    + ", ".join(f"coalesce(s.{c}, 0e0) AS f{i}" for i, c in enumerate(READINGS, start=1))
+    + " FROM logs l JOIN flagged f ON l.log_id = f.log_id JOIN sys s ON l.log_id = s.log_id",
     "logs",
     "flagged",
     "sys",
@@ -284,7 +296,7 @@ part(
     "\nUNION ALL ".join(
         f"""SELECT {i} AS dim, e FROM (SELECT DISTINCT unnest(quantile_cont(f{i}, [0, 0.25, 0.5, 0.75, 1])) AS e
     FROM features) QUALIFY e > min(e) OVER () AND e < max(e) OVER ()"""
-        for i in range(3)
+        for i in range(7)
     ),
     "features",
 )
@@ -292,7 +304,7 @@ part(
     "states",
     "SELECT f.*, "
     + " || ',' || ".join(
-        f"(SELECT count(*) FROM edges WHERE dim = {i} AND e <= f.f{i})::VARCHAR" for i in range(3)
+        f"(SELECT count(*) FROM edges WHERE dim = {i} AND e <= f.f{i})::VARCHAR" for i in range(7)
     )
     + " AS state FROM features f",
     "features",
@@ -300,17 +312,21 @@ part(
 )
 part(
     "behaviour",
-    f"""SELECT s.*, CASE WHEN {uniform('behaviour-explore', 's.log_id')} < 10000 THEN
-    CASE WHEN {uniform('behaviour-guided', 's.log_id')} < 5000 THEN {ACTION.format('s.teacher')}
-      ELSE {uniform('behaviour-uniform', 's.log_id')} % 3 END ELSE 0 END AS action FROM states s""",
+    f"""SELECT s.*, {ACTION.format('o.destination')} AS action FROM states s
+  JOIN obs o ON o.log_id = s.log_id""",
+    "states",
+    "obs",
+)
+part(
+    "following",
+    "SELECT log_id, state, lead(state) OVER (PARTITION BY Node ORDER BY ts, log_id) AS next_state FROM states",
     "states",
 )
 part(
     "moves",
-    f"""SELECT b.log_id, b.state, CAST(b.action AS INT) AS action, r.reward,
-    lead(b.state) OVER (PARTITION BY b.Node ORDER BY b.ts, b.log_id) AS next_state
-  FROM behaviour b JOIN rewarded r ON b.log_id = r.log_id AND b.action = {ACTION.format('r.destination')}""",
-    "behaviour",
+    f"""SELECT f.log_id, f.state, CAST({ACTION.format('r.destination')} AS INT) AS action, r.reward, f.next_state
+  FROM following f JOIN rewarded r ON f.log_id = r.log_id""",
+    "following",
     "rewarded",
 )
 part(
@@ -326,26 +342,40 @@ part(
 )
 part(
     "q0",
-    f"""SELECT state, k AS action, CASE WHEN {ACTION.format('teacher')} = k THEN 0.3e0 ELSE 0e0 END AS q
-  FROM teachers CROSS JOIN (VALUES (0), (1), (2)) AS a(k)""",
+    f"""SELECT state, {', '.join(f"CASE WHEN {ACTION.format('teacher')} = {k} THEN 0.3e0 ELSE 0e0 END AS q{k}" for k in range(3))}
+  FROM teachers""",
     "teachers",
 )
-for _i in (1, 2, 3):
-    part(
-        f"q{_i}",
-        f"""SELECT q.state, q.action, coalesce(u.q, q.q) AS q FROM q{_i - 1} q LEFT JOIN (
-    SELECT c.state, c.action, sum(c.sum_reward + 0.98e0 * c.n * coalesce(v.v, 0e0)) / sum(c.n) AS q
-    FROM move_counts c LEFT JOIN (SELECT state, max(q) AS v FROM q{_i - 1} GROUP BY state) v
-      ON c.next_state = v.state GROUP BY c.state, c.action) u
-  ON q.state = u.state AND q.action = u.action""",
-        f"q{_i - 1}",
-        "move_counts",
-    )
+# As many sweeps as bring 0.98 ** n below one part in ten thousand million.
+SWEEPS = 1200
+
+
+def mean_target(k: int) -> str:
+    return f"""sum(c.sum_reward + 0.98e0 * c.n * coalesce(v.v, 0e0)) FILTER (WHERE c.action = {k})
+    / sum(c.n) FILTER (WHERE c.action = {k}) AS q{k}"""
+
+
+part(
+    "q_all",
+    f"""SELECT 0 AS i, state, q0, q1, q2 FROM q0 UNION ALL
+  SELECT u.i + 1, p.state, {', '.join(f'coalesce(u.q{k}, p.q{k})' for k in range(3))}
+  FROM q0 p JOIN (SELECT n.i, c.state, {', '.join(map(mean_target, range(3)))}
+    FROM (SELECT max(i) AS i FROM q_all) n CROSS JOIN move_counts c
+    LEFT JOIN (SELECT state, greatest(q0, q1, q2) AS v FROM q_all) v ON c.next_state = v.state
+    GROUP BY n.i, c.state) u ON p.state = u.state WHERE u.i < {SWEEPS}""",
+    "q0",
+    "move_counts",
+)
+part(
+    "q_end",
+    f"""SELECT state, unnest([0, 1, 2]) AS action, unnest([q0, q1, q2]) AS q FROM q_all WHERE i = {SWEEPS}""",
+    "q_all",
+)
 part(
     "q_policy",
     """SELECT state, action FROM (SELECT state, action, row_number() OVER (PARTITION BY state
-    ORDER BY q DESC, action) AS r FROM q3) WHERE r = 1""",
-    "q3",
+    ORDER BY q DESC, action) AS r FROM q_end) WHERE r = 1""",
+    "q_end",
 )
 part(
     "q_route",

@@ -1,67 +1,89 @@
 """Streaming queries: each drains a file stream and returns what it wrote."""
 
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
-from tierflow.operators import routing
+from tierflow.operators import cbr, routing
 from tierflow.plans.registry import query, rounded
 from tierflow.plans.rows import TRACE_SQL
 from tierflow.plans.sql import RANK, STATIC, bucket, check, part
-from tierflow.runtime import cut_lineage, shared_folder
+from tierflow.runtime import cut_lineage, fresh_folder
+from tierflow.schemas import LOG_COLUMNS
 from tierflow.sources import tables
+from tierflow.sources.tiers import read_tier, write_tier_shapes
 from tierflow.streaming.online_cbr import OnlineCbr
 from tierflow.streaming.route import mix_by_window, route_stream
 
 
-def fresh_folder(spark, name):
-    return f"{shared_folder(spark)}/{name}-{uuid4().hex}"
+PARTS = 4
+
+
+def routed_stream(spark, directory):
+    """Folder of the continuous router after four micro-batches of new files.
+
+    Each step of arriving files continues the stream from its checkpoint.
+    """
+    folder = fresh_folder(spark, "stream")
+    outcomes = tables.observations(spark, directory)
+    for _, events in tables.arriving(spark, directory, f"{folder}/in", PARTS):
+        route_stream(
+            tables.as_logs(events),
+            outcomes,
+            routing.route_static,
+            "static",
+            F.col("LogSource"),
+            folder,
+            f"{folder}/checkpoint",
+        ).awaitTermination()
+    return folder
 
 
 @query("stream_trace", check(TRACE_SQL, "flagged", "obs"))
 def stream_trace(spark, directory):
     """Trace written by the continuous router."""
-    folder = fresh_folder(spark, "stream")
-    logs = tables.as_logs(tables.table_stream(spark, directory, "events"))
-    route_stream(
-        logs,
-        tables.observations(spark, directory),
-        routing.route_static,
-        "static",
-        F.col("LogSource"),
-        folder,
-        f"{folder}/checkpoint",
-    ).awaitTermination()
+    folder = routed_stream(spark, directory)
     return rounded(spark.read.parquet(f"{folder}/trace").drop("batch_id"))
 
 
-@query(
-    "stream_tiers",
-    check(
-        """SELECT CASE WHEN sensitive THEN 'ipfs' ELSE static_dest END AS destination, count(*) AS logs,
-  CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes FROM flagged GROUP BY 1""",
-        "flagged",
-    ),
-)
-def stream_tiers(spark, directory):
-    """What the continuous router wrote to each tier."""
-    folder = fresh_folder(spark, "stream")
-    logs = tables.as_logs(tables.table_stream(spark, directory, "events"))
-    route_stream(
-        logs,
-        tables.observations(spark, directory),
-        routing.route_static,
-        "static",
-        F.col("LogSource"),
-        folder,
-        f"{folder}/checkpoint",
-    ).awaitTermination()
-    size = F.sum(F.octet_length(F.coalesce("Content", F.lit("")))).cast("long")
+TIERS_SQL = """SELECT CASE WHEN sensitive THEN 'ipfs' ELSE static_dest END AS destination, count(*) AS logs,
+  CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes FROM flagged GROUP BY 1"""
+
+
+def read_back(spark, path):
+    """Rows and bytes of each tier, from the shapes it keeps."""
+    size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long")
+    rows = read_tier(spark, path, "relational").unionByName(
+        read_tier(spark, path, "relational_rejects")
+    ).select(F.lit("mysql").alias("destination"), F.col("log_message").alias("text"))
+    found = read_tier(spark, path, "search").select(
+        F.lit("elk").alias("destination"), F.get_json_object("document", "$.Content").alias("text")
+    )
+    kept = read_tier(spark, path, "references").join(
+        read_tier(spark, path, "content").dropDuplicates(["cid"]), "cid"
+    ).select(F.lit("ipfs").alias("destination"), F.col("content").alias("text"))
     return (
-        spark.read.parquet(f"{folder}/tiers")
+        rows.unionByName(found)
+        .unionByName(kept)
         .groupBy("destination")
-        .agg(F.count("*").alias("logs"), size.alias("payload_bytes"))
+        .agg(F.count("*").alias("logs"), F.sum(size).alias("payload_bytes"))
+    )
+
+
+@query("stream_tiers", check(TIERS_SQL, "flagged"))
+def stream_tiers(spark, directory):
+    """What the continuous router wrote to each tier, read back from its shape."""
+    return read_back(spark, f"{routed_stream(spark, directory)}/tiers")
+
+
+@query("batch_tiers", check(TIERS_SQL, "flagged"))
+def batch_tiers(spark, directory):
+    """The same in one batch."""
+    folder = fresh_folder(spark, "tiers")
+    decided = cut_lineage(
+        routing.apply_compliance(routing.route_static(tables.logs(spark, directory)))
     )
+    columns = [c for c in LOG_COLUMNS if c in decided.columns]
+    write_tier_shapes(decided, columns, folder)
+    return read_back(spark, folder)
 
 
 WINDOW_SQL = """SELECT date_trunc('day', l.ts) AS window_start, date_trunc('day', l.ts) + INTERVAL 1 DAY AS window_end,
@@ -91,11 +113,11 @@ def stream_windows(spark, directory):
     )
 
 
-# ---- online adaptive router, one step per week ------------------------------
-EPOCHS = 4
+# ---- online adaptive router, one micro-batch per step of arriving files -----
 part(
     "epoch_logs",
-    "SELECT *, least(3, (day(ts) - 1) // 7) AS epoch FROM logs",
+    f"""SELECT *, floor((log_id - (SELECT min(log_id) FROM logs)) * {PARTS}
+    / ((SELECT max(log_id) - min(log_id) FROM logs) + 1)) AS epoch FROM logs""",
     "logs",
 )
 part(
@@ -103,13 +125,13 @@ part(
     "SELECT k, r.attr, r.bucket, r.destination, r.cost FROM ("
     + "\nUNION ALL ".join(
         f"SELECT l.epoch, '{a}' AS attr, {bucket('l.' + a)} AS bucket, o.destination, o.backend_write_latency_ms AS cost"
-        " FROM epoch_logs l JOIN cbr_logs s ON l.log_id = s.log_id JOIN obs o ON l.log_id = o.log_id"
+        " FROM epoch_logs l JOIN cbr_logs s ON l.log_id = s.log_id JOIN outcomes o ON l.log_id = o.log_id"
         for a in ("Level", "Component", "LogSource")
     )
     + ") r JOIN (VALUES (1), (2), (3)) AS t(k) ON r.epoch < k",
     "epoch_logs",
     "cbr_logs",
-    "obs",
+    "outcomes",
 )
 part(
     "epoch_scored",
@@ -155,20 +177,44 @@ LEFT JOIN epoch_overall g ON g.k = l.epoch""",
     ),
 )
 def online_cbr(spark, directory):
-    """Each week routed with the statistics of the weeks before it.
-
-    These are the steps that the stream takes per micro-batch.
-    """
-    router = OnlineCbr(out=fresh_folder(spark, "online"), counterfactual=True)
+    """Each micro-batch routed with the statistics of those before it."""
+    folder = fresh_folder(spark, "online")
+    router = OnlineCbr(out=folder, counterfactual=True)
     outcomes = tables.observations(spark, directory)
-    week = F.least(F.lit(EPOCHS - 1), F.floor((F.day("ts") - 1) / 7)).cast("int")
-    logs = tables.logs(spark, directory).withColumn("epoch", week)
-    decided = None
-    for epoch in range(EPOCHS):
-        rows, _ = router.step(logs.where(F.col("epoch") == epoch), outcomes, epoch)
-        rows = rows.select("log_id", "epoch", "raw_destination")
-        decided = rows if decided is None else decided.unionByName(rows)
-    return decided
+    for _, events in tables.arriving(spark, directory, f"{folder}/in", PARTS):
+        router.start(tables.as_logs(events), outcomes, f"{folder}/checkpoint").awaitTermination()
+    decided = spark.read.parquet(f"{folder}/decisions")
+    return decided.select("log_id", F.col("batch_id").cast("int").alias("epoch"), "raw_destination")
+
+
+@query(
+    "online_resumed",
+    check(
+        """SELECT attr, bucket, destination, count(*) AS n, (round(sum(cost) + 1e-8, 6) + 0e0) AS sum_cost
+FROM cbr_rows GROUP BY ALL""",
+        "cbr_rows",
+    ),
+)
+def online_resumed(spark, directory):
+    """Statistics of a stream of odd logs that starts with those of even ones."""
+    folder = fresh_folder(spark, "online")
+    logs, outcomes = tables.logs(spark, directory), tables.observations(spark, directory)
+    even = cbr.bucket_stats(cbr.feedback(logs.where("log_id % 2 = 0"), outcomes))
+    cbr.save_state(even, cbr.NUM_BUCKETS, f"{folder}/start")
+    router = OnlineCbr(
+        out=folder, counterfactual=True, start_state=f"{folder}/start", strict_warmup=True
+    )
+    events = tables.table_stream(spark, directory, "events").where("event_id % 2 <> 0")
+    stream = router.start(tables.as_logs(events), outcomes, f"{folder}/checkpoint")
+    stream.awaitTermination()
+    state = cbr.load_state(spark, router.state_path(stream.lastProgress["batchId"]))
+    return state.select(
+        "attr",
+        "bucket",
+        "destination",
+        "n",
+        F.round(F.col("n") * F.col("mean") + 1e-8, 6).alias("sum_cost"),
+    )
 
 
 @query(
@@ -192,6 +238,6 @@ def online_state(spark, directory):
     state = spark.read.parquet(router.state_path(last))
     return cut_lineage(
         state.select(
-            "attr", "bucket", "destination", "n", F.round(F.col("sum_cost") + 1e-8, 6).alias("sum_cost")
+            "attr", "bucket", "destination", "n", F.round(F.col("n") * F.col("mean") + 1e-8, 6).alias("sum_cost")
         )
     )

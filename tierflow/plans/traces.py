@@ -4,12 +4,12 @@ from pyspark.sql import functions as F
 
 from tierflow.operators import cbr, choices, routing, summaries
 from tierflow.operators.ordered import positions
-from tierflow.operators.percentiles import exact_percentiles
+from tierflow.operators.percentiles import exact_percentiles, exact_percentiles_of
 from tierflow.operators.trace import decide, outcomes_by_log, replay
 from tierflow.plans.learning import fit_tabular, learned_decisions, observed_logs, q_decisions
-from tierflow.plans.registry import query, rounded
+from tierflow.plans.registry import CHECKS, query, rounded
 from tierflow.plans.sql import ADDITIVE, COMBINED, STATIC, check
-from tierflow.runtime import cut_lineage
+from tierflow.runtime import cut_lineage, fresh_folder
 from tierflow.schemas import TIERS
 from tierflow.sources import results, tables
 
@@ -26,18 +26,15 @@ def rule_routers():
     }
 
 
-def replayed(spark, directory, compliance=(False,), learned=True):
+def replayed(spark, directory, compliance=(False,), learned=True, with_cheapest=False):
     """Traces of the rule routers and, if asked for, of the adaptive one."""
     logs, outcomes = tables.logs(spark, directory), tables.observations(spark, directory)
     routers = rule_routers()
     if learned:
         routers["cbr"] = cbr.fit_cbr(logs, outcomes).route
-    return replay(logs, outcomes, routers, F.col("LogSource"), compliance)
-
-
-def log_count(spark, directory):
-    """Rows of the log table, read from file footers; no run has more."""
-    return tables.table(spark, directory, "events").count()
+    return replay(
+        logs, outcomes, routers, F.col("LogSource"), compliance, with_cheapest=with_cheapest
+    )
 
 
 def run_table(spark, directory):
@@ -79,18 +76,36 @@ FROM base GROUP BY router, dataset_name ORDER BY Dataset, Method""",
 )
 def results_summary(spark, directory):
     return rounded(summaries.results_summary(
-            replayed(spark, directory), at_most=log_count(spark, directory)
+            replayed(spark, directory)
         ), fine=WATT_HOURS)
 
 
+@query(
+    "results_files",
+    CHECKS["results_summary"],
+)
+def results_files(spark, directory):
+    """The same report from result files, a summary file among them."""
+    folder = fresh_folder(spark, "results")
+    runs = replayed(spark, directory).drop("compliance")
+    name = F.concat_ws("_", "router", "dataset_name")
+    named = runs.withColumn("name", F.concat(name, F.lit(".csv")))
+    named.write.option("header", True).partitionBy("name").csv(f"{folder}/runs")
+    summary = F.lit("summary_static_Apache.csv").alias("name")
+    run_table(spark, directory).limit(1).withColumn("name", summary).write.option(
+        "header", True
+    ).mode("append").partitionBy("name").csv(f"{folder}/runs")
+    trace = results.read_trace_csv(spark, f"{folder}/runs/*/*.csv")
+    return rounded(summaries.results_summary(trace), fine=WATT_HOURS)
+
+
 @query(
     "combined_summary",
     check(f"SELECT dataset_name, {COMBINED} FROM base GROUP BY dataset_name", "base"),
 )
 def combined_summary(spark, directory):
     """Pools the five routers, so a data set may have five rows per log."""
-    pooled = 5 * log_count(spark, directory)
-    return rounded(summaries.combined_summary(replayed(spark, directory), at_most=pooled))
+    return rounded(summaries.combined_summary(replayed(spark, directory)))
 
 
 @query(
@@ -128,8 +143,7 @@ MARKDOWN_DOUBLES = {
     ),
 )
 def summary_markdown(spark, directory):
-    pooled = 5 * log_count(spark, directory)
-    summary = rounded(summaries.combined_summary(replayed(spark, directory), at_most=pooled))
+    summary = rounded(summaries.combined_summary(replayed(spark, directory)))
     return results.markdown_rows(summary, MARKDOWN)
 
 
@@ -184,7 +198,6 @@ def latency_percentiles(spark, directory):
         ["router"],
         "total_latency_ms",
         [0.0, 0.25, 0.5, 0.9, 0.999, 1.0],
-        direct_rows=0,
     )
     return rounded(rows)
 
@@ -201,7 +214,7 @@ FROM base GROUP BY router, dataset_name"""
     ),
 )
 def tail_latency(spark, directory):
-    return rounded(summaries.tail_latency(replayed(spark, directory), at_most=log_count(spark, directory)))
+    return rounded(summaries.tail_latency(replayed(spark, directory)))
 
 
 @query(
@@ -280,7 +293,7 @@ FROM (SELECT *, destination AS tier FROM enforced UNION ALL SELECT *, 'all' FROM
 )
 def per_backend_metrics(spark, directory):
     return rounded(summaries.per_backend_metrics(
-            replayed(spark, directory, (True,)), log_count(spark, directory)
+            replayed(spark, directory, (True,))
         ))
 
 
@@ -480,22 +493,20 @@ def latency_energy_corr(spark, directory):
 
 
 # ---- rows in run order -----------------------------------------------------
-WARMUP_SQL = """SELECT dataset_name, count(*) AS logs,
+WARMUP_SQL = """SELECT router, dataset_name, count(*) AS logs,
   min(position) FILTER (WHERE position >= 400 AND abs(now - before) <= 0.05e0 * before) AS boundary
-FROM (SELECT dataset_name, row_number() OVER w AS position,
-    quantile_cont(total_latency_ms, 0.5) OVER (PARTITION BY dataset_name ORDER BY log_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS now,
-    quantile_cont(total_latency_ms, 0.5) OVER (PARTITION BY dataset_name ORDER BY log_id ROWS BETWEEN 399 PRECEDING AND 200 PRECEDING) AS before
-  FROM base WHERE router = 'static' WINDOW w AS (PARTITION BY dataset_name ORDER BY log_id)) GROUP BY dataset_name"""
+FROM (SELECT router, dataset_name, row_number() OVER w AS position,
+    quantile_cont(total_latency_ms, 0.5) OVER (PARTITION BY router, dataset_name ORDER BY log_id ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) AS now,
+    quantile_cont(total_latency_ms, 0.5) OVER (PARTITION BY router, dataset_name ORDER BY log_id ROWS BETWEEN 399 PRECEDING AND 200 PRECEDING) AS before
+  FROM base WINDOW w AS (PARTITION BY router, dataset_name ORDER BY log_id)) GROUP BY router, dataset_name"""
 
 
 @query("warmup_boundary", check(WARMUP_SQL, "base"))
 def warmup_boundary(spark, directory):
-    logs, outcomes = tables.logs(spark, directory), tables.observations(spark, directory)
-    rows = replay(logs, outcomes, {"static": routing.route_static}, F.col("LogSource")).select(
-        "dataset_name", "log_id", "total_latency_ms"
-    )
-    ranked = positions(rows, ["dataset_name"], "log_id", F.floor(F.col("log_id") / 20_000))
-    return summaries.warmup_boundary(ranked, ["dataset_name"])
+    """Every run of every router."""
+    run = ["router", "dataset_name"]
+    rows = replayed(spark, directory).select(*run, "log_id", "total_latency_ms")
+    return summaries.warmup_boundary(positions(rows, run, "log_id"), run)
 
 
 @query(
@@ -513,7 +524,7 @@ def energy_anomalies(spark, directory):
         "event_id",
         F.col("value").alias("watts"),
     )
-    ranked = positions(readings, ["host"], "event_id", F.floor(F.col("event_id") / 20_000))
+    ranked = positions(readings, ["host"], "event_id")
     flagged = summaries.energy_anomalies(ranked, ["host"], "watts")
     return rounded(
         flagged.select("host", "event_id", "position", "watts", "window_mean", "window_std")
@@ -551,14 +562,14 @@ def policy_confusion(spark, directory):
         """SELECT b.router, count(*) AS logs, (round(avg(b.total_latency_ms - c.least) + 1e-8, 6) + 0e0) AS mean_regret_ms,
   (round(max(b.total_latency_ms - c.least) + 1e-8, 6) + 0e0) AS max_regret_ms,
   (round(avg((b.total_latency_ms - c.least <= 1e-9)::INT) + 1e-8, 6) + 0e0) AS optimal_share
-FROM base b JOIN (SELECT log_id, min(routing_latency_ms + backend_write_latency_ms) AS least FROM obs GROUP BY log_id) c
+FROM base b JOIN (SELECT log_id, min(routing_latency_ms + backend_write_latency_ms) AS least FROM outcomes GROUP BY log_id) c
   ON b.log_id = c.log_id GROUP BY b.router""",
         "base",
+        "outcomes",
     ),
 )
 def regret(spark, directory):
-    outcomes = outcomes_by_log(tables.observations(spark, directory))
-    return rounded(choices.regret(replayed(spark, directory), outcomes))
+    return rounded(choices.regret(replayed(spark, directory, with_cheapest=True)))
 
 
 SWEEP_SQL = """SELECT {keys}, count(*) AS logs, (round(avg(lat) + 1e-8, 6) + 0e0) AS mean_latency_ms, (round(avg(j) + 1e-8, 6) + 0e0) AS mean_energy_j
@@ -587,12 +598,10 @@ def lambda_sweep(spark, directory):
     logs, outcomes = tables.logs(spark, directory), tables.observations(spark, directory)
     static = replay(logs, outcomes, {"static": routing.route_static}, F.col("LogSource"))
 
-    def median(column):
-        bound = log_count(spark, directory)
-        found = exact_percentiles(static, ["router"], column, [0.5], at_most=bound)
-        return found.first()["percentile"]
-
-    balance = median("total_latency_ms") / median("energy_cpu_pkg_j")
+    ranked = ("total_latency_ms", "energy_cpu_pkg_j")
+    medians = exact_percentiles_of(static, ["router"], ranked, [0.5]).collect()
+    latency, joules = (next(r["percentile"] for r in medians if r["column"] == c) for c in ranked)
+    balance = latency / joules
     pairs = [(x, False) for x in LAMBDAS] + [(balance, True)]
     weights = F.array(
         *[
@@ -668,8 +677,8 @@ def stats_rounded(stats):
         "bucket",
         "destination",
         "n",
-        F.round(F.col("sum_cost") + 1e-8, 6).alias("sum_cost"),
-        F.round(F.col("sum_sq") + 1e-6, 4).alias("sum_sq"),
+        F.round(F.col("n") * F.col("mean") + 1e-8, 6).alias("sum_cost"),
+        F.round(F.col("m2") + F.col("n") * F.col("mean") * F.col("mean") + 1e-6, 4).alias("sum_sq"),
     )
 
 
@@ -740,16 +749,16 @@ def compare_routers(spark, directory):
     """All rule, adaptive and tabular routers over the same logs in one job."""
     logs, outcomes = tables.logs(spark, directory), tables.observations(spark, directory)
     model = cbr.fit_cbr(logs, outcomes)
-    steps, policy = fit_tabular(spark, directory)
+    steps, q = fit_tabular(spark, directory)
     rows = replay(
         logs,
         outcomes,
         rule_routers() | {"cbr": model.route},
         F.col("LogSource"),
-        decisions={"q_learning": q_decisions(steps, policy)},
+        decisions={"q_learning": q_decisions(steps, q)},
     )
     return rounded(
-        summaries.combined_summary(rows, ["router"], at_most=log_count(spark, directory))
+        summaries.combined_summary(rows, ["router"])
     )
 
 
@@ -774,4 +783,4 @@ def compare_learned(spark, directory):
         F.col("LogSource"),
         decisions={"learned": decided},
     )
-    return summaries.combined_summary(rows, ["router"], at_most=log_count(spark, directory))
+    return summaries.combined_summary(rows, ["router"])
