@@ -31,7 +31,7 @@ from tierflow.llm.tables import WORD
 from tierflow.runtime import cut_lineage
 
 # Largest share of all tokens by which a marginal may miss its target.
-TOLERANCE = 1e-9
+TOLERANCE = 1e-12
 # Sweeps over all marginals in one job, and in all.
 SWEEPS_A_JOB = 5
 MAX_SWEEPS = 500

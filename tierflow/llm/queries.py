@@ -177,3 +177,36 @@ SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
     AND n_dup_lines <= 0.5::DOUBLE * n_lines AS kept
 FROM m
 """ % {"stops": ", ".join(f"'{w}'" for w in sorted(set(quality.STOP_WORDS)))}
+
+CHECKS["op1_raked_mixing"] = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce('=' || source, 'null') AS source, coalesce('=' || lang, 'null') AS lang,
+    '=' || CASE WHEN contains(text, ' | ') THEN 'table' WHEN contains(text, '!!') THEN 'shout'
+      WHEN regexp_matches(text, '[0-9]{3}') THEN 'record' ELSE 'prose' END AS topic,
+    len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS n_tokens
+  FROM documents),
+c AS (SELECT source, lang, topic, sum(n_tokens)::DOUBLE AS tokens FROM d GROUP BY ALL),
+s AS (SELECT source, pow(sum(tokens), 0.9) AS r FROM c GROUP BY source),
+l AS (SELECT lang, pow(sum(tokens), 0.9) AS r FROM c GROUP BY lang),
+t AS (SELECT topic, pow(sum(tokens), 0.95) AS r FROM c GROUP BY topic),
+g AS (
+  SELECT c.*, sum(tokens) OVER () AS total,
+    s.r / (SELECT sum(r) FROM s) AS gs, l.r / (SELECT sum(r) FROM l) AS gl, t.r / (SELECT sum(r) FROM t) AS gt
+  FROM c JOIN s USING (source) JOIN l USING (lang) JOIN t USING (topic)),
+rake AS (
+  SELECT 0 AS i, source, lang, topic, tokens, total, gs, gl, gt, tokens AS w FROM g
+  UNION ALL
+  SELECT i + 1, source, lang, topic, tokens, total, gs, gl, gt,
+    coalesce(w * gt * total / nullif(sum(w) OVER (PARTITION BY topic), 0), 0)
+  FROM (SELECT * REPLACE (coalesce(w * gl * total / nullif(sum(w) OVER (PARTITION BY lang), 0), 0) AS w)
+    FROM (SELECT * REPLACE (coalesce(w * gs * total / nullif(sum(w) OVER (PARTITION BY source), 0), 0) AS w)
+      FROM rake WHERE i < 100))),
+f AS (
+  SELECT source, lang, topic, factor, factor / max(factor) OVER () AS p
+  FROM (SELECT *, CASE WHEN tokens > 0 THEN w / tokens ELSE 0 END AS factor FROM rake WHERE i = 100))
+SELECT doc_id, d.source, d.lang, d.topic, n_tokens,
+  round(CASE WHEN n_tokens > 0 THEN factor ELSE 0 END, 6) AS factor,
+  round(CASE WHEN n_tokens > 0 THEN p ELSE 0 END, 6) AS probability,
+  n_tokens > 0 AND ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496e0 < p AS kept
+FROM d JOIN f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic
+"""
