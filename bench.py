@@ -12,12 +12,14 @@ import time
 from pyspark.sql import SparkSession
 
 from tierflow.plans.catalog import QUERIES
+from tierflow.runtime import stored_steps
 
 HEADLINE = (
     "compare_routers",
     "combined_summary",
     "run_summary",
     "tail_latency",
+    "latency_percentiles",
     "per_backend_metrics",
     "paired_delta",
     "trace",
@@ -57,9 +59,10 @@ def main() -> None:
     for name in sys.argv[1:] or HEADLINE:
         times = []
         for _ in range(3):
-            start = time.perf_counter()
-            QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
-            times.append(time.perf_counter() - start)
+            with stored_steps(spark):
+                start = time.perf_counter()
+                QUERIES[name](spark, folder).write.format("noop").mode("overwrite").save()
+                times.append(time.perf_counter() - start)
         seconds[name] = round(min(times), 3)
     spark.stop()
     print(

@@ -75,6 +75,7 @@ def session(partitions: int = 8):
 
 def main() -> int:
     import __spark_entry__ as entry
+    from tierflow.runtime import stored_steps
 
     folder = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark, connection = session(), connect(folder)
@@ -83,12 +84,13 @@ def main() -> int:
     for name in sys.argv[2:] or queries:
         start = time.time()
         try:
-            df = queries[name](spark, folder)
-            if name in checks:
-                note = compare(df, connection, checks[name]) or "ok"
-                size = ""
-            else:
-                note, size = "rows only", df.count()
+            with stored_steps(spark):
+                df = queries[name](spark, folder)
+                if name in checks:
+                    note = compare(df, connection, checks[name]) or "ok"
+                    size = ""
+                else:
+                    note, size = "rows only", df.count()
         except Exception as error:  # report and go on with the next query
             note, size = f"{type(error).__name__}: {str(error)[:600]}", ""
         failed += note not in ("ok", "rows only")
