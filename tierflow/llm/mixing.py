@@ -34,7 +34,7 @@ from tierflow.runtime import cut_lineage
 TOLERANCE = 1e-12
 # Sweeps over all marginals in one job, and in all.
 SWEEPS_A_JOB = 5
-MAX_SWEEPS = 500
+MAX_SWEEPS = 100
 
 
 def tokens(text: Column) -> Column:
@@ -67,11 +67,13 @@ def rake(
     targets: dict[str, DataFrame],
     tolerance: float = TOLERANCE,
     max_sweeps: int = MAX_SWEEPS,
+    strict: bool = True,
 ) -> DataFrame:
     """``cells`` (categories and ``tokens``) with the raked ``weight``.
 
-    Sweeps end when every marginal is within the tolerance; targets that
-    contradict empty cells never are, and raise an error at ``max_sweeps``.
+    Sweeps end when every marginal is within the tolerance.  Targets that
+    contradict empty cells never are: at ``max_sweeps`` they raise an error, or
+    without ``strict`` the weights stand as the last sweep left them.
     """
     dims = list(targets)
     everything = Window.partitionBy()
@@ -112,7 +114,7 @@ def rake(
             held = F.sum("weight").over(Window.partitionBy(dim))
             miss = F.greatest(miss, F.abs(held - F.col(f"goal_{dim}")) / F.col("total"))
         worst = fitted.select(miss.alias("miss")).agg(F.max("miss")).first()[0]
-        if worst is None or worst <= tolerance:
+        if worst is None or worst <= tolerance or (done >= max_sweeps and not strict):
             return fitted.select(*cells.columns, "weight")
         if done >= max_sweeps:
             raise ValueError(f"raking missed its targets by {worst} after {done} sweeps")
@@ -142,7 +144,7 @@ def with_probability(
         d: targets[d] if targets and d in targets else tempered(cells, d, (powers or {})[d])
         for d in dims
     }
-    raked = rake(cells, goals)
+    raked = rake(cells, goals, strict=False)
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
     factors = raked.select(*dims, factor.alias("factor"))
     factors = cut_lineage(
