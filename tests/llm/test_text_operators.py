@@ -235,6 +235,17 @@ def test_overlapping_and_short_matches(spark):
     assert got == sorted(removed_bytes(rows))
 
 
+def test_one_id_with_a_copy_and_another_text(spark):
+    one = " ".join(f"a{k * k}" for k in range(40))
+    other = " ".join(f"b{k * k + 1}" for k in range(40))
+    rows = [(1, one), (5, one), (5, other), (6, "Z" + other[20:120] + "Q"), (7, other)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = rows_of(suffix.remove_repeats(docs))
+    assert got == sorted(removed_bytes(rows))
+    kept = sorted((r["doc_id"], r["text"]) for r in suffix.without_repeats(docs).collect())
+    assert kept == [(1, one), (5, other), (6, "ZQ")]
+
+
 def test_merge_keeps_order_and_common_prefixes():
     rng = np.random.default_rng(3)
     rows = rng.integers(97, 99, (300, suffix.LENGTH)).astype(np.uint8)

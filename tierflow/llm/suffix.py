@@ -27,8 +27,8 @@ least 50 bytes is covered by strings of the smallest document with that text.
 
 Defined results: null and empty texts have no bytes and nothing is removed;
 rows with a null id neither lose bytes nor cause a removal; rows that repeat an
-id do not remove each other's bytes; an empty table gives no rows; other
-columns are not read.
+id do not remove each other's bytes, and each is a copy or not by its own text;
+an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -49,6 +49,8 @@ BEFORE = LENGTH - GRAM
 # Text of a block, and text whose anchors one bucket sorts.
 BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 64 << 20
+# Suffixes whose bytes are gathered at once.
+STRETCH = 1 << 14
 
 _PRIME = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -105,7 +107,7 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
 class Block:
     """The documents of a block in a fixed order, and their anchors."""
 
-    def __init__(self, docs: pa.Table, copies: np.ndarray, with_anchors: bool = True):
+    def __init__(self, docs: pa.Table, copies: set[tuple[int, int]], with_anchors: bool = True):
         docs = docs.sort_by([("doc_id", "ascending"), ("h", "ascending")]).combine_chunks()
         self.docs = docs
         ids = docs.column("doc_id")
@@ -113,7 +115,9 @@ class Block:
         self.ids = ids.fill_null(-1).to_numpy()
         text = docs.column("text")
         self.data, self.offsets = text_bytes(text)
-        self.copy = np.isin(self.ids, copies) & self.known
+        # Rows that repeat an id may have different texts: a copy is an id and a text.
+        pairs = zip(self.ids.tolist(), docs.column("h").to_pylist(), strict=True)
+        self.copy = np.fromiter((p in copies for p in pairs), bool, len(self.ids)) & self.known
         if not with_anchors:
             return
         at, h = anchors(self.data, self.offsets)
@@ -157,9 +161,13 @@ def by_bucket(bucket: np.ndarray) -> list[tuple[int, np.ndarray]]:
 
 def windows(data: np.ndarray, starts: np.ndarray, lengths: np.ndarray, width: int, step: int = 1):
     """Bytes from each start on, in either direction, zero beyond the lengths."""
-    at = starts[:, None] + step * np.arange(width)
-    inside = np.arange(width) < lengths[:, None]
-    return np.where(inside, data[np.where(inside, at, 0)], 0).astype(np.uint8)
+    out = np.zeros((len(starts), width), np.uint8)
+    # In stretches: the places take eight times the memory of the bytes.
+    for a in range(0, len(starts), STRETCH):
+        at = starts[a : a + STRETCH, None] + step * np.arange(width)
+        inside = np.arange(width) < lengths[a : a + STRETCH, None]
+        out[a : a + STRETCH] = np.where(inside, data[np.where(inside, at, 0)], 0)
+    return out
 
 
 def row_order(*matrices: np.ndarray) -> np.ndarray:
@@ -457,32 +465,34 @@ def remove_repeats(
     dealt = rows.select(block_of, "doc_id", "h", "text")
 
     marks = rows.filter(F.col("doc_id").isNotNull()).select(
-        "doc_id", block_of, F.md5(F.col("text").cast("binary")).alias("m")
+        "doc_id", "h", block_of, F.md5(F.col("text").cast("binary")).alias("m")
     )
     first = marks.groupBy("m").agg(F.min("doc_id").alias("first"), F.count("*").alias("n"))
     copies = marks.join(first.filter("n > 1"), "m").filter("doc_id > first")
-    # What a block is told: the ids of its copies, later the repeated hashes.
-    side_ddl = "bucket long, block long, copies array<long>, hashes binary"
+    # What a block is told: ids and text hashes of its copies, later the repeated hashes.
+    side_ddl = "bucket long, block long, copies array<long>, texts array<long>, hashes binary"
     copy_side = (
         copies.groupBy("block")
-        .agg(F.collect_list("doc_id").alias("copies"))
+        .agg(F.collect_list(F.struct("doc_id", "h")).alias("pairs"))
         .select(
             F.lit(0).cast("long").alias("bucket"),
             "block",
-            "copies",
+            F.col("pairs.doc_id").alias("copies"),
+            F.col("pairs.h").alias("texts"),
             F.lit(None).cast("binary").alias("hashes"),
         )
     )
 
-    def copies_of(side: pa.Table) -> np.ndarray:
-        lists = [x for x in side.column("copies").to_pylist() if x]
-        return np.array([i for x in lists for i in x], np.int64)
+    def copies_of(side: pa.Table) -> set[tuple[int, int]]:
+        lists = zip(side.column("copies").to_pylist(), side.column("texts").to_pylist(), strict=True)
+        return {pair for ids, texts in lists if ids for pair in zip(ids, texts, strict=True)}
 
     hash_schema = pa.schema(
         [
             ("bucket", pa.int64()),
             ("block", pa.int64()),
             ("copies", pa.list_(pa.int64())),
+            ("texts", pa.list_(pa.int64())),
             ("hashes", pa.binary()),
         ]
     )
@@ -572,12 +582,20 @@ def remove_repeats(
     side = copy_side.unionByName(answers)
     runs = by_block.cogroup(side.groupBy("block")).applyInArrow(sort_runs, RUN_DDL)
     spans = runs.groupBy("bucket").applyInArrow(merge, RUN_DDL)
-    spans = spans.select("block", "spans", "doc", "at", "stop", F.lit(None).cast("array<long>").alias("copies"))
+    spans = spans.select(
+        "block",
+        "spans",
+        "doc",
+        "at",
+        "stop",
+        *[F.lit(None).cast("array<long>").alias(n) for n in ("copies", "texts")],
+    )
     whole = copy_side.select(
         "block",
         F.lit(False).alias("spans"),
         *[F.lit(None).cast("binary").alias(n) for n in ("doc", "at", "stop")],
         "copies",
+        "texts",
     )
     return by_block.cogroup(spans.unionByName(whole).groupBy("block")).applyInArrow(
         remove,
