@@ -333,6 +333,27 @@ def test_targets_that_contradict_the_cells(spark):
         mixing.rake(df, {"x": goal(("a", 0.5), ("b", 0.5)), "y": goal(("c", 0.9), ("d", 0.1))}, max_sweeps=10)
 
 
+def test_slow_raking_is_told_from_contradiction(spark):
+    tokens = [[1e9, 1e3], [2e8, 0], [0, 3e8], [0, 5e7]]
+    cells = [(f"s{i}", f"l{j}", int(n)) for i, row in enumerate(tokens) for j, n in enumerate(row) if n]
+    df = spark.createDataFrame(cells, "x string, y string, tokens long")
+    targets = {d: mixing.tempered(df, d, 0.9) for d in "xy"}
+    rows = mixing.rake(df, targets, strict=False).collect()
+    total = sum(n for *_, n in cells)
+    for d in "xy":
+        for r in targets[d].collect():
+            held = sum(c["weight"] for c in rows if c[d] == r["category"])
+            assert abs(held / total - r["share"]) < 1e-8
+    assert {r["state"] for r in rows} == {"met"}
+    assert rows[0]["sweeps"] > 0 and max(rows[0]["miss"]) < 1e-8
+    goal = lambda *rows: spark.createDataFrame(rows, "category string, share double")
+    apart = spark.createDataFrame([("a", "c", 5), ("b", "d", 5)], "x string, y string, tokens long")
+    never = {"x": goal(("a", 0.5), ("b", 0.5)), "y": goal(("c", 0.9), ("d", 0.1))}
+    rows = mixing.rake(apart, never, strict=False).collect()
+    assert {r["state"] for r in rows} == {"contradictory"}
+    assert abs(rows[0]["miss"]["x"] - 0.4) < 1e-9 and rows[0]["miss"]["y"] < 1e-9
+
+
 def test_mixture_awkward(awkward, empty):
     rows = mixing.mixture(awkward).collect()
     assert len(rows) == 23

@@ -21,6 +21,7 @@ their values, since the row travels as one struct.
 
 from __future__ import annotations
 
+import logging
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -32,9 +33,18 @@ from tierflow.runtime import cut_lineage
 
 # Largest share of all tokens by which a marginal may miss its target.
 TOLERANCE = 1e-12
-# Sweeps over all marginals in one job, and in all.
+# Sweeps over all marginals in one job, and in all before a fit that is neither
+# met nor proven contradictory is given up as slow.
 SWEEPS_A_JOB = 5
-MAX_SWEEPS = 100
+MAX_SWEEPS = 5000
+# A miss that shrinks by less than this share in a job no longer shrinks; one
+# below the second number may do so for rounding alone.
+LEAST_SHRINK = 1e-6
+ROUNDING = 1e-10
+# How often the step of a slow sweep may be made again at once.
+JUMPS = [1 << k for k in range(16)]
+
+LOG = logging.getLogger(__name__)
 
 
 def tokens(text: Column) -> Column:
@@ -71,9 +81,22 @@ def rake(
 ) -> DataFrame:
     """``cells`` (categories and ``tokens``) with the raked ``weight``.
 
-    Sweeps end when every marginal is within the tolerance.  Targets that
-    contradict empty cells never are: at ``max_sweeps`` they raise an error, or
-    without ``strict`` the weights stand as the last sweep left them.
+    With it ``sweeps``, ``state`` and ``miss``, a struct of the share of all
+    tokens by which each marginal misses its targets.  The states:
+
+    * met: every marginal is within the tolerance, or as near as doubles go.
+    * contradictory: no weights of the cells meet the targets, which is proven,
+      and the miss no longer shrinks.
+    * slow: they may be met, but ``max_sweeps`` were not enough.
+
+    The proof: a sweep multiplies categories by exp(d) and so cells by the
+    products.  Over any weights x that meet the targets the mean of a cell's
+    log growth is the mean of d over the targets, the sweep's gain; so if the
+    gain is above the growth of every cell there are no such weights.
+
+    Where a sweep brings little, its step is made again many times at once, as
+    long as the likelihood that raking climbs rises; the solution is the same.
+    Other states than met raise an error, or without ``strict`` a warning.
     """
     dims = list(targets)
     everything = Window.partitionBy()
@@ -95,29 +118,72 @@ def rake(
             f"goal_{dim}", F.when(met > 0, present / met * F.col("total")).otherwise(0.0)
         )
     fitted = cut_lineage(fitted.drop("share_"))
+    # Cells that may hold weight.
+    free = reduce(lambda a, d: a & (F.col(f"goal_{d}") > 0), dims, F.col("tokens") > 0)
 
     def sweep(df: DataFrame) -> DataFrame:
+        df = df.withColumn("growth", F.lit(0.0)).withColumn("gain", F.lit(0.0))
         for dim in dims:
             held = F.sum("weight").over(Window.partitionBy(dim))
-            df = df.withColumn(
-                "weight",
-                F.when(held > 0, F.col("weight") * F.col(f"goal_{dim}") / held).otherwise(0.0),
-            )
-        return df
-
-    done = 0
+            ratio = F.when(held > 0, F.col(f"goal_{dim}") / held).otherwise(0.0)
+            df = df.withColumn("ratio", ratio).withColumn("weight", F.col("weight") * F.col("ratio"))
+            step = F.when(F.col("ratio") > 0, F.log("ratio")).otherwise(0.0)
+            df = df.withColumn("growth", F.col("growth") + step)
+            df = df.withColumn("gain", F.col("gain") + F.col("weight") * step / F.col("total"))
+        return df.drop("ratio")
+
+    def risen(times: int) -> Column:
+        """What the likelihood rises by when the last sweep's step is made again."""
+        rest = F.when(F.col("weight") > 0, F.col("weight") * F.expm1(times * F.col("growth"))).otherwise(0.0)
+        return (times * F.sum("gain") - F.sum(rest / F.col("total"))).alias(f"risen_{times}")
+
+    done, before, contradictory = 0, None, False
     while True:
         fitted = cut_lineage(reduce(lambda df, _: sweep(df), range(SWEEPS_A_JOB), fitted))
         done += SWEEPS_A_JOB
-        miss = F.lit(0.0)
-        for dim in dims:
-            held = F.sum("weight").over(Window.partitionBy(dim))
-            miss = F.greatest(miss, F.abs(held - F.col(f"goal_{dim}")) / F.col("total"))
-        worst = fitted.select(miss.alias("miss")).agg(F.max("miss")).first()[0]
-        if worst is None or worst <= tolerance or (done >= max_sweeps and not strict):
-            return fitted.select(*cells.columns, "weight")
-        if done >= max_sweeps:
-            raise ValueError(f"raking missed its targets by {worst} after {done} sweeps")
+        held = [F.sum("weight").over(Window.partitionBy(d)) for d in dims]
+        misses = fitted.withColumns(
+            {f"miss_{d}": F.abs(h - F.col(f"goal_{d}")) / F.col("total") for d, h in zip(dims, held, strict=True)}
+        )
+        now = misses.agg(
+            *[F.max(f"miss_{d}").alias(f"miss_{d}") for d in dims],
+            F.sum("gain").alias("gain"),
+            F.max(F.when(free, F.col("growth"))).alias("growth"),
+            *[risen(t) for t in JUMPS],
+        ).first()
+        miss = {d: now[f"miss_{d}"] or 0.0 for d in dims}
+        worst = max(miss.values())
+        shrinks = before is None or worst < before * (1 - LEAST_SHRINK)
+        state = "slow"
+        if worst <= tolerance or (worst <= ROUNDING and not shrinks):
+            state = "met"
+        elif now["growth"] is None or now["gain"] > now["growth"] + ROUNDING:
+            contradictory = True
+        if contradictory and not shrinks and state != "met":
+            state = "contradictory"
+        if state != "met" and contradictory and done >= max_sweeps:
+            state = "contradictory"
+        if state != "slow" or done >= max_sweeps:
+            break
+        if not contradictory and before is not None and worst > before / 2:
+            rises = {t: now[f"risen_{t}"] for t in JUMPS}
+            best = max(rises, key=rises.get)
+            if rises[best] > 0:
+                jumped = F.when(F.col("weight") > 0, F.col("weight") * F.exp(best * F.col("growth")))
+                fitted = fitted.withColumn("weight", jumped.otherwise(0.0))
+        before = worst
+    if state != "met":
+        said = f"raking missed its targets ({state}) after {done} sweeps, by marginal {miss}"
+        if strict:
+            raise ValueError(said)
+        LOG.warning(said)
+    return fitted.select(
+        *cells.columns,
+        "weight",
+        F.lit(done).alias("sweeps"),
+        F.lit(state).alias("state"),
+        F.struct(*[F.lit(m).alias(d) for d, m in miss.items()]).alias("miss"),
+    )
 
 
 def with_probability(
@@ -129,7 +195,7 @@ def with_probability(
     text: str = "text",
 ) -> DataFrame:
     """Struct ``row`` with its categories, ``n_tokens``, ``factor``,
-    ``probability`` and ``kept``.
+    ``probability`` and ``kept``, and ``sweeps``, ``state`` and ``miss`` of the fit.
 
     ``dims`` names the marginals and gives their expressions over ``docs``;
     each has its targets as a table or as a power of the present shares.
@@ -146,7 +212,7 @@ def with_probability(
     }
     raked = rake(cells, goals, strict=False)
     factor = F.when(F.col("tokens") > 0, F.col("weight") / F.col("tokens")).otherwise(0.0)
-    factors = raked.select(*dims, factor.alias("factor"))
+    factors = raked.select(*dims, "sweeps", "state", "miss", factor.alias("factor"))
     factors = cut_lineage(
         factors.withColumn(
             "probability",
@@ -164,6 +230,9 @@ def with_probability(
         F.when(some, F.col("factor")).otherwise(0.0).alias("factor"),
         F.when(some, F.col("probability")).otherwise(0.0).alias("probability"),
         (some & (uniform(F.col("row")[id_col]) < F.col("probability"))).alias("kept"),
+        "sweeps",
+        "state",
+        "miss",
     )
 
 
