@@ -1,14 +1,15 @@
-"""Jaccard join of word n-grams through a MinHash LSH forest.
+"""Jaccard join of word n-grams through MinHash bands of a fixed depth.
 
 Every text is the set of its runs of five words.  Texts with equal sets are one
-class and only the smallest id of a class goes on.  A forest has ``TREES``
-trees; in each a text has a label of MinHash values, and the sorted labels are
-a prefix trie.  Two sets of similarity s share d values of a label with
-probability s ** d; prefixes are shortened from ``LONGEST`` values until a pair
-at the threshold meets in some tree with the wanted recall.
-
-Texts that share a prefix are candidates.  No pairs are written: each member of
-a trie node is tied to the node's smallest id, and the connected components of
+class and only the smallest id of a class goes on.  A text has ``TREES`` bands
+of MinHash values.  Two sets of similarity s share a band of d values with
+probability s ** d; d is the deepest, up to ``LONGEST``, with which a pair at
+the threshold shares some band with the wanted recall.  It is fixed by this
+formula before data is read: unlike an LSH forest there are no sorted prefixes,
+and nothing is shortened by what is found.
+
+Texts that share a band are candidates.  No pairs are written: each text with
+a band is tied to the smallest id with it, and the connected components of
 these ties hold all candidate pairs.  Inside a component every pair is verified
 on the exact sets.  A large component is dealt to blocks, and each task
 verifies one pair of blocks as matrix products; it returns a tree of the links
