@@ -300,6 +300,17 @@ def test_small_counts_lose_one():
     assert (less[0][values[has] + (1 << 15)] == lm.slot_values(n0[has] - 1, n1[has])).all()
 
 
+def test_rare_strings_count_beside_frequent_ones(spark):
+    often, last = 1 << 24, 97 << 40
+    rows = spark.range(0, 600_000, 1, 1).selectExpr(
+        f"CASE WHEN id = 1 THEN {195 << 40} ELSE {last} + id END AS string",
+        f"CASE WHEN id < 2 THEN {often}L ELSE 1L END AS n",
+    )
+    first = lm.slots(np.array([last], np.uint64), 0, lm.TABLE_BITS[0])[0]
+    want = lm.slot_values(np.array([often + 599_998]), np.array([often]))
+    assert lm.build_tables(rows)[0][first] == want
+
+
 # ---- mixing ----
 
 

@@ -225,18 +225,20 @@ def build_tables(strings: DataFrame) -> list[np.ndarray]:
     """Slot values of every order; only their bounded tables reach the driver."""
 
     def count(batches):
-        sums = [np.zeros((2, 1 << b), np.float32) for b in TABLE_BITS]
-        for batch in batches:
-            names, n = _columns(batch)
-            for order, bits in enumerate(TABLE_BITS):
+        parts = [_columns(batch) for batch in batches]
+        # One order after the other, so that whole numbers need no more memory.
+        for order, bits in enumerate(TABLE_BITS):
+            sums = np.zeros((2, 1 << bits), np.int64)
+            for names, n in parts:
                 for k, at in enumerate(slots(names, order, bits)):
                     one = choice(names, k) == 1
-                    np.add.at(sums[order][0], at[~one], n[~one].astype(np.float32))
-                    np.add.at(sums[order][1], at[one], n[one].astype(np.float32))
-        for order, both in enumerate(sums):
-            for block in range(-(-both.shape[1] // SLOT_BLOCK)):
-                part = both[:, block * SLOT_BLOCK : (block + 1) * SLOT_BLOCK]
+                    np.add.at(sums[0], at[~one], n[~one])
+                    np.add.at(sums[1], at[one], n[one])
+            for block in range(-(-sums.shape[1] // SLOT_BLOCK)):
+                part = sums[:, block * SLOT_BLOCK : (block + 1) * SLOT_BLOCK]
                 if part.any():
+                    # Four bytes a count where they hold it.
+                    part = part.astype("<u4") if part.max() < 1 << 32 else part
                     yield table(
                         _BLOCKS,
                         order=[order],
@@ -246,8 +248,9 @@ def build_tables(strings: DataFrame) -> list[np.ndarray]:
                     )
 
     def add(rows: pa.Table) -> pa.Table:
+        size = min(SLOT_BLOCK, 1 << TABLE_BITS[rows.column("order")[0].as_py()])
         total = [
-            sum(np.frombuffer(x, np.float32).astype(np.float64) for x in rows.column(c).to_pylist())
+            sum(np.frombuffer(x, f"<u{len(x) // size}").astype(np.int64) for x in rows.column(c).to_pylist())
             for c in ("zeros", "ones")
         ]
         values = slot_values(*total)
