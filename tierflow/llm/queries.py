@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tierflow.llm import (
+    bpe,
     fingerprints,
     langid,
     lm,
@@ -20,7 +21,7 @@ from tierflow.llm import (
     suffix,
     token_store,
 )
-from tierflow.llm.tables import documents, tokenizer_path
+from tierflow.llm.tables import documents, tokenizer_path, tokenizer_pattern
 from tierflow.runtime import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -145,6 +146,13 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles, keep=("doc_id", "held_out"))
 
 
+@query("op13_byte_bpe")
+def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ids of every document and what they decode to."""
+    path, pattern = tokenizer_path("byte_bpe_multi_50k.tiktoken"), tokenizer_pattern()
+    return bpe.digests(bpe.encode(documents(spark, sf_dir), path, pattern), path, pattern)
+
+
 CHECKS["op4_quality_rules"] = r"""
 WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
 w AS (

@@ -21,6 +21,13 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def tokenizer_pattern() -> str:
+    """The split pattern of the public rank files."""
+    import public_tokenizers
+
+    return public_tokenizers.PATTERN
+
+
 def pieces_for(total: float | None, each: int) -> int:
     """How many parts of about ``each`` units hold ``total``; at least one."""
     return max(1, -(-int(total or 0) // each))
