@@ -16,12 +16,14 @@ from tierflow.llm import (
     lsh_forest,
     mixing,
     packing,
+    prefix_trie,
     quality,
     sharding,
+    spelling,
     suffix,
     token_store,
 )
-from tierflow.llm.tables import documents, tokenizer_path, tokenizer_pattern
+from tierflow.llm.tables import conversations, documents, tokenizer_path, tokenizer_pattern
 from tierflow.runtime import shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -146,6 +148,18 @@ def op10_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, profiles, keep=("doc_id", "held_out"))
 
 
+@query("op11_conversation_trie")
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the prefix trie of all rebuilt conversations."""
+    return prefix_trie.prefix_trie(conversations(spark, sf_dir))
+
+
+@query("op12_spelling_variants")
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of all documents with their near words, forms and roots."""
+    return spelling.spelling_variants(documents(spark, sf_dir))
+
+
 @query("op13_byte_bpe")
 def op13_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids of every document and what they decode to."""
@@ -218,3 +232,79 @@ SELECT doc_id, d.source, d.lang, d.topic, n_tokens,
   n_tokens > 0 AND ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, 13))::BIGINT / 4503599627370496e0 < p AS kept
 FROM d JOIN f ON d.source = f.source AND d.lang = f.lang AND d.topic = f.topic
 """
+
+# crc32 over the UTF-8 bytes of a text, by the usual table of 256 values.
+CRC_TABLE = """(SELECT list(v ORDER BY i) AS tab FROM (
+  SELECT i, list_reduce(list_prepend(i, range(8)),
+    lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v
+  FROM range(256) r(i)))"""
+
+
+def crc_sql(text: str) -> str:
+    """SQL for the crc32 of a text; ``tab`` must be in scope."""
+    return f"""xor(4294967295, list_reduce(
+    list_prepend(4294967295, list_transform(range(strlen({text})),
+      lambda i: ('0x' || substr(hex({text}), (2 * i + 1)::INT, 2))::BIGINT)),
+    lambda c, b: xor(c >> 8, tab[xor(c & 255, b) + 1])))"""
+
+
+CHECKS["op11_conversation_trie"] = f"""
+WITH tab AS {CRC_TABLE},
+t AS (
+  SELECT conv_id, {{'role': coalesce(role, ''), 'text': coalesce(text, '')}} AS x,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i
+  FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id, list(x ORDER BY i) AS turns FROM t GROUP BY conv_id),
+b AS (SELECT conv_id, turns, {crc_sql("conv_id::VARCHAR")} % 9 AS h FROM o, tab),
+r AS (
+  SELECT b.conv_id, list_concat(coalesce(p.turns[1:b.h], []), b.turns[b.h + 1:]) AS s
+  FROM b LEFT JOIN o p ON p.conv_id = b.conv_id - b.conv_id % 5),
+v AS (
+  SELECT d, s[1:d] AS p, min(conv_id) AS conv_id, count(*) AS n_convs,
+    coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (len(s) = d), '') AS ends
+  FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM r) GROUP BY d, s[1:d]),
+k AS (SELECT d - 1 AS d, p[1:d - 1] AS p, count(*) AS n_children FROM v WHERE d > 0 GROUP BY 1, 2),
+u AS (
+  SELECT v.*, coalesce(n_children, 0) AS n_children,
+    CASE WHEN v.d = 0 THEN 0 ELSE (n_convs - 1) * strlen(v.p[v.d].text) END AS own
+  FROM v LEFT JOIN k ON k.d = v.d AND k.p = v.p),
+z AS (
+  SELECT a AS d, p[1:a] AS p, count(*) FILTER (n_children = 0) AS n_leaves, sum(own)::BIGINT AS saved_tokens
+  FROM (SELECT *, unnest(range(0, d + 1)) AS a FROM u) GROUP BY a, p[1:a])
+SELECT u.conv_id, u.d AS depth, q.conv_id AS parent_conv_id, u.n_convs, u.n_children, z.n_leaves,
+  z.saved_tokens, sha256(u.ends) AS ends_sha256
+FROM u JOIN z ON z.d = u.d AND z.p = u.p LEFT JOIN v q ON q.d = u.d - 1 AND q.p = u.p[1:u.d - 1]
+"""
+
+CHECKS["op12_spelling_variants"] = f"""
+WITH RECURSIVE tab AS {CRC_TABLE},
+r AS (
+  SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\u00C0-\u00FF]+')),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS w
+  FROM documents),
+c AS (SELECT id, w, id || ':' || w AS both_, count(*) AS k FROM r WHERE length(w) >= 6 GROUP BY ALL),
+g AS (SELECT w, k, {crc_sql("both_")} AS h FROM c, tab),
+m AS (
+  SELECT k, CASE WHEN h % 199 = 0 THEN left(w, (h % length(w))::INT) || substr(w, (h % length(w))::INT + 2)
+    ELSE w END AS word FROM g),
+v AS (SELECT word, sum(k)::BIGINT AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(k) >= 5),
+x AS (
+  SELECT word, n, i, left(word, (i - 1)::INT) || substr(word, (i + 1)::INT) AS e
+  FROM (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v)),
+p AS (
+  SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b
+    ON a.i = b.i AND a.e = b.e AND a.word <> b.word AND length(a.word) = length(b.word)
+  UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.e = v.word
+  UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.e = v.word),
+f AS (
+  SELECT word, v.n, count(near) AS n_near, arg_min(near, {{'a': -near_n, 'b': near}}) AS near, max(near_n) AS near_n
+  FROM v LEFT JOIN p USING (word) GROUP BY word, v.n),
+y AS (
+  SELECT word, CASE WHEN near_n >= 5 * n THEN near END AS form, n, n_near,
+    CASE WHEN near_n >= 5 * n THEN near_n END AS form_n FROM f),
+s AS (
+  SELECT word, word AS at, 0 AS i FROM y
+  UNION ALL SELECT s.word, y.form, i + 1 FROM s JOIN y ON y.word = s.at WHERE y.form IS NOT NULL)
+SELECT y.word, y.form, arg_max(s.at, s.i) AS root, y.n, y.n_near, y.form_n
+FROM y JOIN s ON s.word = y.word GROUP BY ALL
+"""
