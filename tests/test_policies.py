@@ -123,25 +123,30 @@ def plain_fit(moves, teachers, sweeps, gamma, bonus):
     return q
 
 
-def test_fitted_values(spark):
+@pytest.mark.parametrize("block_moves", [qpolicy.BLOCK_MOVES, 45])
+def test_fitted_values(spark, block_moves):
+    """The fixed point of a plain loop, from one block of states or many."""
     rng = random.Random(3)
-    names = ["0,0", "0,1", "1,0", "1,1"]
+    names = [f"{a},{b}" for a in range(4) for b in range(3)]
     teachers = {s: rng.choice(["mysql", "elk", "ipfs"]) for s in names}
     moves = [
         (rng.choice(names), rng.randrange(3), rng.uniform(-1, 1), rng.choice([*names, None]))
-        for _ in range(60)
+        for _ in range(150)
     ]
     df = spark.createDataFrame(moves, "state string, action int, reward double, next_state string")
     table = spark.createDataFrame(list(teachers.items()), "state string, teacher string")
-    q = qpolicy.fit_q(qpolicy.transition_counts(df), table, tolerance=1e-6)
+    counts = qpolicy.transition_counts(df)
+    q = qpolicy.fit_q(counts, table, tolerance=1e-6, block_moves=block_moves)
     got = {(r.state, r.action): r.q for r in q.collect()}
     expected = plain_fit(moves, teachers, 2_000, 0.98, 0.3)
     assert got.keys() == expected.keys()
     for pair, value in expected.items():
         assert got[pair] == pytest.approx(value, abs=1e-4)
     policy = {r.state: r.action for r in qpolicy.greedy_policy(q).collect()}
+    quick = qpolicy.fit_q(counts, table, block_moves=block_moves, policy_only=True)
+    early = {r.state: r.action for r in qpolicy.greedy_policy(quick).collect()}
     for s in names:
-        assert policy[s] == int(np.argmax([expected[s, a] for a in range(3)]))
+        assert policy[s] == early[s] == int(np.argmax([expected[s, a] for a in range(3)]))
 
 
 def test_policy_routes_known_states_and_falls_back(spark):
@@ -170,7 +175,7 @@ def test_values_that_do_not_settle_are_an_error(spark):
     q = qpolicy.fit_q(counts, teachers, tolerance=1e-6).where("action = 0").first()["q"]
     assert q == pytest.approx(50.0, abs=1e-4)
     with pytest.raises(RuntimeError):
-        qpolicy.fit_q(counts, teachers, gamma=1.0 - 1e-12, max_sweeps=8)
+        qpolicy.fit_q(counts, teachers, max_steps=1)
 
 
 def plain_plateau(values, window, patience, drop, least, start, end):

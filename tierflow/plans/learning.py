@@ -61,12 +61,12 @@ def log_steps(spark, directory):
     )
 
 
-def fit_tabular(spark, directory):
+def fit_tabular(spark, directory, policy_only=False):
     """Steps of all logs, and the values fitted on every measured outcome."""
     steps = log_steps(spark, directory)
     moves = qpolicy.transitions(steps, rewarded_logs(spark, directory))
     counts = qpolicy.transition_counts(moves)
-    return steps, qpolicy.fit_q(counts, qpolicy.teacher_by_state(steps))
+    return steps, qpolicy.fit_q(counts, qpolicy.teacher_by_state(steps), policy_only=policy_only)
 
 
 def q_decisions(steps, q):
@@ -288,12 +288,12 @@ def q_fit(spark, directory):
 
 @query("q_policy", check("SELECT state, action FROM q_policy", "q_policy"))
 def q_policy(spark, directory):
-    return qpolicy.greedy_policy(fit_tabular(spark, directory)[1])
+    return qpolicy.greedy_policy(fit_tabular(spark, directory, policy_only=True)[1])
 
 
 @query("route_q", check("SELECT log_id, state, raw AS raw_destination FROM q_route", "q_route"))
 def route_q(spark, directory):
-    return q_decisions(*fit_tabular(spark, directory))
+    return q_decisions(*fit_tabular(spark, directory, policy_only=True))
 
 
 @query(

@@ -749,7 +749,7 @@ def compare_routers(spark, directory):
     """All rule, adaptive and tabular routers over the same logs in one job."""
     logs, outcomes = tables.logs(spark, directory), tables.observations(spark, directory)
     model = cbr.fit_cbr(logs, outcomes)
-    steps, q = fit_tabular(spark, directory)
+    steps, q = fit_tabular(spark, directory, policy_only=True)
     rows = replay(
         logs,
         outcomes,
