@@ -37,6 +37,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -446,23 +447,26 @@ def remove_repeats(
     text: str = "text",
     block_bytes: int = BLOCK_BYTES,
     bucket_bytes: int = BUCKET_BYTES,
-    with_text: bool = False,
+    rewrite: bool = False,
 ) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of every row.
 
-    With text also ``h`` (the hash of the input text) and ``kept``: the bytes
-    that stay, without pieces of characters that were cut.
+    To rewrite, the rows of ``docs`` themselves, with the bytes that stay as
+    text, less pieces of characters that were cut; see ``without_repeats``.
     """
+    # Whole rows are dealt once, and every step reads that one exchange.
+    others = [docs[c].alias(f"_{i}") for i, c in enumerate(docs.columns) if rewrite and c != text]
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
         F.coalesce(docs[text], F.lit("")).alias("text"),
         F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("h"),
+        F.struct(docs[text].isNull().alias("none"), *others).alias("rest"),
     )
     total = rows.agg(F.sum(text_size(F.col("text")))).first()[0]
     blocks, buckets = pieces_for(total, block_bytes), pieces_for(total, bucket_bytes)
     # Rows that repeat an id part by text.
     block_of = F.pmod(F.xxhash64("doc_id", "h"), F.lit(blocks)).alias("block")
-    dealt = rows.select(block_of, "doc_id", "h", "text")
+    dealt = rows.select(block_of, "doc_id", "h", "text", "rest")
 
     marks = rows.filter(F.col("doc_id").isNotNull()).select(
         "doc_id", "h", block_of, F.md5(F.col("text").cast("binary")).alias("m")
@@ -545,13 +549,31 @@ def remove_repeats(
             ("n_removed", pa.int64()),
             ("n_spans", pa.int64()),
             ("kept_sha256", pa.string()),
-            *([("h", pa.int64()), ("kept", pa.string())] if with_text else []),
         ]
     )
+    result_ddl = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
+    names = docs.columns
+
+    def rewritten(block: Block, removed: np.ndarray, kept: list[bytes]) -> pa.Table:
+        """The rows of the block with shortened texts; rows that lost all of it go."""
+        rest = block.docs.column("rest").combine_chunks()
+        shorter = removed > 0
+        words = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
+        columns = []
+        for i, name in enumerate(names):
+            if name == text:
+                columns.append(pc.if_else(rest.field("none"), pa.scalar(None, pa.string()), words))
+            elif name == "n_chars":
+                was = rest.field(f"_{i}")
+                size = pc.utf8_length(words).cast(was.type)
+                columns.append(pc.if_else(pa.array(shorter), size, was))
+            else:
+                columns.append(rest.field(f"_{i}"))
+        stays = pa.array(~shorter | (pc.binary_length(words).to_numpy() > 0))
+        return pa.Table.from_arrays(columns, names=names).filter(stays)
 
     def remove(docs_: pa.Table, side: pa.Table) -> pa.Table:
-        if not docs_.num_rows:
-            return result.empty_table()
+        # A side row names a block of documents, so no group is without them.
         block = Block(docs_, copies_of(side), with_anchors=False)
         gone = covered(block, [r for r in side.to_pylist() if r["spans"]])
         sums = np.concatenate([[0], np.cumsum(gone)])
@@ -564,6 +586,8 @@ def remove_repeats(
         stays = block.data[~gone]
         bounds = block.offsets - sums[block.offsets]
         kept = [stays[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        if rewrite:
+            return rewritten(block, np.diff(sums[block.offsets]), kept)
         columns = {
             "doc_id": block.docs.column("doc_id"),
             "n_bytes": np.diff(block.offsets),
@@ -571,9 +595,6 @@ def remove_repeats(
             "n_spans": np.diff(begun[block.offsets]),
             "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
         }
-        if with_text:
-            columns["h"] = block.docs.column("h")
-            columns["kept"] = pa.array([k.decode("utf-8", "ignore") for k in kept], pa.string())
         return pa.Table.from_batches([table(result, **columns)])
 
     by_block = dealt.groupBy("block")
@@ -598,9 +619,7 @@ def remove_repeats(
         "texts",
     )
     return by_block.cogroup(spans.unionByName(whole).groupBy("block")).applyInArrow(
-        remove,
-        "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-        + ", h long, kept string" * with_text,
+        remove, docs.schema if rewrite else result_ddl
     )
 
 
@@ -610,28 +629,4 @@ def without_repeats(docs: DataFrame, id_col: str = "doc_id", text: str = "text")
     A row that had no text keeps it.  ``n_chars``, where the table has it, is
     counted anew.
     """
-    names = docs.columns
-    rows = docs.select(
-        F.struct(*[docs[c] for c in names]).alias("row"),
-        F.xxhash64(F.coalesce(docs[text], F.lit(""))).alias("h"),
-        docs[id_col].cast("long").alias("doc_id"),
-    )
-    cut = remove_repeats(docs, id_col, text, with_text=True).filter("n_removed > 0")
-    # Rows that repeat an id and a text have the same result.
-    cut = cut.select("doc_id", "h", "kept").dropDuplicates(["doc_id", "h"])
-    new = F.when(F.col("kept").isNull(), F.col("row")[text]).otherwise(F.col("kept"))
-    columns = []
-    for c in names:
-        if c == text:
-            columns.append(new.alias(c))
-        elif c == "n_chars":
-            kind = dict(docs.dtypes)[c]
-            size = F.when(F.col("kept").isNull(), F.col("row")[c]).otherwise(F.length("kept"))
-            columns.append(size.cast(kind).alias(c))
-        else:
-            columns.append(F.col("row")[c].alias(c))
-    return (
-        rows.join(cut, ["doc_id", "h"], "left")
-        .filter("kept IS NULL OR kept <> ''")
-        .select(*columns)
-    )
+    return remove_repeats(docs, id_col, text, rewrite=True)
