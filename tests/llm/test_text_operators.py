@@ -256,7 +256,7 @@ def test_merge_keeps_order_and_common_prefixes():
         lead = suffix.shared(part)
         tail = np.arange(suffix.LENGTH) >= lead[:, None]
         runs.append((lead.astype(np.uint8).tobytes(), part[tail].tobytes()))
-    order, common = suffix.merge_runs(runs)
+    order, common = (x.tolist() for x in suffix.merge_runs(runs))
     ordered = rows[suffix.row_order(rows)]
     assert common == suffix.shared(ordered).tolist()
     assert [order.count(i) for i in range(8)] == [len(p) for p in parts] + [0]

@@ -34,6 +34,7 @@ an empty table gives no rows; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -49,7 +50,7 @@ GRAM = 24
 BEFORE = LENGTH - GRAM
 # Text of a block, and text whose anchors one bucket sorts.
 BLOCK_BYTES = 8 << 20
-BUCKET_BYTES = 64 << 20
+BUCKET_BYTES = 32 << 20
 # Suffixes whose bytes are gathered at once.
 STRETCH = 1 << 14
 
@@ -290,7 +291,7 @@ def make_runs(block: Block, number: int, hashes: np.ndarray, buckets: int) -> li
 # ---- merge ----
 
 
-def read_run(shared_: bytes, rest: bytes):
+def read_run(shared_: memoryview, rest: memoryview):
     """(bytes shared with the one before, suffix as a number) of a run."""
     value, at = 0, 0
     for lead in shared_:
@@ -301,7 +302,7 @@ def read_run(shared_: bytes, rest: bytes):
         yield lead, value
 
 
-def merge_runs(runs: list[tuple[bytes, bytes]]) -> tuple[list[int], list[int]]:
+def merge_runs(runs: list[tuple[memoryview, memoryview]]) -> tuple[np.ndarray, np.ndarray]:
     """Run numbers in merged order, and bytes shared with the one before.
 
     A loser tree over the heads of the runs.  ``know[i]`` is how much head i
@@ -346,7 +347,7 @@ def merge_runs(runs: list[tuple[bytes, bytes]]) -> tuple[list[int], list[int]]:
             winners.append(best)
         round_ = winners
     best = round_[0]
-    order, common = [], []
+    order, common = array("i"), array("B")
     while know[best] >= 0:
         order.append(best)
         common.append(know[best])
@@ -365,29 +366,48 @@ def merge_runs(runs: list[tuple[bytes, bytes]]) -> tuple[list[int], list[int]]:
                 winner, loser = play(best, other)
                 losers[node], best = loser, winner
             node >>= 1
-    return order, common
+    return np.frombuffer(order, np.int32), np.frombuffer(common, np.uint8)
+
+
+def _parts(column: pa.ChunkedArray) -> tuple[memoryview, np.ndarray]:
+    """Bytes of all rows of a binary column, one after another, and their bounds."""
+    whole = column.combine_chunks().cast(pa.large_binary())
+    _, ends, data = whole.buffers()
+    bounds = np.frombuffer(ends, np.int64)[whole.offset : whole.offset + len(whole) + 1]
+    return memoryview(data or b""), bounds
 
 
 def removed_spans(bucket: pa.Table) -> list[dict]:
     """Spans of a bucket's suffixes that a smaller document has as well."""
-    rows = bucket.to_pylist()
-    out = [r for r in rows if r["spans"]]
-    runs = [r for r in rows if not r["spans"]]
-    if not runs:
+    is_span = bucket.column("spans")
+    out = bucket.filter(is_span).to_pylist()
+    runs = bucket.filter(pc.invert(is_span))
+    if not runs.num_rows:
         return out
-    order, common = merge_runs([(r["shared"], r["rest"]) for r in runs])
-    order, common = np.array(order), np.array(common)
-    size = np.array([r["n"] for r in runs])
+    # Columns are read where Arrow has them; a bucket may be large.
+    (lead, lead_at), (rest, rest_at) = _parts(runs.column("shared")), _parts(runs.column("rest"))
+    order, common = merge_runs(
+        [
+            (lead[lead_at[i] : lead_at[i + 1]], rest[rest_at[i] : rest_at[i + 1]])
+            for i in range(runs.num_rows)
+        ]
+    )
+    del lead, rest
+    size = runs.column("n").to_numpy()
     # The k-th time a run wins is its k-th suffix.
     seat = np.empty(len(order), np.int64)
     seat[np.argsort(order, kind="stable")] = np.arange(len(order))
-    joined = lambda name, kind: np.frombuffer(b"".join(r[name] for r in runs), kind)
-    before = joined("before", np.uint8).reshape(-1, BEFORE)[seat]
-    room = joined("room", np.uint8).reshape(-1, 2)[seat].astype(np.int64)
-    ids, doc = joined("ids", "<i8")[seat], joined("doc", "<i4")[seat]
-    at = joined("at", "<i8")[seat]
-    block = np.repeat([r["block"] for r in runs], size)[seat]
-    n = len(order)
+
+    def joined(name: str, kind: str, width: int = 1) -> np.ndarray:
+        data, bounds = _parts(runs.column(name))
+        flat = np.frombuffer(data[bounds[0] : bounds[-1]], kind)
+        return (flat.reshape(-1, width) if width > 1 else flat)[seat]
+
+    before, room = joined("before", "u1", BEFORE), joined("room", "u1", 2)
+    ids, doc, at = joined("ids", "<i8"), joined("doc", "<i4"), joined("at", "<i8")
+    block = np.repeat(runs.column("block").to_numpy(), size)[seat]
+    del runs, seat, order
+    n = len(common)
     by_left = row_order(before)
     left_shared = shared(before[by_left])
     low, high = np.full(n, LENGTH), np.full(n, -1)
