@@ -26,17 +26,12 @@ def measured(success: Column, routing: Column, write: Column, energy: Column) ->
     ]
 
 
-def trace(
-    decided: DataFrame, observations: DataFrame, router: str, dataset: Column | str
+def decision_rows(
+    decided: DataFrame, router: str, dataset: Column | str, extra: Sequence[str] = ()
 ) -> DataFrame:
-    """Full trace of one router.
-
-    ``decided`` carries ``raw_destination``, ``destination``, ``sensitive`` and
-    ``compliance_forced``.  The text columns stop here: only their byte count
-    goes through the join.
-    """
+    """What a trace keeps of decisions: texts stop here, only their size goes on."""
     name = dataset if isinstance(dataset, Column) else F.lit(dataset)
-    narrow = decided.select(
+    return decided.select(
         "log_id",
         F.lit(router).alias("router"),
         name.alias("dataset_name"),
@@ -45,7 +40,19 @@ def trace(
         "compliance_forced",
         payload_bytes(F.col("Content")).alias("payload_bytes"),
         "sensitive",
+        *extra,
     )
+
+
+def trace(
+    decided: DataFrame, observations: DataFrame, router: str, dataset: Column | str
+) -> DataFrame:
+    """Full trace of one router.
+
+    ``decided`` carries ``raw_destination``, ``destination``, ``sensitive`` and
+    ``compliance_forced``.
+    """
+    narrow = decision_rows(decided, router, dataset)
     extras = [c for c in ("proc_cpu_pct", "proc_rss_mb") if c in observations.columns]
     outcomes = observations.select("log_id", "destination", *MEASURES, *extras)
     joined = narrow.join(outcomes, ["log_id", "destination"], "left")

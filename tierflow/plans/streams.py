@@ -10,6 +10,7 @@ from tierflow.runtime import cut_lineage, fresh_folder
 from tierflow.schemas import LOG_COLUMNS
 from tierflow.sources import tables
 from tierflow.sources.tiers import read_tier, write_tier_shapes
+from tierflow.streaming.late_outcomes import late_trace, write_late_trace
 from tierflow.streaming.online_cbr import OnlineCbr
 from tierflow.streaming.route import mix_by_window, route_stream
 
@@ -44,6 +45,64 @@ def stream_trace(spark, directory):
     return rounded(spark.read.parquet(f"{folder}/trace").drop("batch_id"))
 
 
+LATE_SQL = """SELECT f.log_id, 'static' AS router, f.dataset_name, f.destination, f.static_dest AS raw_destination,
+  f.destination <> f.static_dest AS compliance_forced, (round(coalesce(o.routing_latency_ms, 0) + 1e-8, 6) + 0e0) AS routing_latency_ms,
+  (round(coalesce(o.backend_write_latency_ms, 1000) + 1e-8, 6) + 0e0) AS backend_write_latency_ms,
+  (round(coalesce(o.routing_latency_ms, 0) + coalesce(o.backend_write_latency_ms, 1000) + 1e-8, 6) + 0e0) AS total_latency_ms,
+  coalesce(o.success, FALSE) AS success, (round(coalesce(o.energy_cpu_pkg_j, 0) + 1e-8, 6) + 0e0) AS energy_cpu_pkg_j,
+  f.payload_bytes, f.sensitive, CAST(NULL AS DOUBLE) AS proc_cpu_pct, CAST(NULL AS DOUBLE) AS proc_rss_mb
+FROM (SELECT *, CASE WHEN sensitive THEN 'ipfs' ELSE static_dest END AS destination FROM flagged) f
+LEFT JOIN obs o ON o.log_id = f.log_id AND o.destination = f.destination AND f.log_id % 23 <> 0 AND f.log_id % 5 <> 4"""
+
+
+def measured_later(spark, directory):
+    """Outcomes with the time they were measured, up to 160 minutes after the log.
+
+    Those of every 23rd log were never measured.
+    """
+    times = tables.logs(spark, directory).select("log_id", F.col("ts").cast("timestamp").alias("ts"))
+    delay = F.make_dt_interval(mins=(F.col("log_id") % 5 * 40).cast("int"))
+    return (
+        tables.observations(spark, directory)
+        .where("log_id % 23 <> 0")
+        .join(times, "log_id")
+        .withColumn("measured_at", F.col("ts") + delay)
+        .drop("ts")
+    )
+
+
+@query("stream_late_trace", check(LATE_SQL, "flagged", "obs"))
+def stream_late_trace(spark, directory):
+    """Trace of decisions whose outcomes arrive a step later, too late, or never.
+
+    The last step closes the streams with a row of each far in the future, so
+    that the watermark passes every decision.
+    """
+    folder = fresh_folder(spark, "late")
+    logs = tables.logs(spark, directory).withColumn("ts", F.col("ts").cast("timestamp"))
+    decided = cut_lineage(routing.apply_compliance(routing.route_static(logs)))
+    outcomes = cut_lineage(measured_later(spark, directory))
+    low, high = decided.agg(F.min("log_id"), F.max("log_id")).first()
+    slices = F.floor((F.col("log_id") - F.lit(low)) * PARTS / F.lit((high or 0) - (low or 0) + 1))
+    end = F.lit("2999-01-01").cast("timestamp")
+    close_logs = decided.limit(1).withColumns({"log_id": F.lit(-1).cast("long"), "ts": end})
+    close_outcomes = outcomes.limit(1).withColumns({"log_id": F.lit(-2).cast("long"), "measured_at": end})
+    paths = f"{folder}/in/logs", f"{folder}/in/outcomes"
+    for step in range(PARTS + 2):
+        come = decided.where(slices == step), outcomes.where(slices == step - 1)
+        if step == PARTS + 1:
+            come = close_logs, close_outcomes
+        for rows, path in zip(come, paths, strict=True):
+            rows.write.mode("append").parquet(path)
+        streams = [
+            spark.readStream.schema(rows.schema).parquet(path)
+            for rows, path in zip((decided, outcomes), paths, strict=True)
+        ]
+        rows = late_trace(*streams, "static", F.col("LogSource"))
+        write_late_trace(rows, f"{folder}/trace", f"{folder}/checkpoint").awaitTermination()
+    return rounded(spark.read.schema(rows.schema).parquet(f"{folder}/trace").where("log_id >= 0"))
+
+
 TIERS_SQL = """SELECT CASE WHEN sensitive THEN 'ipfs' ELSE static_dest END AS destination, count(*) AS logs,
   CAST(sum(payload_bytes) AS BIGINT) AS payload_bytes FROM flagged GROUP BY 1"""
 
