@@ -133,3 +133,82 @@ def test_dump_modes(spark, tmp_path):
     assert not (tmp_path / "none").exists()
     with pytest.raises(ValueError):
         dump_diagnostics("x", mode="other")
+
+
+def test_intervals_are_a_loop_over_slices(spark, tmp_path):
+    """Two batches in intervals of 37 logs against one step per interval."""
+    logs = tables.logs(spark, SMALL).limit(200).orderBy("log_id").persist()
+    outcomes = tables.observations(spark, SMALL)
+    settings = dict(counterfactual=True, sample_prob=0.3, warm_samples=60, strict_warmup=True)
+    ids = [r[0] for r in logs.select("log_id").collect()]
+    batches = [ids[:120], ids[120:]]
+    loop = OnlineCbr(out=str(tmp_path / "loop"), **settings)
+    expected, number = {}, 0
+    for batch in batches:
+        for i in range(0, len(batch), 37):
+            rows = logs.where(F.col("log_id").isin(batch[i : i + 37]))
+            decided, _ = loop.step(rows, outcomes, number)
+            expected |= {r.log_id: r.raw_destination for r in decided.collect()}
+            number += 1
+    router = OnlineCbr(out=str(tmp_path / "once"), interval=37, **settings)
+    found = {}
+    for k, batch in enumerate(batches):
+        decided, _ = router.step(logs.where(F.col("log_id").isin(batch)), outcomes, k)
+        found |= {r.log_id: r.raw_destination for r in decided.collect()}
+    assert found == expected
+    assert len(set(found.values())) > 1
+    ends = [
+        {
+            (r.attr, r.bucket, r.destination): (r.n, pytest.approx(r.mean), pytest.approx(r.m2, abs=1e-6))
+            for r in cbr.load_state(spark, path).collect()
+        }
+        for path in (router.state_path(1), loop.state_path(number - 1))
+    ]
+    assert ends[0].keys() == ends[1].keys()
+    assert all(ends[0][k][0] == ends[1][k][0] for k in ends[0])
+    logs.unpersist()
+
+
+def test_intervals_need_all_outcomes(tmp_path):
+    with pytest.raises(ValueError):
+        OnlineCbr(out=str(tmp_path), interval=200)
+
+
+def test_late_outcomes(spark, tmp_path):
+    """Late, repeated, too late and missing outcomes, in three steps of files."""
+    from tierflow.streaming.late_outcomes import late_trace, write_late_trace
+
+    def at(minute):
+        return f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+
+    decided = [(i, at(i), "mysql", "mysql", False, "text", False) for i in range(1, 7)]
+    names = "log_id long, ts string, destination string, raw_destination string, compliance_forced boolean, Content string, sensitive boolean"
+    measured = [
+        (1, "mysql", True, 1.0, 2.0, 0.1, at(1)),
+        (2, "mysql", True, 1.0, 3.0, 0.1, at(50)),
+        (2, "mysql", True, 1.0, 3.0, 0.1, at(50)),
+        (3, "elk", True, 1.0, 4.0, 0.1, at(5)),
+        (4, "mysql", False, 1.0, 5.0, 0.1, at(4 + 61)),
+        (5, "mysql", False, None, 6.0, None, at(5 + 60)),
+    ]
+    far = [(-1, "2099-01-01 00:00:00", "mysql", "mysql", False, "", False)]
+    far_measured = [(-2, "mysql", True, 1.0, 1.0, 0.1, "2099-01-01 00:00:00")]
+    kinds = "log_id long, destination string, success boolean, routing_latency_ms double, backend_write_latency_ms double, energy_cpu_pkg_j double, measured_at string"
+    left, right = str(tmp_path / "left"), str(tmp_path / "right")
+    for logs, outcomes in ((decided, []), ([], measured), (far, far_measured)):
+        a = spark.createDataFrame(logs, names).withColumn("ts", F.col("ts").cast("timestamp"))
+        b = spark.createDataFrame(outcomes, kinds).withColumn("measured_at", F.col("measured_at").cast("timestamp"))
+        a.write.mode("append").parquet(left)
+        b.write.mode("append").parquet(right)
+        streams = [spark.readStream.schema(d.schema).parquet(p) for d, p in ((a, left), (b, right))]
+        rows = late_trace(*streams, "static", "set", within="1 hour", disorder="2 hours")
+        write_late_trace(rows, str(tmp_path / "out"), str(tmp_path / "point")).awaitTermination()
+    kept = spark.read.parquet(str(tmp_path / "out")).where("log_id > 0").orderBy("log_id").collect()
+    assert [(r.log_id, r.success, r.backend_write_latency_ms) for r in kept] == [
+        (1, True, 2.0),
+        (2, True, 3.0),
+        (3, False, 1000.0),
+        (4, False, 1000.0),
+        (5, False, 6.0),
+        (6, False, 1000.0),
+    ]

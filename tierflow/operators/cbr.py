@@ -68,10 +68,12 @@ def bucket_stats(
     metric: str = "latency",
     latency_weight: float = LATENCY_WEIGHT,
     energy_weight: float = ENERGY_WEIGHT,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Count, mean and squares about the mean of cost by attribute, bucket, tier.
 
-    A value shared by most logs is combined before the shuffle.
+    A value shared by most logs is combined before the shuffle.  ``by`` names
+    columns that keep statistics apart, here and in the functions below.
     """
     cost = routing_cost(
         metric,
@@ -87,8 +89,8 @@ def bucket_stats(
         ]
     )
     return (
-        outcomes.select("destination", cost.alias("_cost"), F.explode(pairs).alias("_pair"))
-        .groupBy("_pair.attr", "_pair.bucket", "destination")
+        outcomes.select(*by, "destination", cost.alias("_cost"), F.explode(pairs).alias("_pair"))
+        .groupBy(*by, "_pair.attr", "_pair.bucket", "destination")
         .agg(
             F.count("_cost").alias("n"),
             F.avg("_cost").alias("mean"),
@@ -124,13 +126,13 @@ def pooled(stats: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def expected_costs(stats: DataFrame) -> DataFrame:
+def expected_costs(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     return stats.where("n > 0").select(
-        "attr", "bucket", "destination", F.col("mean").alias("mean_cost")
+        *by, "attr", "bucket", "destination", F.col("mean").alias("mean_cost")
     )
 
 
-def attribute_scores(stats: DataFrame) -> DataFrame:
+def attribute_scores(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Share of the cost variance that each attribute's buckets explain.
 
     Every attribute has seen every sample, so each one's own totals give the
@@ -138,48 +140,50 @@ def attribute_scores(stats: DataFrame) -> DataFrame:
     sample once per attribute.
     """
     usable = F.col("n") >= 2
-    per_bucket = pooled(stats, ["attr", "bucket"])
-    within = per_bucket.groupBy("attr").agg(
+    per_bucket = pooled(stats, [*by, "attr", "bucket"])
+    within = per_bucket.groupBy(*by, "attr").agg(
         F.sum(F.when(usable, F.col("m2"))).alias("_within"),
         F.sum(F.when(usable, F.col("n")).otherwise(0)).alias("_used"),
     )
     overall = F.col("m2") / F.col("n")
     return (
-        pooled(per_bucket, ["attr"])
-        .join(within, "attr")
+        pooled(per_bucket, [*by, "attr"])
+        .join(within, [*by, "attr"])
         .where(F.col("n") * len(CBR_ATTRIBUTES) >= MIN_SAMPLES)
         .where((overall > MIN_VARIANCE) & (F.col("_used") >= MIN_SAMPLES))
         .select(
+            *by,
             "attr",
             (F.greatest(F.lit(0.0), overall - F.col("_within") / F.col("_used")) / overall).alias("score"),
         )
     )
 
 
-def classifier_attribute(scores: DataFrame) -> DataFrame:
+def classifier_attribute(scores: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row: the best attribute, null if none qualifies."""
     order = F.struct("score", (-attribute_rank(F.col("attr"))).alias("rank"))
-    return scores.agg(F.max_by("attr", order).alias("classifier"))
+    return scores.groupBy(*by).agg(F.max_by("attr", order).alias("classifier"))
 
 
-def cheapest_by_bucket(stats: DataFrame) -> DataFrame:
+def cheapest_by_bucket(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Cheapest tier of each attribute bucket; ties go to the earlier tier."""
     order = F.struct("mean_cost", tier_rank(F.col("destination")).alias("rank"))
     return (
-        expected_costs(stats)
-        .groupBy("attr", "bucket")
+        expected_costs(stats, by)
+        .groupBy(*by, "attr", "bucket")
         .agg(F.min_by("destination", order).alias("best_destination"))
     )
 
 
-def global_best(stats: DataFrame) -> DataFrame:
+def global_best(stats: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """One row: the tier with the lowest mean cost over all samples."""
     first = CBR_ATTRIBUTES[0]
     order = F.struct("mean_cost", tier_rank(F.col("destination")).alias("rank"))
     return (
         stats.where(F.col("attr") == first)
-        .groupBy("destination")
+        .groupBy(*by, "destination")
         .agg((F.sum(F.col("n") * F.col("mean")) / F.sum("n")).alias("mean_cost"))
+        .groupBy(*by)
         .agg(F.min_by("destination", order).alias("best_destination"))
     )
 

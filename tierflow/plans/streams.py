@@ -16,6 +16,8 @@ from tierflow.streaming.route import mix_by_window, route_stream
 
 
 PARTS = 4
+# Decisions between two scorings, as the live router has it.
+INTERVAL = 200
 
 
 def routed_stream(spark, directory):
@@ -173,68 +175,72 @@ def stream_windows(spark, directory):
 
 
 # ---- online adaptive router, one micro-batch per step of arriving files -----
-part(
-    "epoch_logs",
-    f"""SELECT *, floor((log_id - (SELECT min(log_id) FROM logs)) * {PARTS}
-    / ((SELECT max(log_id) - min(log_id) FROM logs) + 1)) AS epoch FROM logs""",
-    "logs",
-)
-part(
-    "epoch_rows",
-    "SELECT k, r.attr, r.bucket, r.destination, r.cost FROM ("
-    + "\nUNION ALL ".join(
-        f"SELECT l.epoch, '{a}' AS attr, {bucket('l.' + a)} AS bucket, o.destination, o.backend_write_latency_ms AS cost"
-        " FROM epoch_logs l JOIN cbr_logs s ON l.log_id = s.log_id JOIN outcomes o ON l.log_id = o.log_id"
-        for a in ("Level", "Component", "LogSource")
+def interval_parts(name, numbered):
+    """SQL parts of the adaptive router before each interval ``k`` of numbered logs."""
+    part(f"{name}_logs", numbered, "logs")
+    part(
+        f"{name}_rows",
+        "SELECT k, r.attr, r.bucket, r.destination, r.cost FROM ("
+        + "\nUNION ALL ".join(
+            f"SELECT l.epoch, '{a}' AS attr, {bucket('l.' + a)} AS bucket, o.destination, o.backend_write_latency_ms AS cost"
+            f" FROM {name}_logs l JOIN cbr_logs s ON l.log_id = s.log_id JOIN outcomes o ON l.log_id = o.log_id"
+            for a in ("Level", "Component", "LogSource")
+        )
+        + f") r JOIN (SELECT DISTINCT epoch AS k FROM {name}_logs) ON r.epoch < k",
+        f"{name}_logs",
+        "cbr_logs",
+        "outcomes",
+    )
+    part(
+        f"{name}_scored",
+        f"""SELECT w.k, w.attr, greatest(0e0, g.v - sum(w.n * w.v) / sum(w.n)) / g.v AS score
+      FROM (SELECT k, attr, bucket, count(*) AS n, var_pop(cost) AS v FROM {name}_rows GROUP BY ALL) w
+      JOIN (SELECT k, count(*) AS n, var_pop(cost) AS v FROM {name}_rows WHERE attr = 'Level' GROUP BY k) g ON w.k = g.k
+      WHERE w.n >= 2 AND 3 * g.n >= 5 AND g.v > 1e-9 GROUP BY w.k, w.attr, g.v HAVING sum(w.n) >= 5""",
+        f"{name}_rows",
+    )
+    part(
+        f"{name}_choice",
+        f"""SELECT k, attr FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC,
+      CASE attr WHEN 'Level' THEN 1 WHEN 'Component' THEN 2 ELSE 3 END) AS r FROM {name}_scored) WHERE r = 1""",
+        f"{name}_scored",
+    )
+    part(
+        f"{name}_policy",
+        f"""SELECT k, attr, bucket, destination FROM (SELECT k, attr, bucket, destination, row_number() OVER (PARTITION BY k, attr, bucket
+      ORDER BY avg(cost), {RANK.format('destination')}) AS r FROM {name}_rows GROUP BY k, attr, bucket, destination) WHERE r = 1""",
+        f"{name}_rows",
+    )
+    part(
+        f"{name}_overall",
+        f"""SELECT k, destination FROM (SELECT k, destination, row_number() OVER (PARTITION BY k
+      ORDER BY avg(cost), {RANK.format('destination')}) AS r FROM {name}_rows WHERE attr = 'Level' GROUP BY k, destination) WHERE r = 1""",
+        f"{name}_rows",
     )
-    + ") r JOIN (VALUES (1), (2), (3)) AS t(k) ON r.epoch < k",
-    "epoch_logs",
-    "cbr_logs",
-    "outcomes",
-)
-part(
-    "epoch_scored",
-    """SELECT w.k, w.attr, greatest(0e0, g.v - sum(w.n * w.v) / sum(w.n)) / g.v AS score
-  FROM (SELECT k, attr, bucket, count(*) AS n, var_pop(cost) AS v FROM epoch_rows GROUP BY ALL) w
-  JOIN (SELECT k, count(*) AS n, var_pop(cost) AS v FROM epoch_rows WHERE attr = 'Level' GROUP BY k) g ON w.k = g.k
-  WHERE w.n >= 2 AND 3 * g.n >= 5 AND g.v > 1e-9 GROUP BY w.k, w.attr, g.v HAVING sum(w.n) >= 5""",
-    "epoch_rows",
-)
-part(
-    "epoch_choice",
-    """SELECT k, attr FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC,
-  CASE attr WHEN 'Level' THEN 1 WHEN 'Component' THEN 2 ELSE 3 END) AS r FROM epoch_scored) WHERE r = 1""",
-    "epoch_scored",
-)
-part(
-    "epoch_policy",
-    f"""SELECT k, attr, bucket, destination FROM (SELECT k, attr, bucket, destination, row_number() OVER (PARTITION BY k, attr, bucket
-  ORDER BY avg(cost), {RANK.format('destination')}) AS r FROM epoch_rows GROUP BY k, attr, bucket, destination) WHERE r = 1""",
-    "epoch_rows",
-)
-part(
-    "epoch_overall",
-    f"""SELECT k, destination FROM (SELECT k, destination, row_number() OVER (PARTITION BY k
-  ORDER BY avg(cost), {RANK.format('destination')}) AS r FROM epoch_rows WHERE attr = 'Level' GROUP BY k, destination) WHERE r = 1""",
-    "epoch_rows",
-)
 
 
-@query(
-    "online_cbr",
-    check(
-        f"""SELECT l.log_id, CAST(l.epoch AS INT) AS epoch, coalesce(p.destination, g.destination, l.static_dest) AS raw_destination
-FROM (SELECT *, {STATIC} AS static_dest FROM epoch_logs) l
-LEFT JOIN epoch_choice c ON c.k = l.epoch
-LEFT JOIN epoch_policy p ON p.k = l.epoch AND p.attr = c.attr AND p.bucket = CASE c.attr
+def interval_sql(name):
+    return f"""SELECT l.log_id, CAST(l.epoch AS INT) AS epoch, coalesce(p.destination, g.destination, l.static_dest) AS raw_destination
+FROM (SELECT *, {STATIC} AS static_dest FROM {name}_logs) l
+LEFT JOIN {name}_choice c ON c.k = l.epoch
+LEFT JOIN {name}_policy p ON p.k = l.epoch AND p.attr = c.attr AND p.bucket = CASE c.attr
   WHEN 'Level' THEN {bucket('l.Level')} WHEN 'Component' THEN {bucket('l.Component')} ELSE {bucket('l.LogSource')} END
-LEFT JOIN epoch_overall g ON g.k = l.epoch""",
-        "epoch_logs",
-        "epoch_choice",
-        "epoch_policy",
-        "epoch_overall",
-    ),
+LEFT JOIN {name}_overall g ON g.k = l.epoch"""
+
+
+def interval_check(name):
+    return check(interval_sql(name), *[f"{name}_{p}" for p in ("logs", "choice", "policy", "overall")])
+
+
+interval_parts(
+    "epoch",
+    f"""SELECT *, floor((log_id - (SELECT min(log_id) FROM logs)) * {PARTS}
+    / ((SELECT max(log_id) - min(log_id) FROM logs) + 1)) AS epoch FROM logs""",
 )
+interval_parts("slice", f"SELECT *, (row_number() OVER (ORDER BY log_id) - 1) // {INTERVAL} AS epoch FROM logs")
+
+
+@query("online_cbr", interval_check("epoch"))
 def online_cbr(spark, directory):
     """Each micro-batch routed with the statistics of those before it."""
     folder = fresh_folder(spark, "online")
@@ -246,6 +252,19 @@ def online_cbr(spark, directory):
     return decided.select("log_id", F.col("batch_id").cast("int").alias("epoch"), "raw_destination")
 
 
+@query("online_intervals", interval_check("slice"))
+def online_intervals(spark, directory):
+    """One batch routed in intervals of 200 decisions, each with the state before it."""
+    folder = fresh_folder(spark, "online")
+    router = OnlineCbr(out=folder, counterfactual=True, interval=INTERVAL)
+    events = tables.table_stream(spark, directory, "events")
+    router.start(
+        tables.as_logs(events), tables.observations(spark, directory), f"{folder}/checkpoint"
+    ).awaitTermination()
+    decided = spark.read.parquet(f"{folder}/decisions")
+    return decided.select("log_id", F.col("slice").cast("int").alias("epoch"), "raw_destination")
+
+
 @query(
     "online_resumed",
     check(

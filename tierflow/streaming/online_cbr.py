@@ -1,8 +1,9 @@
-"""The adaptive router on a stream: one micro-batch is one scoring interval.
+"""The adaptive router on a stream.
 
 Between two scorings the live router is a frozen lookup.  A batch therefore
 routes with the state left by the batch before, then adds its own sampled
-outcomes to the statistics and stores them under its id.
+outcomes to the statistics and stores them under its id.  A scoring interval is
+one micro-batch, or a number of decisions where every tier's outcome is seen.
 """
 
 from collections.abc import Callable
@@ -28,7 +29,9 @@ from tierflow.operators.cbr import (
 )
 from tierflow.operators.routing import apply_compliance
 from tierflow.operators.trace import outcomes_of, outcomes_within
+from tierflow.runtime import cut_lineage
 from tierflow.schemas import CBR_ATTRIBUTES
+from tierflow.streaming.intervals import route_slices, slice_stats, sliced, states_before
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,8 @@ class OnlineCbr:
 
     ``counterfactual`` learns from the outcome at every tier; otherwise only
     the tier a log went to is seen, as in a live system.  ``strict_warmup``
-    holds the classifier back until enough samples were taken.
+    holds the classifier back until enough samples were taken.  ``interval`` is
+    the number of decisions between two scorings; None scores once a batch.
     """
 
     out: str
@@ -50,6 +54,12 @@ class OnlineCbr:
     compliance: bool = False
     start_state: str | None = None
     seed: str = "cbr"
+    interval: int | None = None
+
+    def __post_init__(self):
+        if self.interval is not None and not self.counterfactual:
+            # What an interval learns would hang on how the one before was routed.
+            raise ValueError("intervals need the outcome at every tier")
 
     def state_path(self, batch_id: int) -> str:
         return f"{self.out}/state/batch_id={batch_id}"
@@ -73,6 +83,8 @@ class OnlineCbr:
     ) -> tuple[DataFrame, CbrModel]:
         """Decisions of one batch; stores the state after it."""
         spark = batch.sparkSession
+        if self.interval is not None:
+            return self.sliced_step(batch, observations, batch_id)
         model = self.model(self.state_before(spark, batch_id))
         decided = apply_compliance(model.route(batch), self.compliance)
         drawn = hash_sample(self.sample_prob, self.seed, F.col("log_id"))
@@ -87,6 +99,27 @@ class OnlineCbr:
         save_state(merged, self.num_buckets, self.state_path(batch_id))
         return decided, model
 
+    def sliced_step(
+        self, batch: DataFrame, observations: DataFrame, batch_id: int
+    ) -> tuple[DataFrame, CbrModel]:
+        """The same with a state for every interval of the batch."""
+        spark = batch.sparkSession
+        model = self.model(self.state_before(spark, batch_id))
+        logs = sliced(batch, self.interval)
+        last = logs.agg(F.max("slice")).first()[0]
+        drawn = hash_sample(self.sample_prob, self.seed, F.col("log_id"))
+        sampled = logs.where(drawn).select("log_id", "slice", *CBR_ATTRIBUTES)
+        seen = outcomes_of(sampled, observations.where(drawn))
+        stats = cut_lineage(slice_stats(seen, self.num_buckets, self.metric))
+        states = states_before(model.stats, stats, 0 if last is None else last + 1)
+        least = self.warm_samples if self.strict_warmup else 0
+        decided = apply_compliance(
+            route_slices(logs, states, self.num_buckets, least), self.compliance
+        )
+        merged = merge_stats(model.stats, stats.drop("slice"))
+        save_state(merged, self.num_buckets, self.state_path(batch_id))
+        return decided, model
+
     def start(
         self,
         logs: DataFrame,
