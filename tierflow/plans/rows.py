@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tierflow.functions import text
-from tierflow.operators import cbr, choices, routing, sampling
+from tierflow.operators import cbr, choices, patterns, routing, sampling
 from tierflow.operators.trace import trace
 from tierflow.plans.registry import query, rounded
 from tierflow.plans.sql import (
@@ -282,10 +282,10 @@ def pattern_merge(spark, directory):
         .when(code == 1, " Token")
         .otherwise(F.col("props"))
     )
-    patterns = tables.table(spark, directory, "events").select(
+    given_patterns = tables.table(spark, directory, "events").select(
         F.col("event_id").alias("ord"), given.alias("pattern")
     )
-    return text.merge_pattern_table(patterns)
+    return text.merge_pattern_table(given_patterns)
 
 
 @query("sensitive_flag", check(f"SELECT log_id, {SENSITIVE} AS sensitive FROM logs", "logs"))
@@ -308,6 +308,51 @@ def pattern_hits(spark, directory):
     return hits.groupBy("pattern").agg(F.count("*").alias("logs"))
 
 
+# A table of one pattern per customer, in changing case, next to short and odd ones.
+TABLE_PATTERNS = """SELECT CASE WHEN c_custkey % 2 = 0 THEN 'User ' ELSE 'by user ' END || CAST(c_custkey AS VARCHAR) || ' {' AS p
+  FROM customer UNION ALL SELECT 'sessionid=' || CAST(c_custkey AS VARCHAR) FROM customer
+  UNION ALL SELECT n_name FROM nation UNION ALL SELECT t FROM (VALUES ('%'), ('7'), ('"k'), ('denied'), ('')) AS v(t)"""
+
+
+def pattern_table(spark, directory):
+    key = F.col("c_custkey").cast("string")
+    customers = tables.table(spark, directory, "customer")
+    start = F.when(F.col("c_custkey") % 2 == 0, "User ").otherwise("by user ")
+    rows = customers.select(F.concat(start, key, F.lit(" {")).alias("pattern"))
+    rows = rows.unionByName(customers.select(F.concat(F.lit("sessionid="), key).alias("pattern")))
+    rows = rows.unionByName(tables.table(spark, directory, "nation").select(F.col("n_name").alias("pattern")))
+    odd = spark.createDataFrame([("%",), ("7",), ('"k',), ("denied",), ("",)], "pattern string")
+    return rows.unionByName(odd)
+
+
+@query(
+    "pattern_table_hits",
+    check(
+        f"""SELECT p AS pattern, count(*) AS logs FROM logs JOIN (SELECT min(p) AS p FROM ({TABLE_PATTERNS}) WHERE p <> ''
+  GROUP BY lower(p)) ON contains({TEXT}, lower(p)) GROUP BY p""",
+        "logs",
+    ),
+)
+def pattern_table_hits(spark, directory):
+    """Logs of each pattern of a table with two patterns per customer."""
+    hits = patterns.pattern_matches(tables.logs(spark, directory), pattern_table(spark, directory))
+    return hits.groupBy("pattern").agg(F.count("*").alias("logs"))
+
+
+@query(
+    "sensitive_by_table",
+    check(
+        f"""SELECT log_id, lower(coalesce(Level, '')) IN ('error', 'crit', 'alert', 'emerg') OR EXISTS (
+  SELECT 1 FROM ({TABLE_PATTERNS}) WHERE length(p) > 2 AND contains({TEXT}, lower(p))) AS sensitive FROM logs""",
+        "logs",
+    ),
+)
+def sensitive_by_table(spark, directory):
+    """Compliance predicate with the longer patterns of the table."""
+    longer = pattern_table(spark, directory).where("length(pattern) > 2")
+    return patterns.flag_by_table(tables.logs(spark, directory), longer).select("log_id", "sensitive")
+
+
 @query("sensitive_rl", check(f"SELECT log_id, {SENSITIVE_RL} AS sensitive FROM logs", "logs"))
 def sensitive_rl(spark, directory):
     return tables.logs(spark, directory).select(

@@ -10,6 +10,8 @@ SCHEMAS = {
     "documents": "doc_id long, text string, lang string, source string, n_chars long",
     "embeddings": "vec_id long, embedding array<float>, label int",
     "labels": "doc_id long, quality int, toxic int",
+    "customer": "c_custkey long, c_name string",
+    "nation": "n_nationkey int, n_name string",
 }
 
 
