@@ -1,5 +1,6 @@
 """Token files, packing, sharding, scores, mixing and the pipeline."""
 
+import random
 import zlib
 from collections import Counter, defaultdict
 from pathlib import Path
@@ -23,7 +24,6 @@ WORDS_49K, BYTES_50K = tokenizer_path("word_bpe_49k.json"), tokenizer_path("byte
 
 def encoded(path, rows, end):
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True
     return [
         (i, [*tokenizer.encode(t or "", add_special_tokens=False).ids, end]) for i, t in rows
     ]
@@ -416,3 +416,15 @@ def test_pipeline_awkward(spark, awkward, empty):
             docs = stage(spark, docs, "")
             assert docs.columns == start.columns
         corpus_pipeline.STAGES[-1][1](spark, docs, "").collect()
+
+
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_ids_are_the_librarys_on_special_names(name):
+    """Parts encoded one by one against whole texts, names of special tokens among them."""
+    parts = [" ", "  ", "\n", "\t", "a", "Hello", "<|endoftext|>", "<|startoftext|>", "<|", "|>", "é", "'s", "1", "!", "\u00a0"]
+    rng = random.Random(1)
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(12))) for _ in range(1000)]
+    library = Tokenizer.from_file(tokenizer_path(name))
+    ids, bounds = Encoder(tokenizer_path(name)).encode(pa.array(texts))
+    for i, text in enumerate(texts):
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids

@@ -3,7 +3,8 @@
 Both public BPE vocabularies used here split a text before merging, and never
 inside a run of other characters than white space.  A text is therefore cut at
 the start of every run of white space that follows another character; the ids
-of the parts, one after another, are the ids of the text.  Equal parts of a
+of the parts, one after another, are the ids of the text.  Names of special
+tokens hold no white space and get the ids that the library gives them.  Equal parts of a
 batch are found by Arrow and encoded once; a bounded cache in the worker keeps
 them for later batches.
 """
@@ -56,8 +57,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        # Names of special tokens inside a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
         self.known: dict[bytes, bytes] = {}
 
     def _parts(self, parts: list[bytes]) -> list[bytes]:
