@@ -21,6 +21,7 @@ from tierflow.schemas import CBR_ATTRIBUTES, LOG_COLUMNS
 from tierflow.runtime import fresh_folder
 from tierflow.sources import results, tables, tiers
 from tierflow.sources.logs import LINE_BITS, read_logs
+from tierflow.sources.mixed import read_mixed
 
 NAMESPACE = "hashed-words|whole-text"
 
@@ -55,6 +56,47 @@ def scan_log_files(spark, directory):
     return rows.select(original, F.col("log_id").alias("scanned_id"), *others)
 
 
+LACKED = ("Node", "EventTemplate")
+
+
+@query(
+    "scan_mixed_files",
+    check(
+        "SELECT log_id, 'read' AS outcome, "
+        + ", ".join(
+            f"CASE WHEN log_id % 3 = 2 THEN '' ELSE coalesce({c}, '') END AS {c}" if c in LACKED else f"coalesce({c}, '') AS {c}"
+            for c in LOG_COLUMNS
+        )
+        + " FROM logs UNION ALL SELECT NULL, 'lacks LineId', "
+        + ", ".join("NULL" for _ in LOG_COLUMNS)
+        + " WHERE EXISTS (SELECT 1 FROM logs)",
+        "logs",
+    ),
+)
+def scan_mixed_files(spark, directory):
+    """Files of three layouts and one without ids, read in one call."""
+    folder = fresh_folder(spark, "mixed")
+    logs = tables.logs(spark, directory).withColumn("Extra", F.lit("x,y"))
+    layouts = [
+        LOG_COLUMNS,
+        list(reversed(LOG_COLUMNS)),
+        ["Extra", *[c for c in LOG_COLUMNS if c not in LACKED]],
+    ]
+    for part, columns in enumerate(layouts):
+        rows = logs.where(F.col("log_id") % 3 == part).select(*columns)
+        rows.write.option("header", True).option("escape", '"').csv(f"{folder}/{part}")
+    without = logs.drop("log_id", "LineId").coalesce(1).write.option("header", True)
+    without.option("escape", '"').csv(f"{folder}/3")
+    scan = read_mixed(spark, f"{folder}/*/*.csv", LOG_COLUMNS, needed=["LineId"])
+    read = scan.rows.select(
+        F.col("LineId").cast("long").alias("log_id"),
+        F.lit("read").alias("outcome"),
+        *[F.coalesce(c, F.lit("")).alias(c) for c in LOG_COLUMNS],
+    )
+    aside = scan.files_aside.where("reason <> 'empty'").select(F.col("reason").alias("outcome"))
+    return read.unionByName(aside, allowMissingColumns=True)
+
+
 @query("sample_head", check("SELECT log_id, LogSource FROM logs ORDER BY log_id", "logs"))
 def sample_head(spark, directory):
     return sampling.sample(tables.logs(spark, directory).select("log_id", "LogSource"), "head")

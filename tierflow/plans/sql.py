@@ -391,3 +391,10 @@ part(
     "q_route",
 )
 part("all_base", replay("all_decisions", "FALSE"), "flagged", "all_decisions", "obs")
+
+part(
+    "choice",
+    f"""SELECT log_id, {RANK.format('destination')} AS k, routing_latency_ms + backend_write_latency_ms AS lat,
+  energy_cpu_pkg_j AS j FROM obs""",
+    "obs",
+)

@@ -12,6 +12,7 @@ from tierflow.sources import tables
 from tierflow.sources.tiers import read_tier, write_tier_shapes
 from tierflow.streaming.late_outcomes import late_trace, write_late_trace
 from tierflow.streaming.online_cbr import OnlineCbr
+from tierflow.streaming.open_windows import Sessions, Sliding, read_late, read_windows, window_schema, window_stream
 from tierflow.streaming.route import mix_by_window, route_stream
 
 
@@ -174,6 +175,68 @@ def stream_windows(spark, directory):
     )
 
 
+# ---- windows with late rows: every seventh log arrives a step later ---------
+STEPPED = f"""SELECT l.log_id, l.ts, l.Node, f.sensitive, (l.log_id - lo) * {PARTS} // (hi - lo + 1) + CAST(l.log_id % 7 = 3 AS BIGINT) AS step
+  FROM logs l JOIN flagged f ON f.log_id = l.log_id CROSS JOIN (SELECT min(event_id) AS lo, max(event_id) AS hi FROM events)"""
+TIMED = f"""SELECT s.*, mark FROM ({STEPPED}) s
+  JOIN (SELECT step, max(max(ts)) OVER (ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 3 DAY AS mark
+    FROM ({STEPPED}) GROUP BY step) m ON m.step = s.step"""
+COUNTED = """count(*) AS logs, count(*) FILTER (WHERE sensitive) AS sensitive_logs"""
+CLOSED = "window_end <= (SELECT max(ts) - INTERVAL 3 DAY FROM events)"
+SLIDING_SQL = f"""WITH p AS (SELECT *, coalesce(window_end <= mark, FALSE) AS late FROM (
+    SELECT *, b - k * INTERVAL 6 HOUR AS window_start, b - k * INTERVAL 6 HOUR + INTERVAL 1 DAY AS window_end
+    FROM (SELECT *, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') AS b FROM timed) CROSS JOIN range(4) AS r(k)))
+SELECT Node, 'window' AS kind, window_start, window_end, {COUNTED}, {CLOSED} AS closed FROM p WHERE NOT late GROUP BY ALL
+UNION ALL SELECT Node, 'late', window_start, window_end, {COUNTED}, TRUE FROM p WHERE late GROUP BY ALL"""
+SESSION_SQL = f"""WITH s AS (SELECT *, sum(fresh) OVER (PARTITION BY Node ORDER BY ts, log_id) AS n FROM (
+    SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY Node ORDER BY ts, log_id) <= INTERVAL 1 HOUR THEN 0 ELSE 1 END AS fresh
+    FROM timed WHERE coalesce(ts > mark, TRUE)))
+SELECT Node, kind, window_start, window_end, logs, sensitive_logs, {CLOSED} AS closed FROM (
+  SELECT Node, n, 'window' AS kind, min(ts) AS window_start, max(ts) + INTERVAL 1 HOUR AS window_end, {COUNTED} FROM s GROUP BY Node, n)
+UNION ALL SELECT Node, 'late', ts, ts + INTERVAL 1 HOUR, {COUNTED}, TRUE FROM timed WHERE ts <= mark GROUP BY Node, ts"""
+part("timed", TIMED, "logs", "flagged")
+
+
+def windowed_logs(spark, directory, windows):
+    """Windows of a stream in which some logs arrive late, and the late logs."""
+    folder = fresh_folder(spark, "open-windows")
+    logs = tables.logs(spark, directory).withColumn("ts", F.col("ts").cast("timestamp"))
+    decided = cut_lineage(
+        routing.apply_compliance(routing.route_static(logs)).select("log_id", "ts", "Node", "sensitive")
+    )
+    low, high = decided.agg(F.min("log_id"), F.max("log_id")).first()
+    place = (F.col("log_id") - F.lit(low)) * PARTS / F.lit((high or 0) - (low or 0) + 1)
+    step = F.floor(place) + (F.col("log_id") % 7 == 3).cast("int")
+    counts = {"logs": F.lit(1), "sensitive_logs": F.col("sensitive").cast("int")}
+    for arriving in range(PARTS + 1):
+        decided.where(step == arriving).write.mode("append").parquet(f"{folder}/in")
+        stream = spark.readStream.schema(decided.schema).parquet(f"{folder}/in")
+        running = window_stream(
+            stream, windows, counts, f"{folder}/out", f"{folder}/checkpoint", ["Node"], "3 days"
+        )
+        running.awaitTermination()
+    schema = window_schema(decided, counts, ["Node"])
+    rows = read_windows(spark, f"{folder}/out", schema, PARTS).withColumn("kind", F.lit("window"))
+    late = read_late(spark, f"{folder}/out").groupBy("Node", "window_start", "window_end").agg(
+        F.count("*").alias("logs"), F.count_if("sensitive").alias("sensitive_logs")
+    )
+    late = late.withColumns({"kind": F.lit("late"), "closed": F.lit(True)})
+    bounds = {b: F.col(b).cast("timestamp_ntz") for b in ("window_start", "window_end")}
+    return rows.unionByName(late).withColumns(bounds)
+
+
+@query("stream_sliding_late", check(SLIDING_SQL, "timed").replace("\nWITH p AS", ",\np AS"))
+def stream_sliding_late(spark, directory):
+    """Days, one every six hours, and the rows that missed one of theirs."""
+    return windowed_logs(spark, directory, Sliding("1 day", "6 hours"))
+
+
+@query("stream_sessions_late", check(SESSION_SQL, "timed").replace("\nWITH s AS", ",\ns AS"))
+def stream_sessions_late(spark, directory):
+    """Sessions of a node, ended by an hour without a log, and the late rows."""
+    return windowed_logs(spark, directory, Sessions("1 hour"))
+
+
 # ---- online adaptive router, one micro-batch per step of arriving files -----
 def interval_parts(name, numbered):
     """SQL parts of the adaptive router before each interval ``k`` of numbered logs."""

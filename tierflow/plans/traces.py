@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from tierflow.operators import cbr, choices, routing, summaries
 from tierflow.operators.ordered import positions
 from tierflow.operators.percentiles import exact_percentiles, exact_percentiles_of
+from tierflow.operators.tradeoff import look_up, tradeoff_curve
 from tierflow.operators.trace import decide, outcomes_by_log, replay
 from tierflow.plans.learning import fit_tabular, learned_decisions, observed_logs, q_decisions
 from tierflow.plans.registry import CHECKS, query, rounded
@@ -626,6 +627,47 @@ def lambda_sweep(spark, directory):
     )
 
 
+CURVE_SQL = """SELECT (round(w + 1e-8, 6) + 0e0) AS weight, CAST(moved AS BIGINT) AS moved, CAST(sum(logs) OVER along AS BIGINT) AS logs,
+  (round(CAST(sum(dl) OVER along AS DOUBLE) / sum(logs) OVER along + 1e-8, 6) + 0e0) AS mean_latency_ms,
+  (round(CAST(sum(dj) OVER along AS DOUBLE) / sum(logs) OVER along + 1e-8, 6) + 0e0) AS mean_energy_j
+FROM (SELECT w, count(*) FILTER (WHERE k0 IS NULL) AS logs, count(k0) AS moved,
+    sum(CAST(lat AS DECIMAL(28,9)) - coalesce(CAST(lat0 AS DECIMAL(28,9)), 0)) AS dl,
+    sum(CAST(j AS DECIMAL(28,9)) - coalesce(CAST(j0 AS DECIMAL(28,9)), 0)) AS dj
+  FROM (SELECT *, lag(k) OVER log AS k0, lag(lat) OVER log AS lat0, lag(j) OVER log AS j0
+    FROM (SELECT c.log_id, w, k, lat, j, row_number() OVER (PARTITION BY c.log_id, w ORDER BY lat + middle * j, j, k) AS r
+      FROM (SELECT log_id, w, coalesce((w + lead(w) OVER (PARTITION BY log_id ORDER BY w)) / 2, 2 * w + 1) AS middle
+        FROM (SELECT log_id, 0e0 AS w FROM choice UNION SELECT a.log_id, (b.lat - a.lat) / (a.j - b.j)
+          FROM choice a JOIN choice b ON a.log_id = b.log_id AND b.j < a.j AND b.lat > a.lat)) c
+      JOIN choice o ON o.log_id = c.log_id)
+    WHERE r = 1 WINDOW log AS (PARTITION BY log_id ORDER BY w))
+  WHERE k0 IS NULL OR k0 <> k GROUP BY w)
+WINDOW along AS (ORDER BY w)"""
+
+
+@query("tradeoff_curve", check(CURVE_SQL, "choice"))
+def tradeoff_curve_of_logs(spark, directory):
+    """Every weight of energy at which a log changes its cheapest tier."""
+    return rounded(tradeoff_curve(outcomes_by_log(tables.observations(spark, directory))))
+
+
+@query(
+    "tradeoff_grid",
+    check(
+        """SELECT w AS weight, count(*) AS logs, (round(avg(lat) + 1e-8, 6) + 0e0) AS mean_latency_ms,
+  (round(avg(j) + 1e-8, 6) + 0e0) AS mean_energy_j
+FROM (SELECT *, row_number() OVER (PARTITION BY log_id, w ORDER BY lat + w * j, j, k) AS r
+  FROM choice CROSS JOIN (VALUES """
+        + ", ".join(f"({x}::DOUBLE)" for x in LAMBDAS)
+        + ") AS v(w)) WHERE r = 1 GROUP BY w",
+        "choice",
+    ),
+)
+def tradeoff_grid(spark, directory):
+    """The means at a grid of weights, looked up in the curve."""
+    curve = tradeoff_curve(outcomes_by_log(tables.observations(spark, directory)))
+    return rounded(look_up(curve, LAMBDAS))
+
+
 LATENCY_WEIGHTS = (0.5, 1.0, 2.0)
 ENERGY_WEIGHTS = (100.0, 1000.0, 5000.0)
 
