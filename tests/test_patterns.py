@@ -64,3 +64,24 @@ def test_many_patterns_need_no_cross_join(spark):
     want = sorted((i, f"request {i * 337} ") for i in range(300) if i * 337 < 100_000)
     assert sorted(tuple(r) for r in result.collect()) == want
     assert given[337] == want[1][1]
+
+
+def test_shared_runs_make_no_pairs(spark):
+    """Every run of three is in every text and in most patterns; each place still cuts one string."""
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ab") for _ in range(n))
+    rows = [(i, word(60), None, None, "info") for i in range(40)] + [(None, "a" * 12, "", "", "info")]
+    given = [f"{k:012b}".replace("0", "a").replace("1", "b") for k in range(4_096)]
+    assert found(spark, rows, given) == plain(rows[:-1], given)
+    texts = spark.createDataFrame([(r[0], r[1]) for r in rows[:-1]], "log_id long, text string")
+    keys = spark.createDataFrame([(p,) for p in given], "key string")
+    strings = patterns.cut_strings(texts, patterns.starts_of(keys))
+    assert strings.count() == 40 * (60 - 12 + 1)
+
+
+def test_long_texts_are_cut_without_loss(spark):
+    rng = random.Random(5)
+    long = "".join(rng.choice("ab\U0001f600") for _ in range(5_000))
+    rows = [(1, long, "", "", "info"), (2, long[::-1], "", "", "info")]
+    given = [long[i : i + n] for i in range(900, 1_100, 7) for n in (1, 2, 3, 9, 1_500)]
+    assert found(spark, rows, given) == plain(rows, given)

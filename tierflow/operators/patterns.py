@@ -1,11 +1,12 @@
-"""Compliance patterns from a table of any size, matched by an index of n-grams.
-
-One expression per pattern does not carry far.  Here a text meets a pattern
-only if it holds the pattern's rarest run of three characters: runs of the
-texts are counted where some pattern has them, every pattern keeps its rarest
-run as join key, and only such pairs are compared as a whole.  A pattern with a
-run that no text has cannot match and leaves the search.  Patterns of one or
-two characters are their own key.
+"""Compliance patterns from a table of any size, matched by how they start.
+
+One expression per pattern does not carry far.  Here a place in a text meets
+the patterns' starts, runs of three characters, and only their shapes: which
+lengths patterns of this start have, and on which characters these end.  Each
+shape that fits cuts one string out of the text, and the strings meet the
+patterns by equality.  A place thus gives at most one string per length, however
+many patterns share its characters.  Patterns of one or two characters are
+their own start.
 """
 
 from pyspark.sql import Column, DataFrame
@@ -15,12 +16,59 @@ from tierflow.functions.text import COMPLIANCE_LEVELS, compliance_text
 from tierflow.runtime import cut_lineage
 
 GRAM = 3
+# Characters of a text that are searched at once, or the longest pattern's.
+WINDOW = 1_024
+
+
+def runs(text: Column, size: int) -> Column:
+    """The run of ``size`` characters at each place that has one, in order."""
+    return F.regexp_extract_all(text, F.lit(f"(?s)(?=(.{{{size}}}))."), F.lit(1))
+
+
+def starts_of(named: DataFrame, gram: int = GRAM) -> DataFrame:
+    """``start, shapes``: lengths of the keys with this start, and their last characters."""
+    return (
+        named.groupBy(F.substring("key", 1, gram).alias("start"), F.length("key").alias("length"))
+        .agg(F.collect_set(F.right("key", F.lit(1))).alias("ends"))
+        .groupBy("start")
+        .agg(F.collect_list(F.struct("length", "ends")).alias("shapes"))
+    )
+
 
+def cut_strings(texts: DataFrame, starts: DataFrame) -> DataFrame:
+    """``log_id, key`` for every string of a text that has some pattern's shape.
 
-def grams(text: Column, size: Column | int) -> Column:
-    """Distinct overlapping runs of ``size`` characters."""
-    inside = F.concat(F.lit("(?s)(?=(.{"), F.lit(size).cast("string"), F.lit("}))"))
-    return F.array_distinct(F.regexp_extract_all(text, inside, F.lit(1)))
+    ``starts`` is stored.  Long texts are cut into windows that overlap by the
+    longest pattern.
+    """
+    wide = starts.agg(
+        F.collect_set(F.length("start")).alias("sizes"),
+        F.max(F.array_max(F.transform("shapes", lambda s: s["length"]))).alias("longest"),
+    ).first()
+    if not wide.sizes:
+        return texts.select("log_id", F.col("text").alias("key")).where(F.lit(False))
+    step = max(WINDOW, wide.longest)
+    last = F.greatest(F.lit(0), F.floor((F.length("text") - 1) / step).cast("int"))
+    windows = F.transform(
+        F.sequence(F.lit(0), last),
+        lambda i: F.substring(F.col("text"), i * step + 1, F.lit(step + wide.longest - 1)),
+    )
+    each = F.array(*[runs(F.col("part"), s) for s in sorted(wide.sizes)])
+    places = (
+        texts.select("log_id", F.explode(windows).alias("part"))
+        .select("log_id", "part", F.explode(each).alias("runs"))
+        .select("log_id", "part", F.posexplode("runs").alias("place", "start"))
+    )
+    shaped = places.join(starts, "start").select(
+        "log_id", "part", "place", F.explode("shapes").alias("shape")
+    )
+    key = F.substring(F.col("part"), F.col("place") + 1, F.col("shape.length"))
+    return (
+        shaped.select("log_id", "shape", key.alias("key"))
+        .where(F.length("key") == F.col("shape.length"))
+        .where(F.array_contains("shape.ends", F.right("key", F.lit(1))))
+        .select("log_id", "key")
+    )
 
 
 def pattern_matches(logs: DataFrame, patterns: DataFrame, gram: int = GRAM) -> DataFrame:
@@ -34,39 +82,10 @@ def pattern_matches(logs: DataFrame, patterns: DataFrame, gram: int = GRAM) -> D
         patterns.where("pattern <> ''")
         .groupBy(F.lower("pattern").alias("key"))
         .agg(F.min("pattern").alias("pattern"))
-        .withColumn("size", F.least(F.length("key"), F.lit(gram)))
-    )
-    texts = cut_lineage(logs.select("log_id", compliance_text().alias("text")))
-    sizes = sorted(r[0] for r in named.select("size").distinct().collect())
-    if not sizes:
-        return logs.select("log_id", F.lit(None).cast("string").alias("pattern")).where(F.lit(False))
-    keys = cut_lineage(
-        named.select("key", "size", F.explode(grams(F.col("key"), F.col("size"))).alias("gram"))
-    )
-    runs = F.flatten(F.array(*[grams(F.col("text"), s) for s in sizes]))
-    held = texts.select("log_id", F.explode(runs).alias("gram"))
-    # Only runs that some pattern has are worth keeping.
-    held = cut_lineage(held.join(keys.select("gram").distinct(), "gram", "left_semi"))
-    often = held.groupBy("gram").agg(F.count("*").alias("logs"))
-    rarest = (
-        keys.join(often, "gram", "left")
-        .groupBy("key")
-        .agg(
-            F.count_if(F.col("logs").isNull()).alias("absent"),
-            F.min_by("gram", F.struct("logs", "gram")).alias("gram"),
-        )
-        .where("absent = 0")
-        .select("key", "gram")
-    )
-    pairs = held.join(rarest, "gram").select("log_id", "key")
-    return (
-        pairs.join(texts, "log_id")
-        .where(F.contains("text", "key"))
-        .select("log_id", "key")
-        .distinct()
-        .join(named.select("key", "pattern"), "key")
-        .select("log_id", "pattern")
     )
+    texts = logs.where("log_id IS NOT NULL").select("log_id", compliance_text().alias("text"))
+    strings = cut_strings(texts, cut_lineage(starts_of(named, gram)))
+    return strings.join(named, "key").select("log_id", "pattern").distinct()
 
 
 def flag_by_table(logs: DataFrame, patterns: DataFrame) -> DataFrame:
