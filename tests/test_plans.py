@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tierflow.operators import cbr, choices, embedding, qpolicy, routing, sampling, summaries
-from tierflow.operators.trace import outcomes_by_log, replay
+from tierflow.operators.trace import outcomes_by_log, parts_by_rows, replay
 from tierflow.sources import tables
 from tierflow.sources.bucketed import read_bucketed, write_bucketed
 
@@ -131,3 +131,18 @@ def test_cache_encodes_each_text_once(spark, tmp_path):
     for df in (first, second, second):
         cache = embedding.append_to_cache(spark, path, df, F.col("t"), "n", encoder)
     assert seen == [2, 1, 0] and cache.count() == 3
+
+
+def test_parts_of_a_replay_grow_with_logs(spark, no_auto_broadcast):
+    logs, outcomes = tables.logs(spark, SMALL), tables.observations(spark, SMALL)
+    count = logs.count()
+    assert parts_by_rows(logs, count) is None
+    parts = parts_by_rows(logs, -(-count // 40))
+    assert parts >= 39 and parts_by_rows(logs.where("log_id IS NULL")) is None
+    routers = {"static": routing.route_static}
+    rows = replay(logs, outcomes, routers, F.col("LogSource"), (False, True), partitions=parts)
+    paired = summaries.paired_by_log(rows)
+    assert plan(paired).count("Exchange hashpartitioning(log_id") == 2
+    assert plan(paired).count(f", {parts}), REPARTITION_BY_NUM") == 2
+    plain = replay(logs, outcomes, routers, F.col("LogSource"), (False, True))
+    assert sorted(map(str, rows.collect())) == sorted(map(str, plain.collect()))

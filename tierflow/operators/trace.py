@@ -12,6 +12,9 @@ from tierflow.schemas import TIERS, TRACE_SCHEMA
 
 MEASURES = ("success", "routing_latency_ms", "backend_write_latency_ms", "energy_cpu_pkg_j")
 
+# Logs that meet their outcomes in one task; each is multiplied by its routers there.
+PART_LOGS = 200_000
+
 
 def measured(success: Column, routing: Column, write: Column, energy: Column) -> list[Column]:
     """Outcome columns of a decision; an outcome that is missing is a failure."""
@@ -107,6 +110,18 @@ def outcomes_of(logs: DataFrame, observations: DataFrame) -> DataFrame:
     )
 
 
+def parts_by_rows(logs: DataFrame, each: int = PART_LOGS) -> int | None:
+    """Partitions of ``each`` logs for ``replay``; None if one would hold them all.
+
+    A task that pairs or sums logs of one id keeps all of its part, so the
+    number of parts must grow with the logs.
+    """
+    count = logs.count()
+    if count <= each:
+        return None
+    return max(-(-count // each), logs.sparkSession.sparkContext.defaultParallelism)
+
+
 def cheapest_ms() -> Column:
     """Lowest latency of a log with its outcomes side by side."""
     return F.least(*[measured(*[F.col(f"{m}_{t}") for m in MEASURES])[3] for t in TIERS])
@@ -128,6 +143,7 @@ def replay(
     patterns: Sequence[str] | None = None,
     decisions: dict[str, DataFrame] | None = None,
     with_cheapest: bool = False,
+    partitions: int | None = None,
 ) -> DataFrame:
     """Traces of many routers over the same logs, with and without the override.
 
@@ -136,7 +152,9 @@ def replay(
     the shuffle does not grow with the number of routers.  ``decisions`` are
     routers that decided elsewhere, as tables ``log_id, raw_destination``; they
     join by log id too, after the texts are gone.  ``with_cheapest`` adds
-    ``cheapest_ms``, the lowest latency any tier would have had.
+    ``cheapest_ms``, the lowest latency any tier would have had.  ``partitions``
+    is the number of parts in which logs meet their outcomes and stay; by default
+    the session's, or that of bucketed tables.
     """
     decisions = decisions or {}
     names = [*routers, *decisions]
@@ -150,6 +168,9 @@ def replay(
         payload_bytes(F.col("Content")).alias("payload_bytes"),
         *[f"raw_{r}" for r in routers],
     )
+    if partitions is not None:
+        narrow = narrow.repartition(partitions, "log_id")
+        observations = observations.repartition(partitions, "log_id")
     runs = F.array(
         *[
             F.struct(

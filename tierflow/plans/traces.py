@@ -6,7 +6,7 @@ from tierflow.operators import cbr, choices, routing, summaries
 from tierflow.operators.ordered import positions
 from tierflow.operators.percentiles import exact_percentiles, exact_percentiles_of
 from tierflow.operators.tradeoff import look_up, tradeoff_curve
-from tierflow.operators.trace import decide, outcomes_by_log, replay
+from tierflow.operators.trace import decide, outcomes_by_log, parts_by_rows, replay
 from tierflow.plans.learning import fit_tabular, learned_decisions, observed_logs, q_decisions
 from tierflow.plans.registry import CHECKS, query, rounded
 from tierflow.plans.sql import ADDITIVE, COMBINED, STATIC, check
@@ -34,7 +34,13 @@ def replayed(spark, directory, compliance=(False,), learned=True, with_cheapest=
     if learned:
         routers["cbr"] = cbr.fit_cbr(logs, outcomes).route
     return replay(
-        logs, outcomes, routers, F.col("LogSource"), compliance, with_cheapest=with_cheapest
+        logs,
+        outcomes,
+        routers,
+        F.col("LogSource"),
+        compliance,
+        with_cheapest=with_cheapest,
+        partitions=parts_by_rows(logs),
     )
 
 
@@ -798,6 +804,7 @@ def compare_routers(spark, directory):
         rule_routers() | {"cbr": model.route},
         F.col("LogSource"),
         decisions={"q_learning": q_decisions(steps, q)},
+        partitions=parts_by_rows(logs),
     )
     return rounded(
         summaries.combined_summary(rows, ["router"])
@@ -824,5 +831,6 @@ def compare_learned(spark, directory):
         rule_routers() | {"cbr": model.route},
         F.col("LogSource"),
         decisions={"learned": decided},
+        partitions=parts_by_rows(logs),
     )
     return summaries.combined_summary(rows, ["router"])
