@@ -2,10 +2,12 @@
 
 import statistics
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from tierflow.operators import cbr
+from tierflow.streaming import intervals
 
 ROW = """log_id long, Level string, Component string, LogSource string, Content string, destination string,
   backend_write_latency_ms double, energy_cpu_pkg_j double"""
@@ -152,3 +154,22 @@ def test_missing_outcomes_count_as_failures(spark):
     assert row.logs == 3 and row.max_regret_ms == 0.0
     sampled = cbr.feedback(logs, seen, sample_prob=1.0)
     assert sampled.count() == 9 and sampled.where("NOT success").count() == 4
+
+
+def test_statistics_of_many_intervals_meet_in_no_window(spark):
+    rng = np.random.default_rng(8)
+    rows = [
+        (s, a, b, "elk", int(rng.integers(0, 4)), float(1e6 + rng.random()), float(rng.random()))
+        for s in range(40)
+        for a in ("Level", "Component")
+        for b in (0, 1, None)
+    ]
+    schema = "slice long, attr string, bucket int, destination string, n long, mean double, m2 double"
+    stats = spark.createDataFrame(rows, schema)
+    total = intervals.total_stats(stats)
+    assert "Window" not in total._jdf.queryExecution().executedPlan().toString()
+    got = {tuple(r[:3]): tuple(r[3:]) for r in total.collect()}
+    want = {tuple(r[:3]): tuple(r[3:]) for r in cbr.pooled(stats, intervals.KEYS).collect()}
+    assert got.keys() == want.keys()
+    for key, values in want.items():
+        assert got[key] == pytest.approx(values, rel=1e-12)

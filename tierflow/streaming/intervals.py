@@ -17,8 +17,8 @@ from tierflow.operators.cbr import (
     cheapest_by_bucket,
     classifier_attribute,
     global_best,
-    pooled,
 )
+from tierflow.operators.joins import join_keys
 from tierflow.operators.ordered import positions, running
 from tierflow.operators.routing import static_destination
 from tierflow.runtime import cut_lineage
@@ -43,6 +43,27 @@ def slice_stats(seen: DataFrame, num_buckets: int, metric: str) -> DataFrame:
     return bucket_stats(seen, num_buckets, metric, by=SLICE)
 
 
+def centres(stats: DataFrame) -> DataFrame:
+    """``_centre``, the mean cost of each key over all intervals."""
+    mean = F.sum(F.col("n") * F.col("mean")) / F.sum("n")
+    return stats.where("n > 0").groupBy(*KEYS).agg(mean.alias("_centre"))
+
+
+def total_stats(stats: DataFrame) -> DataFrame:
+    """Statistics of all intervals together; ``stats`` is stored.
+
+    As ``pooled``, which sends all rows of a key to one task: a key has a row in
+    each interval, so they are combined before they move, twice.
+    """
+    away = F.col("mean") - F.col("_centre")
+    about = join_keys(stats.where("n > 0"), cut_lineage(centres(stats)), KEYS, "inner")
+    return about.groupBy(*KEYS).agg(
+        F.sum("n").alias("n"),
+        F.max("_centre").alias("mean"),
+        F.sum(F.col("m2") + F.col("n") * away * away).alias("m2"),
+    )
+
+
 def states_before(start: DataFrame, stats: DataFrame, slices: int) -> DataFrame:
     """Statistics ``slice, attr, bucket, destination, n, mean, m2`` before each interval.
 
@@ -52,7 +73,7 @@ def states_before(start: DataFrame, stats: DataFrame, slices: int) -> DataFrame:
     every = cut_lineage(
         stats.unionByName(start.select(F.lit(-1).cast("long").alias("slice"), *KEYS, "n", "mean", "m2"))
     )
-    centre = pooled(every, KEYS).select(*KEYS, F.col("mean").alias("_centre"))
+    centre = centres(every)
     # Every key stands in every interval: at most attributes x buckets x tiers rows each.
     grid = centre.withColumn("slice", F.explode(F.sequence(F.lit(-1).cast("long"), F.lit(slices - 1).cast("long"))))
     away = F.col("mean") - F.col("_centre")

@@ -31,7 +31,13 @@ from tierflow.operators.routing import apply_compliance
 from tierflow.operators.trace import outcomes_of, outcomes_within
 from tierflow.runtime import cut_lineage
 from tierflow.schemas import CBR_ATTRIBUTES
-from tierflow.streaming.intervals import route_slices, slice_stats, sliced, states_before
+from tierflow.streaming.intervals import (
+    route_slices,
+    slice_stats,
+    sliced,
+    states_before,
+    total_stats,
+)
 
 
 @dataclass(frozen=True)
@@ -116,7 +122,7 @@ class OnlineCbr:
         decided = apply_compliance(
             route_slices(logs, states, self.num_buckets, least), self.compliance
         )
-        merged = merge_stats(model.stats, stats.drop("slice"))
+        merged = merge_stats(model.stats, total_stats(stats))
         save_state(merged, self.num_buckets, self.state_path(batch_id))
         return decided, model
 
