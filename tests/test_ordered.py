@@ -211,3 +211,32 @@ def test_anomalies_need_a_full_window(spark):
     )
     found = summaries.energy_anomalies(df, ["host"], "watts", window=20).collect()
     assert [r.position for r in found] == [33]
+
+
+def test_rolling_medians_as_the_exact_percentile(spark):
+    rng = np.random.default_rng(4)
+    odd = lambda x: None if x < 0.1 else float("nan") if x < 0.2 else float("inf") if x < 0.3 else float(x)
+    rows = [(k, i + 1, odd(x)) for k in ("a", None) for i, x in enumerate(rng.random(90))]
+    rows += [("b", i + 1, None) for i in range(12)] + [("c", i + 1, i * 1.5) for i in range(70)]
+    df = spark.createDataFrame(rows, "k string, position long, v double").repartition(3)
+
+    def median(first, last):
+        return lambda w: F.percentile("v", F.lit(0.5)).over(w.rowsBetween(first, last))
+
+    for window in (4, 7):
+        want = ordered.rolling(
+            df,
+            ["k"],
+            "position",
+            2 * window - 1,
+            {"now": median(1 - window, 0), "before": median(1 - 2 * window, -window)},
+            chunk_rows=20,
+        ).select("k", "position", "now", "before")
+        got = ordered.rolling_medians(df, ["k"], "position", "v", window, chunk_rows=20)
+        assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+def test_warmup_sorts_no_frame_anew(spark):
+    df = spark.createDataFrame([("r", 1, 1.0)], "run string, position long, total_latency_ms double")
+    plan = summaries.warmup_boundary(df, ["run"])._jdf.queryExecution().executedPlan().toString()
+    assert "percentile" not in plan and "Window" not in plan

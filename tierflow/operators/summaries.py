@@ -12,7 +12,7 @@ from tierflow.functions.cost import (
     watt_hours,
 )
 from tierflow.operators.joins import join_keys
-from tierflow.operators.ordered import rolling
+from tierflow.operators.ordered import rolling, rolling_medians
 from tierflow.operators.percentiles import exact_percentiles, percentile_columns
 from tierflow.runtime import cut_lineage
 from tierflow.schemas import TIERS
@@ -439,18 +439,7 @@ def warmup_boundary(
     ``positioned`` carries ``position``, the rank of the row in its run.
     """
 
-    def median(first: int, last: int):
-        return lambda w: F.percentile("total_latency_ms", F.lit(0.5)).over(
-            w.rowsBetween(first, last)
-        )
-
-    smooth = rolling(
-        positioned.select(*keys, "position", "total_latency_ms"),
-        keys,
-        "position",
-        2 * window - 1,
-        {"now": median(-(window - 1), 0), "before": median(-(2 * window - 1), -window)},
-    )
+    smooth = rolling_medians(positioned, keys, "position", "total_latency_ms", window)
     settled = (F.col("position") >= 2 * window) & (
         F.abs(F.col("now") - F.col("before")) <= tolerance * F.col("before")
     )
