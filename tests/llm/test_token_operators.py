@@ -428,3 +428,19 @@ def test_ids_are_the_librarys_on_special_names(name):
     ids, bounds = Encoder(tokenizer_path(name)).encode(pa.array(texts))
     for i, text in enumerate(texts):
         assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_encoder_forgets_parts_but_no_ids(monkeypatch):
+    from tierflow.llm import encoding
+
+    monkeypatch.setattr(encoding, "CACHED_PARTS", 20)
+    small = encoding.Encoder(tokenizer_path("byte_bpe_50k.json"))
+    for k in range(12):
+        texts = [f"common words w{k * 10 + i} v{i}" for i in range(10)]
+        ids, bounds = small.encode(pa.array(texts))
+        for i, text in enumerate(texts):
+            want = small.tokenizer.encode(text, add_special_tokens=False).ids
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == want
+        # A generation is left when it is full; what it met last is kept once more.
+        assert len(small.known) <= 20 + 32 and len(small.older) <= 20 + 32
+    assert b"common" in small.known and b" w1" not in {**small.known, **small.older}

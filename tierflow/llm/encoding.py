@@ -19,8 +19,11 @@ import pyarrow as pa
 
 from tierflow.llm.columnar import spread, text_bytes
 
-# Parts a worker remembers; the cache is emptied when it holds more.
-CACHED_PARTS = 1_500_000
+# Parts of one generation of a worker's cache.  It holds two, of about 300 bytes a
+# part; parts not met again while a generation fills are forgotten.
+CACHED_PARTS = 500_000
+# Text encoded at once: parts, places and ids of it take about twenty times its size.
+ENCODED_BYTES = 8 << 20
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True
@@ -58,11 +61,19 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
 
     def _parts(self, parts: list[bytes]) -> list[bytes]:
         if len(self.known) > CACHED_PARTS:
-            self.known = {}
-        new = [p for p in parts if p not in self.known]
+            self.older, self.known = self.known, {}
+        new = []
+        for part in parts:
+            if part not in self.known:
+                code = self.older.get(part)
+                if code is None:
+                    new.append(part)
+                else:
+                    self.known[part] = code
         for i in range(0, len(new), 1 << 14):
             some = new[i : i + (1 << 14)]
             encoded = self.tokenizer.encode_batch_fast(

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tierflow.llm.columnar import chunks, spread, table
-from tierflow.llm.encoding import encoder
+from tierflow.llm.encoding import ENCODED_BYTES, encoder
 from tierflow.llm.tables import pieces_for
 from tierflow.runtime import cut_lineage
 
@@ -73,7 +73,7 @@ def token_pieces(
     schema = pa.schema(fields)
 
     def work(batches):
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", ENCODED_BYTES):
             ids, bounds = encoder(path).encode(batch.column("text"), end)
             rows, start, length = cut_lengths(np.diff(bounds), size)
             first = np.flatnonzero(np.diff(rows, prepend=-1))

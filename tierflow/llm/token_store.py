@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tierflow.llm.columnar import chunks, mixed, table
-from tierflow.llm.encoding import encoder
+from tierflow.llm.encoding import ENCODED_BYTES, encoder
 from tierflow.llm.tables import pieces_for, text_size
 
 # Text of one shard, and keys of one index bucket.
@@ -159,7 +159,7 @@ def write_store(
         files, root = open_folder(f"{folder}/payload")
         files.create_dir(root, recursive=True)
         out, at = None, 0
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", ENCODED_BYTES):
             if out is None:
                 out = files.open_output_stream(f"{root}/{name}")
             ids, bounds = encoder(path).encode(batch.column("text"), end)
