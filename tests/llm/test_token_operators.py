@@ -444,3 +444,45 @@ def test_encoder_forgets_parts_but_no_ids(monkeypatch):
         # A generation is left when it is full; what it met last is kept once more.
         assert len(small.known) <= 20 + 32 and len(small.older) <= 20 + 32
     assert b"common" in small.known and b" w1" not in {**small.known, **small.older}
+
+
+PIECES = st.sampled_from(
+    [" ", "\n", "\t", "\x0b", "a", "Word", "É", "ß", "ÿ", "×", "÷", "ñ", "e\u0301", "=\u0338", "…", "中", "1", "'s", "'", "µ",
+     *"!\"#$%&()*+,-./:;=?@|<>_", "<|endoftext|>", "<|startoftext|>", "|endoftext|>"]
+)
+
+
+@pytest.mark.parametrize("path", [WORDS_49K, BYTES_50K])
+def test_ids_are_the_librarys_beside_marks(path):
+    """Cuts before marks, and words encoded as one text, against whole texts."""
+    encoder = Encoder(path)
+    library = Tokenizer.from_file(path)
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.lists(st.lists(PIECES, max_size=25).map("".join), max_size=5))
+    def same(texts):
+        ids, bounds = encoder.encode(pa.array(texts, pa.string()))
+        for i, text in enumerate(texts):
+            want = library.encode(text, add_special_tokens=False).ids
+            assert ids[bounds[i] : bounds[i + 1]].tolist() == want
+
+    same()
+
+
+@pytest.mark.parametrize("path", [WORDS_49K, BYTES_50K])
+def test_encoder_remembers_a_word_once_beside_marks(path):
+    encoder = Encoder(path)
+    encoder.encode(pa.array(["cat cat, cat. été cat! été; cat's cat", None, ""]))
+    assert set(encoder.known) == {b"cat", b" cat", b",", b".", b"!", b";", " été".encode(), b" cat's"}
+
+
+def test_words_are_encoded_many_at_a_time(monkeypatch):
+    encoder = Encoder(WORDS_49K)
+    asked = []
+    one = encoder._encode
+    monkeypatch.setattr(encoder, "_encode", lambda texts: asked.append(len(texts)) or one(texts))
+    texts = [f"{a}{b}{c} {a}{c}é," for a in "abcxyz" for b in "abcxyz" for c in "ABCXYZ"]
+    ids, bounds = encoder.encode(pa.array(texts))
+    assert asked == [1, 1]
+    for (_, want), a, b in zip(encoded(WORDS_49K, enumerate(texts), 0), bounds[:-1], bounds[1:], strict=True):
+        assert ids[a:b].tolist() == want[:-1]

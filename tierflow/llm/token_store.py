@@ -176,6 +176,8 @@ def write_store(
             at += len(ids)
         if out is not None:
             out.close()
+        # The worker waits for its next task without the buffers of this one.
+        pa.default_memory_pool().release_unused()
 
     ordered.select("doc_id", "text").mapInArrow(work, _MANIFEST_DDL).write.parquet(
         f"{folder}/manifest"
