@@ -30,7 +30,7 @@ from tierflow.llm.columnar import text_bytes
 # part; parts not met again while a generation fills are forgotten.
 CACHED_PARTS = 250_000
 # Text encoded at once: parts, places and ids of it take about twenty times its size.
-ENCODED_BYTES = 8 << 20
+ENCODED_BYTES = 2 << 20
 
 _ASCII_SPACE = np.zeros(256, bool)
 _ASCII_SPACE[[9, 10, 11, 12, 13, 32]] = True

@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.llm.columnar import chunks, mixed, table
+from tierflow.llm.columnar import chunks, freed, give_back, mixed, table
 from tierflow.llm.components import components
 from tierflow.llm.fingerprints import word_hashes
 from tierflow.llm.tables import pieces_for
@@ -153,6 +153,7 @@ def marked(docs: DataFrame, words: int, trees: int, depth: int) -> DataFrame:
                 size=np.diff(bounds),
                 prefixes=pa.ListArray.from_arrays(ends, pa.array(prefix.ravel().view(np.int64))),
             )
+        give_back()
 
     return docs.mapInArrow(work, "doc_id long, k1 long, k2 long, size int, prefixes array<long>")
 
@@ -279,6 +280,7 @@ def jaccard_join(
             run, bounds = shingles(batch.column("text"), words)
             blobs = [run[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
             yield batch.drop_columns("text").append_column("runs", pa.array(blobs, pa.binary()))
+        give_back()
 
     texts = rows.join(members, "doc_id").select("doc_id", "component", "blocks", "copies", "text")
     sets = texts.mapInArrow(
@@ -311,7 +313,9 @@ def jaccard_join(
         return pa.Table.from_pylist(out, schema=_LINKS)
 
     links = cut_lineage(
-        units.groupBy("large", "unit", "i", "j").applyInArrow(verify, "node long, root long, n_links long")
+        units.groupBy("large", "unit", "i", "j").applyInArrow(
+            lambda unit: freed(verify(unit)), "node long, root long, n_links long"
+        )
     )
     labels = components(links.select(F.col("node").alias("a"), F.col("root").alias("b")))
     counts = links.groupBy("node").agg(F.sum("n_links").alias("links"))

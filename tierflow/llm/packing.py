@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.llm.columnar import chunks, spread, table
+from tierflow.llm.columnar import chunks, give_back, spread, table
 from tierflow.llm.encoding import ENCODED_BYTES, encoder
 from tierflow.llm.tables import pieces_for
 from tierflow.runtime import cut_lineage
@@ -93,6 +93,7 @@ def token_pieces(
                 ends = np.concatenate([at, [len(ids)]]).astype(np.int32)
                 columns["ids"] = pa.ListArray.from_arrays(ends, pa.array(ids.astype(np.int32)))
             yield table(schema, **columns)
+        give_back()
 
     ddl = "doc_id long, piece int, start long, length long, ids_crc32 long"
     return docs.select(

@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tierflow.llm.columnar import chunks, mixed, spread, table, text_bytes
+from tierflow.llm.columnar import chunks, freed, mixed, spread, table, text_bytes
 from tierflow.llm.tables import pieces_for, text_size
 
 LENGTH = 50
@@ -53,6 +53,8 @@ BLOCK_BYTES = 8 << 20
 BUCKET_BYTES = 32 << 20
 # Suffixes whose bytes are gathered at once.
 STRETCH = 1 << 14
+# Positions that are hashed at once; each takes about 30 bytes meanwhile.
+HASHED = 1 << 20
 
 _PRIME = [np.uint64(p) for p in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
 
@@ -77,6 +79,26 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     n = len(data) - LENGTH + 1
     if n <= 0:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    # Strings that cross the end of a text count for nothing.
+    valid = np.ones(n, bool)
+    inner = offsets[1:-1]
+    if len(inner):
+        first = np.maximum(np.concatenate([[0], inner[:-1]]), inner - LENGTH + 1)
+        crossing = spread(first, np.maximum(inner - first, 0))
+        valid[crossing[crossing < n]] = False
+    found = []
+    # A position hangs on the strings it can stand in, so on the bytes around it.
+    for start in range(0, len(data) - GRAM + 1, HASHED):
+        low, high = max(0, start - BEFORE), start + HASHED + LENGTH - 1
+        at, h = _anchors(data[low:high], valid[low : high - LENGTH + 1])
+        own = slice(*np.searchsorted(at, [start - low, start - low + HASHED]))
+        found.append((at[own] + low, h[own]))
+    at, h = zip(*found, strict=True)
+    return np.concatenate(at), np.concatenate(h)
+
+
+def _anchors(data: np.ndarray, valid: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Anchors of the strings of a stretch, told of each if it counts."""
     words = np.ndarray(len(data) - 7, "<u8", np.ascontiguousarray(data), strides=(1,))
     grams = len(data) - GRAM + 1
     h = words[:grams] * _PRIME[0]
@@ -90,13 +112,6 @@ def anchors(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     h *= _PRIME[1]
     order = (h >> np.uint64(32)).astype(np.uint32)
     least = _sliding(order, BEFORE + 1, np.minimum)
-    # Strings that cross the end of a text count for nothing.
-    valid = np.ones(n, bool)
-    inner = offsets[1:-1]
-    if len(inner):
-        first = np.maximum(np.concatenate([[0], inner[:-1]]), inner - LENGTH + 1)
-        crossing = spread(first, np.maximum(inner - first, 0))
-        valid[crossing[crossing < n]] = False
     least = np.where(valid, least, 0)
     edge = np.zeros(BEFORE, np.uint32)
     most = _sliding(np.concatenate([edge, least, edge]), BEFORE + 1, np.maximum)
@@ -443,7 +458,7 @@ def removed_spans(bucket: pa.Table) -> list[dict]:
 
 def covered(block: Block, spans: list[dict]) -> np.ndarray:
     """Which bytes of the block are removed."""
-    steps = np.zeros(len(block.data) + 1, np.int64)
+    steps = np.zeros(len(block.data) + 1, np.int32)
     for row in spans:
         doc = np.frombuffer(row["doc"], "<i4")
         base = block.offsets[doc]
@@ -454,7 +469,14 @@ def covered(block: Block, spans: list[dict]) -> np.ndarray:
         if b - a >= LENGTH:
             steps[a] += 1
             steps[b] -= 1
-    return np.cumsum(steps)[:-1] > 0
+    return np.cumsum(steps, dtype=steps.dtype, out=steps)[:-1] > 0
+
+
+def counted(marks: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+    """Marks before every bound."""
+    sums = np.zeros(len(marks) + 1, np.int32 if len(marks) < 1 << 31 else np.int64)
+    sums[1:] = marks
+    return np.cumsum(sums, dtype=sums.dtype, out=sums)[bounds].astype(np.int64)
 
 
 def _table(rows: list[dict]) -> pa.Table:
@@ -596,33 +618,37 @@ def remove_repeats(
         # A side row names a block of documents, so no group is without them.
         block = Block(docs_, copies_of(side), with_anchors=False)
         gone = covered(block, [r for r in side.to_pylist() if r["spans"]])
-        sums = np.concatenate([[0], np.cumsum(gone)])
+        removed = counted(gone, block.offsets)
         starts = gone.copy()
         starts[1:] &= ~gone[:-1]
         inner = block.offsets[1:-1]
         inner = inner[inner < len(gone)]
         starts[inner] = gone[inner]
-        begun = np.concatenate([[0], np.cumsum(starts)])
+        begun = counted(starts, block.offsets)
         stays = block.data[~gone]
-        bounds = block.offsets - sums[block.offsets]
+        bounds = block.offsets - removed
         kept = [stays[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
         if rewrite:
-            return rewritten(block, np.diff(sums[block.offsets]), kept)
+            return rewritten(block, np.diff(removed), kept)
         columns = {
             "doc_id": block.docs.column("doc_id"),
             "n_bytes": np.diff(block.offsets),
-            "n_removed": np.diff(sums[block.offsets]),
-            "n_spans": np.diff(begun[block.offsets]),
+            "n_removed": np.diff(removed),
+            "n_spans": np.diff(begun),
             "kept_sha256": [hashlib.sha256(k).hexdigest() for k in kept],
         }
         return pa.Table.from_batches([table(result, **columns)])
 
     by_block = dealt.groupBy("block")
-    hashes = by_block.cogroup(copy_side.groupBy("block")).applyInArrow(collect, side_ddl)
-    answers = hashes.groupBy("bucket").applyInArrow(meet, side_ddl)
+    hashes = by_block.cogroup(copy_side.groupBy("block")).applyInArrow(
+        lambda docs_, side_: freed(collect(docs_, side_)), side_ddl
+    )
+    answers = hashes.groupBy("bucket").applyInArrow(lambda asked: freed(meet(asked)), side_ddl)
     side = copy_side.unionByName(answers)
-    runs = by_block.cogroup(side.groupBy("block")).applyInArrow(sort_runs, RUN_DDL)
-    spans = runs.groupBy("bucket").applyInArrow(merge, RUN_DDL)
+    runs = by_block.cogroup(side.groupBy("block")).applyInArrow(
+        lambda docs_, side_: freed(sort_runs(docs_, side_)), RUN_DDL
+    )
+    spans = runs.groupBy("bucket").applyInArrow(lambda rows_: freed(merge(rows_)), RUN_DDL)
     spans = spans.select(
         "block",
         "spans",
@@ -639,7 +665,7 @@ def remove_repeats(
         "texts",
     )
     return by_block.cogroup(spans.unionByName(whole).groupBy("block")).applyInArrow(
-        remove, docs.schema if rewrite else result_ddl
+        lambda docs_, side_: freed(remove(docs_, side_)), docs.schema if rewrite else result_ddl
     )
 
 

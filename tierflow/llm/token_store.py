@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tierflow.llm.columnar import chunks, mixed, table
+from tierflow.llm.columnar import chunks, give_back, mixed, table
 from tierflow.llm.encoding import ENCODED_BYTES, encoder
 from tierflow.llm.tables import pieces_for, text_size
 
@@ -177,7 +177,7 @@ def write_store(
         if out is not None:
             out.close()
         # The worker waits for its next task without the buffers of this one.
-        pa.default_memory_pool().release_unused()
+        give_back()
 
     ordered.select("doc_id", "text").mapInArrow(work, _MANIFEST_DDL).write.parquet(
         f"{folder}/manifest"
