@@ -7,14 +7,16 @@ it is not the same algorithm.
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.ml.classification import (
     MultilayerPerceptronClassificationModel,
     MultilayerPerceptronClassifier,
 )
-from pyspark.ml.functions import array_to_vector
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tierflow.operators import perceptron
 from tierflow.operators.routing import action_code, action_destination
 from tierflow.schemas import TIERS
 
@@ -31,21 +33,38 @@ def fit_classifier(
     seed: int = 7,
 ) -> MultilayerPerceptronClassificationModel:
     """Fit on ``vector`` and ``best_destination``; gradients are summed by Spark."""
-    data = labelled.select(
-        array_to_vector(F.col(vector)).alias("features"),
-        action_code(F.col("best_destination")).cast("double").alias("label"),
-    )
     layers = [width, *hidden, len(TIERS)]
-    return MultilayerPerceptronClassifier(
-        layers=layers, maxIter=max_iter, seed=seed, blockSize=128
-    ).fit(data)
+    blocks = perceptron.stored_blocks(
+        labelled, F.col(vector), action_code(F.col("best_destination")), width, len(TIERS)
+    )
+    start = unfitted(labelled.sparkSession, layers, seed=seed).weights.toArray()
+    fitted = perceptron.minimised(perceptron.summed(blocks, layers), start, max_iter)
+    model = unfitted(labelled.sparkSession, layers, seed=seed, weights=fitted)
+    model.set(model.maxIter, max_iter)
+    return model
+
+
+def unfitted(
+    spark: SparkSession, layers: Sequence[int], seed: int, weights: np.ndarray | None = None
+) -> MultilayerPerceptronClassificationModel:
+    """Spark's model before any step: with the weights given, or drawn by the seed."""
+    row = spark.createDataFrame([(Vectors.dense([0.0] * layers[0]), 0.0)], ["features", "label"])
+    network = MultilayerPerceptronClassifier(
+        layers=list(layers), maxIter=0, seed=seed, blockSize=perceptron.BLOCK
+    )
+    # Spark takes a None for weights that are given, and forgets the seed.
+    if weights is not None:
+        network.setInitialWeights(Vectors.dense(weights))
+    return network.fit(row)
 
 
 def route_learned(
     logs: DataFrame, vector: Column, model: MultilayerPerceptronClassificationModel
 ) -> DataFrame:
     """Most likely destination of each log."""
-    scored = model.transform(logs.withColumn("features", array_to_vector(vector)))
-    return scored.withColumn(
-        "raw_destination", action_destination(F.col("prediction").cast("int"))
-    ).drop("features", "prediction", "rawPrediction", "probability")
+    found = perceptron.predicted(model.getLayers(), model.weights.toArray(), vector)
+    return (
+        logs.withColumn("_class", found)
+        .withColumn("raw_destination", action_destination(F.col("_class")))
+        .drop("_class")
+    )
