@@ -82,7 +82,9 @@ def test_sums_of_a_pass(spark, width, few):
     weights = np.random.default_rng(5).normal(0, 0.3, sum((a + 1) * b for a, b in zip(layers, layers[1:])))
     blocks = stored(df, width)
     assert all(len(r.vectors) <= perceptron.PIECE_BYTES for r in blocks.collect())
+    before = spark.conf.get(perceptron.BATCH_SETTING)
     loss, gradient = perceptron.summed(blocks, layers, few)(weights)
+    assert spark.conf.get(perceptron.BATCH_SETTING) == before
     wanted, slope = plain(df, layers, weights)
     assert loss == pytest.approx(wanted)
     assert gradient == pytest.approx(slope, abs=1e-12)
