@@ -131,7 +131,7 @@ class Network:
         self.loss = 0.0
 
     def forward(self, x: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Inputs of every layer and the sums of the last."""
+        """Inputs of every layer and the sums of the last, a row for each class."""
         inputs = [x]
         for (weights, bias), room in zip(self.falling, self.outputs):
             out = room[: len(x)]
@@ -141,28 +141,31 @@ class Network:
             out += 1.0
             np.divide(1.0, out, out=out)
             inputs.append(out)
-        return inputs, inputs[-1] @ self.weights[-1] + self.biases[-1]
+        return inputs, self.weights[-1].T @ inputs[-1].T + self.biases[-1][:, None]
 
     def classes(self, x: np.ndarray) -> np.ndarray:
         """Class with the largest sum of every row, ties to the first."""
         found = np.zeros(len(x), np.int32)
         for start in range(0, len(x), STEP_ROWS):
             sums = self.forward(x[start : start + STEP_ROWS])[1]
-            most = sums[:, 0].copy()
-            for k in range(1, sums.shape[1]):
-                larger = sums[:, k] > most
-                most[larger] = sums[larger, k]
+            most = sums[0].copy()
+            for k in range(1, len(sums)):
+                larger = sums[k] > most
+                most[larger] = sums[k][larger]
                 found[start : start + STEP_ROWS][larger] = k
         return found
 
     def add(self, x: np.ndarray, targets: np.ndarray, shares: np.ndarray) -> None:
-        """Add loss and gradient of some rows, each with its share of its block."""
+        """Add loss and gradient of some rows, each with its share of its block.
+
+        ``targets`` has a row for each class.
+        """
         inputs, sums = self.forward(x)
-        sums -= sums.max(axis=1, keepdims=True)
-        chances = np.exp(sums)
-        chances /= chances.sum(axis=1, keepdims=True)
-        self.loss -= float(((targets * np.log(chances)).sum(axis=1) * shares).sum())
-        delta = (chances - targets) * shares[:, None]
+        sums -= sums.max(axis=0)
+        chances = np.exp(sums, out=sums)
+        chances /= chances.sum(axis=0)
+        self.loss -= float((targets * np.log(chances)).sum(axis=0) @ shares)
+        delta = ((chances - targets) * shares).T
         for i in range(len(self.weights) - 1, -1, -1):
             np.matmul(inputs[i].T, delta, out=self.products[i])
             self.gradients[i] += self.products[i]
@@ -225,7 +228,7 @@ def summed(blocks: DataFrame, layers: Sequence[int], few: int = FEW_SUMS) -> Obj
                     share += shares.sum()
                     for start in range(0, len(y), STEP_ROWS):
                         rows = slice(start, start + STEP_ROWS)
-                        network.add(x[rows], each[y[rows]], shares[rows])
+                        network.add(x[rows], each[:, y[rows]], shares[rows])
             values = [[TaskContext.get().partitionId()], [share], [network.loss], [network.gradient().tobytes()]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(values, (pa.int32(), pa.float64(), pa.float64(), pa.binary()))],
