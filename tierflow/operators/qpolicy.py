@@ -280,9 +280,15 @@ def _step(
 
 def _shares(products: np.ndarray, targets: np.ndarray) -> np.ndarray:
     """Shares of the last differences that cancel a change best."""
+    shares = np.zeros(len(targets))
+    # Two equal changes differ by nothing, which cancels nothing.
+    used = np.flatnonzero(np.diag(products) > 0)
+    if not len(used):
+        return shares
     # Differences shrink from step to step: solve for them at equal length.
-    scale = np.sqrt(np.maximum(np.diag(products), np.finfo(float).tiny))
-    shares = np.linalg.lstsq(products / np.outer(scale, scale), targets / scale, rcond=1e-13)[0] / scale
+    scale = np.sqrt(np.diag(products)[used])
+    equal = products[np.ix_(used, used)] / np.outer(scale, scale)
+    shares[used] = np.linalg.lstsq(equal, targets[used] / scale, rcond=1e-13)[0] / scale
     return shares if np.isfinite(shares).all() else np.zeros(len(targets))
 
 
